@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, linededup, neardup, sharding
+from millrace.llm import chat, classifier, decontaminate, linededup, mixing, neardup, pii, quality, sharding, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -92,3 +92,73 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id
 )
 def op4_neardup(spark, sf_dir):
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
+SQL_TURNS = """c AS (SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn, coalesce(role, ''), coalesce(text, '')) AS t FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
+e AS (SELECT conv_id, t[1 : list_max(list_filter(range(1, len(t) + 1), lambda i: t[i].role = 'assistant'))] AS a FROM c WHERE len(list_filter(t, lambda x: x.role = 'assistant')) > 0),
+p AS (SELECT e.conv_id, xor(e.conv_id, 1) AS rejected_from, e.a, list_append(e.a[1 : len(e.a) - 1], {'role': 'assistant', 'text': o.a[len(o.a)].text}) AS b FROM e JOIN e o ON o.conv_id = xor(e.conv_id, 1)),
+n AS (SELECT *, coalesce(list_min(list_filter(range(1, len(a) + 1), lambda i: a[i].role <> b[i].role OR a[i].text <> b[i].text)) - 1, len(a)) AS n FROM p),
+r AS (SELECT *, a[n + 1 :] AS ra, b[n + 1 :] AS rb FROM n)"""
+RENDER = "array_to_string(list_transform({}, lambda x: '<|' || x.role || '|>' || chr(10) || x.text || '<|end|>' || chr(10)), '')"
+
+
+@query(
+    "op5_chat",
+    f"""WITH {SQL_TURNS} SELECT conv_id, rejected_from, CAST(n AS INTEGER) AS n_prefix_turns, {RENDER.format("a[1:n]")} AS prompt, {RENDER.format("ra")} AS chosen, {RENDER.format("rb")} AS rejected,
+CASE WHEN len(ra) = 0 THEN '' ELSE '14:' || (22 + length(ra[1].text)) END AS chosen_mask, CASE WHEN len(rb) = 0 THEN '' ELSE '14:' || (22 + length(rb[1].text)) END AS rejected_mask FROM r""",
+)
+def op5_chat(spark, sf_dir):
+    done = chat.preference_pairs(chat.swapped_answers(table(spark, sf_dir, "conversations")))
+    spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",").alias(c)
+    return done.select("conv_id", "rejected_from", "n_prefix_turns", "prompt", "chosen", "rejected", spans("chosen_mask"), spans("rejected_mask"))
+
+
+SQL_MIX = """d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS cnt FROM d GROUP BY 1),
+w AS (SELECT *, (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1 AS weight FROM s),
+l AS (SELECT *, 3 * source_size / weight AS ratio, (sum(source_size) OVER ()::BIGINT - coalesce(sum(3 * source_size) OVER b, 0)::BIGINT) / (sum(weight) OVER ()::BIGINT - coalesce(sum(weight) OVER b, 0)::BIGINT) AS level FROM w WINDOW b AS (ORDER BY 3 * source_size / weight, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+v AS (SELECT level FROM l WHERE level <= ratio ORDER BY ratio, source ASC NULLS LAST LIMIT 1),
+t AS (SELECT l.source, source_size, cnt, least(3.0::DOUBLE * source_size, v.level * weight) AS target FROM l, v),
+r AS (SELECT *, CASE WHEN source_size > 0 AND target > 0 THEN least(3.0, round(target / source_size, 9)) ELSE 0.0 END::DOUBLE AS rate FROM t),
+k AS (SELECT d.doc_id, d.source, d.size, r.source_size, r.target, r.rate, ('0x' || md5(coalesce(CAST(d.doc_id AS VARCHAR), ''))[1:8])::BIGINT % CAST(ceil(r.cnt / 8192) AS BIGINT) AS g FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
+q AS (SELECT *, row_number() OVER (PARTITION BY source, g ORDER BY size DESC, doc_id ASC NULLS LAST) AS rank FROM k),
+o AS (SELECT (i + 0.5::DOUBLE) / 32 AS u FROM range(32) x(i)),
+z AS (SELECT source, g, u, abs(sum((floor(rate * rank + u) - floor(rate * (rank - 1) + u)) * size) - any_value(rate) * sum(size)) AS away FROM q, o GROUP BY 1, 2, 3),
+y AS (SELECT source, g, u FROM (SELECT *, row_number() OVER (PARTITION BY source, g ORDER BY away, u) AS i FROM z) WHERE i = 1)"""
+
+
+@query("op6_mixing", f"WITH {SQL_MIX} SELECT q.doc_id, size, source_size, target, ((floor(rate * rank + u) - floor(rate * (rank - 1) + u)) * size)::BIGINT AS taken FROM q JOIN y ON q.source IS NOT DISTINCT FROM y.source AND q.g = y.g")
+def op6_mixing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    sized = docs.select("doc_id", "source", mixing.token_size(F.col("text")).alias("size"))
+    return mixing.with_copies(sized).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op7_quality")
+def op7_quality(spark, sf_dir):
+    done = quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), carry=["doc_id"])
+    return done.select("doc_id", *quality.COUNTS, "base_failed", "kept", "score")
+
+
+@query("op8_classifier")
+def op8_classifier(spark, sf_dir):
+    return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), carry=["doc_id"])
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark, sf_dir):
+    done = toxicity.severity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), carry=["doc_id"])
+    return done.select("doc_id", "expected_severity", "severity", "toxic_probability", "toxic")
+
+
+@query("op10_pii")
+def op10_pii(spark, sf_dir):
+    found = pii.find(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    lists = {kind: pii.listed(kind, F.col(kind)) for kind in pii.KINDS}
+    base = F.concat(*lists.values())
+    return found.select(
+        "doc_id",
+        *[F.size(kind).cast("long").alias(f"n_{kind}") for kind in pii.KINDS],
+        F.sha2(F.array_join(base, ","), 256).alias("base_sha256"),
+        F.array_join(F.concat(base, pii.listed(pii.FOUND, F.col("found"))), ",").alias("spans"),
+    )

@@ -14,3 +14,15 @@ SF = "/root/testdata/sf0.01"
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_against_sql(spark, name):
     compare(QUERIES[name](spark, SF), connect(SF), ORACLES[name])
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
+def test_rows(spark, name):
+    df = QUERIES[name](spark, SF)
+    assert df.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    assert 0 < corpus_pipeline.run(spark, SF).count()
