@@ -223,4 +223,4 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
         return result.select(*names, "n_shingles", "component_id", "kept")
     per_id = result.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.max("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id"), F.bool_and("kept").alias("kept"))
     joined = docs.join(per_id.hint("shuffle_hash"), docs["doc_id"].cast("long") == F.col("_id"), "left")
-    return joined.select(*[docs[c] for c in names], "n_shingles", "component_id", F.coalesce("kept", F.lit(True)).alias("kept"))
+    return joined.select(*[docs[c] for c in names], per_id["n_shingles"], per_id["component_id"], F.coalesce(per_id["kept"], F.lit(True)).alias("kept"))

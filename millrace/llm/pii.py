@@ -27,7 +27,7 @@ CARD = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){15,18}(?![ -]?[0-9])"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 WHITE = r" \x09-\x0D"
 #: A whole word that looks like an identifier: three digits or an @ in six characters or more.
-WORD = rf"(?<![^{WHITE}])(?=[^{WHITE}]{{6}})(?=[^{WHITE}@0-9]*+(?:@|[0-9](?:[^{WHITE}0-9]*+[0-9]){{2}}))[^{WHITE}]++"
+WORD = rf"(?<![^{WHITE}])(?=[^{WHITE}]{{6}})(?=[^{WHITE}@]*+@|[^{WHITE}0-9]*+[0-9](?:[^{WHITE}0-9]*+[0-9]){{2}})[^{WHITE}]++"
 SPAN = "array<struct<start: long, end: long, value: string>>"
 MIN_SEEDS = 3
 ROUNDS = 3

@@ -22,7 +22,7 @@ MIN_SUPPORT = 4
 MIN_G2 = 15.0
 FILTER_BITS = 22
 GRADES = 3
-L2 = 0.02
+L2 = 0.005
 
 
 def feature_hashes(slab: K.Slab) -> tuple[list[np.ndarray], np.ndarray]:
@@ -133,7 +133,7 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit(rows, columns, values, n_texts: int, n_features: int, grade: np.ndarray, levels: int = GRADES, steps: int = 400, rate: float = 0.1):
+def fit(rows, columns, values, n_texts: int, n_features: int, grade: np.ndarray, levels: int = GRADES, steps: int = 1200, rate: float = 0.1):
     """Shared weights and ascending thresholds by Adam on the penalised likelihood; fixed start, so reruns agree."""
     w = np.zeros(n_features)
     raw = np.concatenate(([1.0], np.zeros(levels - 1)))  # first threshold, then logs of the gaps
