@@ -45,3 +45,10 @@ def drop(spark: SparkSession, path: str) -> None:
     """Remove an intermediate table that nothing reads any more."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def discard(*frames) -> None:
+    """Remove the tables behind frames that ``materialise`` returned; nothing lazy may read them any more."""
+    for df in frames:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            drop(df.sparkSession, path)
