@@ -19,7 +19,7 @@ from millrace.workspace import materialise
 #: Entries of the matrix that the driver draws and broadcasts (8 bytes each). More partitions are coalesced to fit.
 MAX_ENTRIES = 1 << 22
 #: Rows that one task permutes in the second pass.
-ROWS_PER_SORT = 20_000
+ROWS_PER_SORT = 2_000
 PLACE_BITS = 33
 
 
