@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import kernel as K
 from millrace.llm.components import connected_components
-from millrace.workspace import materialise
+from millrace.workspace import discard, materialise
 
 BANDS = 32
 #: The most that a linked pair may be missed by all bands.
@@ -27,6 +27,8 @@ MISS = 1e-6
 BLOCK = 1024
 #: Members that a star's centre serves per copy of its set.
 SALT = 1000
+#: Candidate ids (8 bytes each) up to which they are sent to the tasks that hold the texts; with more, texts travel to the ids.
+IDS_SENT = 2_000_000
 EMPTY = np.iinfo(K.U).max
 
 
@@ -203,12 +205,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     sizes = banded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n >= 2")
     members = materialise(banded.join(sizes, "bucket").dropDuplicates(["bucket", "node"]), "buckets")
 
-    wanted = members.select("node").distinct()
-    again = texts.join(wanted.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
+    wanted = materialise(members.select(F.col("node").alias("doc_id")).distinct(), "candidates")
+    again = texts.join(F.broadcast(wanted) if wanted.count() <= IDS_SENT else wanted, "doc_id", "left_semi")
     sets = materialise(K.map_texts(again, "shingles array<long>", lambda t: sets_of(t, shingle), carry=["doc_id"]).withColumnRenamed("doc_id", "node"), "sets")
 
     star = materialise(confirm(star_edges(members), sets, percent), "star-links")
-    rest = block_links(unresolved(members, connected_components(star)), sets, percent)
+    rest = materialise(block_links(unresolved(members, connected_components(star)), sets, percent), "block-links")
+    discard(sets, members, wanted)
     shared = usable.select("doc_id", "s1", "s2").join(nodes.select("s1", "s2", "node"), ["s1", "s2"])
     # Rows of one doc_id with different texts tie their nodes together.
     ties = shared.filter("doc_id <> node").groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("a")).filter("a <> b").select("a", "b")
