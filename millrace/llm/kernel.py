@@ -1,6 +1,6 @@
 """Vectorised byte kernels over Arrow string columns.
 
-Texts are handled as UTF-8 bytes in slabs of a few megabytes, so memory follows the slab and not the batch. Words are
+Texts are handled as UTF-8 bytes in slabs of half a megabyte, so memory follows the slab and not the batch. Words are
 hashed with a polynomial over a random byte table modulo 2**64: prefix sums give every span's hash in one pass.
 """
 
@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-SLAB = 1 << 21
+SLAB = 1 << 19
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
 #: Everything but digits, a-z and bytes from 0x80 (after lower-casing).
