@@ -9,44 +9,75 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from millrace.llm import kernel as K
 from millrace.workspace import drop, scratch
 
 MIN_CHARS = 40
 MIN_DOCS = 5
 FANOUT = 4
 BATCHES = 4
-WHITE = " \t\n\x0b\f\r"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 KEYS = ["k1", "k2"]
 
 
-def lines_of(text: Column) -> Column:
-    """Lines without their ends; null and empty text are one empty line."""
-    return F.split(F.coalesce(text, F.lit("")), "\n")
-
-
-def line_key(line: Column) -> Column:
-    return F.translate(F.btrim(line, F.lit(WHITE)), UPPER, LOWER)
-
-
-def key_hash(line: Column, min_chars: int) -> Column:
-    """128 bits in two longs; null where the key is too short to count."""
-    key = line_key(line)
-    pair = F.struct(F.xxhash64(key).alias("k1"), F.xxhash64(F.lit(77), F.reverse(key), F.length(key)).alias("k2"))
-    return F.when(F.length(key) >= min_chars, pair)
-
-
-def line_hashes(text: Column, min_chars: int = MIN_CHARS) -> Column:
-    """Distinct hashes of a text's lines that are long enough."""
-    return F.array_distinct(F.array_compact(F.transform(lines_of(text), lambda line: key_hash(line, min_chars))))
+def long_lines(slab: K.Slab, min_chars: int):
+    """Of the lines whose key is long enough: text, line number in it, and 128 bits of key hash in two arrays."""
+    data = K.LOWER[slab.data]
+    starts, ends, first = K.spans(data, slab.bounds, K.LINE_END)
+    solid = np.flatnonzero(~K.WHITE[data])
+    left, right = np.searchsorted(solid, starts), np.searchsorted(solid, ends)
+    some = right > left
+    owner = np.repeat(np.arange(slab.rows), np.diff(first))[some]
+    whole_starts, left, right = starts[some], solid[left[some]], solid[right[some] - 1] + 1
+    letters = np.concatenate(([0], np.cumsum(data & 0xC0 != 0x80)))
+    long = letters[right] - letters[left] >= min_chars
+    owner, left, right, whole_starts = owner[long], left[long], right[long], whole_starts[long]
+    breaks = np.concatenate(([0], np.cumsum(data == 10)))
+    number = breaks[whole_starts] - breaks[slab.bounds[owner]]
+    return owner, number, K.hash_spans(data, left, right), K.hash_spans(data ^ np.uint8(0xA5), left, right)
 
 
 def document_keys(docs: DataFrame, min_chars: int) -> DataFrame:
     """(doc_id, k1, k2), once for each document and key."""
-    return docs.select("doc_id", F.explode(line_hashes(F.col("text"), min_chars)).alias("k")).select("doc_id", "k.k1", "k.k2")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            for slab in K.slabs(batch.column(1)):
+                owner, _, k1, k2 = long_lines(slab, min_chars)
+                order = np.lexsort((k2, k1, owner))
+                owner, k1, k2 = owner[order], k1[order], k2[order]
+                new = np.concatenate(([True], (owner[1:] != owner[:-1]) | (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])))[: len(owner)]
+                ids = batch.column(0).take(pa.array(owner[new] + slab.first))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(k1[new].view(np.int64)), pa.array(k2[new].view(np.int64))], ["doc_id", *KEYS])
+
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, k1 long, k2 long")
+
+
+def without_lines(texts: pa.Array, doomed: pa.Array, min_chars: int) -> list[pa.Array]:
+    """n_lines, n_dropped and the text that is left, ``doomed`` being each text's keys to drop."""
+    kept, n_lines, n_dropped = texts.fill_null("").to_pylist(), [], np.zeros(len(texts), np.int64)
+    drops = doomed.to_pylist()
+    for slab in K.slabs(texts):
+        n_lines.append(K.per_text((slab.data == 10).astype(np.int64), slab.bounds) + 1)
+        rows = [i for i in range(slab.rows) if drops[slab.first + i]]
+        if not rows:
+            continue
+        owner, number, k1, k2 = long_lines(slab, min_chars)
+        for i in rows:
+            a, b = np.searchsorted(owner, [i, i + 1])
+            gone = {(d["k1"], d["k2"]) for d in drops[slab.first + i]}
+            pairs = zip(number[a:b].tolist(), k1[a:b].view(np.int64).tolist(), k2[a:b].view(np.int64).tolist(), strict=True)
+            out = {n for n, x, y in pairs if (x, y) in gone}
+            at = slab.first + i
+            n_dropped[at] = len(out)
+            kept[at] = "\n".join(line for n, line in enumerate(kept[at].split("\n")) if n not in out)
+    return [pa.array(np.concatenate(n_lines) if n_lines else np.empty(0), pa.int64()), pa.array(n_dropped), pa.array(kept, pa.string())]
 
 
 class LineRuns:
@@ -116,12 +147,16 @@ def dedup_lines(docs: DataFrame, batches: list[DataFrame] | None = None, min_cha
     # A document's own keys: bounded by its lines.
     per_doc = doomed.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct(*KEYS)).alias("_drop"))
     joined = docs.join(per_doc.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left")
-    lines = lines_of(F.col("text"))
-    stays = lambda line: F.coalesce(~F.array_contains(F.col("_drop"), key_hash(line, min_chars)), F.lit(True))
-    kept = F.when(F.col("_drop").isNull(), lines).otherwise(F.filter(lines, stays))
     old = [c for c in docs.columns if c not in ("text_kept", "n_lines", "n_dropped")]
-    done = joined.select(*[docs[c] for c in old], F.size(lines).cast("long").alias("n_lines"), kept.alias("_kept"))
-    return done.select(*old, "n_lines", (F.col("n_lines") - F.size("_kept")).alias("n_dropped"), F.array_join("_kept", "\n").alias("text_kept"))
+    new = T._parse_datatype_string("n_lines long, n_dropped long, text_kept string")
+    rows = joined.select(*[docs[c] for c in old], docs["text"].cast("string").alias("_text"), "_drop")
+
+    def run(batches_):
+        for batch in batches_:
+            made = without_lines(batch.column(len(old)), batch.column(len(old) + 1), min_chars)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(old)], *made], [*old, *new.names])
+
+    return rows.mapInArrow(run, T.StructType([*docs.select(*old).schema.fields, *new.fields]))
 
 
 def file_batches(spark: SparkSession, path: str, batches: int = BATCHES) -> list[DataFrame]:
