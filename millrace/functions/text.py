@@ -20,6 +20,11 @@ TYPOGRAPHIC = "‘’“”–—"
 PLAIN = "''\"\"--"
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often ``use`` names it and wherever Catalyst moves it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def clean_html(text: Column) -> Column:
     """Tags become one space, then whitespace runs become one space; ends trimmed. Entities stay as they are."""
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"<[^>]+>", " "), r"\s+", " "))
@@ -32,11 +37,14 @@ def word_presence(text: Column, word: str) -> Column:
 
 def stopword_hits(text: Column, words=STOPWORDS) -> Column:
     """How many of ``words`` occur in the lower-cased text. Null text gives 0."""
-    lowered = F.lower(text)
-    total = F.lit(0)
-    for word in words:
-        total = total + F.when(word_presence(lowered, word), 1).otherwise(0)
-    return total
+
+    def count(lowered: Column) -> Column:
+        total = F.lit(0)
+        for word in words:
+            total = total + F.when(word_presence(lowered, word), 1).otherwise(0)
+        return total
+
+    return bound(F.lower(text), count)
 
 
 def is_present(text: Column) -> Column:

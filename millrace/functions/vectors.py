@@ -7,6 +7,8 @@ import zlib
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from millrace.functions.text import bound
+
 
 def dot(left: Column, right: Column) -> Column:
     pairs = F.zip_with(left, right, lambda a, b: a.cast("double") * b.cast("double"))
@@ -17,11 +19,6 @@ def norm(vector: Column) -> Column:
     return F.sqrt(dot(vector, vector))
 
 
-def bound(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` evaluated once, also where ``use`` names it inside a lambda."""
-    return F.transform(F.array(value), use)[0]
-
-
 def l2_normalise(vector: Column) -> Column:
     """Unit length in single precision; a zero vector stays as it is."""
     scaled = lambda v, n: F.transform(v, lambda x: F.when(n == 0, x.cast("double")).otherwise(x.cast("double") / n).cast("float"))

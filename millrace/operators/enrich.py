@@ -51,10 +51,15 @@ def validated(raw: Column) -> Column:
     Fences are dropped first. A record fails as a whole on text that isn't an object, an unknown or missing key,
     a value outside its enum, length or range. Years may come as a whole number in digits, quoted or with ``.0``.
     """
-    body = X.strip_fences(raw)
-    keys = F.json_object_keys(body)
-    loose = F.from_json(body, "skills string, seniority string, years_experience_min string")
-    items = F.from_json(loose["skills"], "array<map<string,string>>")
+    loose = lambda body: F.from_json(body, "skills string, seniority string, years_experience_min string")
+    parts = lambda body: F.struct(F.json_object_keys(body).alias("keys"), loose(body).alias("loose"))
+    listed = lambda p: F.struct(p["keys"].alias("keys"), p["loose"].alias("loose"), F.from_json(p["loose"]["skills"], "array<map<string,string>>").alias("items"))
+    return X.bound(X.strip_fences(raw), lambda body: X.bound(parts(body), lambda p: X.bound(listed(p), verdict)))
+
+
+def verdict(parsed: Column) -> Column:
+    """``validated`` for an answer taken apart into its keys, its fields as strings and its mentions as maps."""
+    keys, loose, items = parsed["keys"], parsed["loose"], parsed["items"]
     years = loose["years_experience_min"]
     whole = F.regexp_extract(years, r"^(-?\d{1,9})(?:\.0+)?$", 1)
     length_ok = lambda v, most: F.coalesce((F.length(v) >= 1) & (F.length(v) <= most), F.lit(False))

@@ -26,7 +26,10 @@ def flagged(df: DataFrame, text: str = "description") -> DataFrame:
 def silver(df: DataFrame, text: str = "description", dedupe_on: str | None = None) -> DataFrame:
     """Records that pass all three flags, ``description_clean`` in place of the text. ``dedupe_on`` keeps one row a key."""
     keep = [("description_clean" if c == text else c) for c in df.columns]
-    passed = flagged(df, text).filter("has_desc AND is_english AND long_enough").select(*keep)
+    # The filter is pushed below the projection; in one bound expression it cleans each text once.
+    fits = lambda c: F.coalesce((X.stopword_hits(c) >= X.MIN_STOPWORDS) & (F.length(c) >= X.MIN_CHARS), F.lit(False))
+    kept = df.filter(X.is_present(F.col(text)) & X.bound(X.clean_html(F.col(text)), fits))
+    passed = kept.withColumn("description_clean", X.clean_html(F.col(text))).select(*keep)
     return passed.dropDuplicates([dedupe_on]) if dedupe_on else passed
 
 

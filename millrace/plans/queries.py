@@ -157,7 +157,7 @@ def lexicon_pages(spark, sf_dir):
 
 @query("term_frequency", f"WITH {SQL_MATCHED} SELECT t.term, count(*) AS n FROM m, unnest(string_split(terms, ',')) AS t(term) WHERE t.term <> '' GROUP BY 1")
 def term_frequency(spark, sf_dir):
-    return stats.frequency(_matched(spark, sf_dir).select(F.explode("terms").alias("term")), "term")
+    return stats.frequency(_matched(spark, sf_dir).select(F.explode_outer("terms").alias("term")), "term")
 
 
 @query("technical_population", f"WITH {SQL_MATCHED} SELECT doc_id, len(string_split(terms, ',')) AS n_skills FROM m WHERE terms <> '' AND len(string_split(terms, ',')) >= {sampling.MIN_SKILLS}")
