@@ -1,9 +1,11 @@
+import os
+
 import pytest
 from oracle import compare, connect
 
 from millrace.plans.queries import ORACLES, QUERIES
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("MILLRACE_SF", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="module")
