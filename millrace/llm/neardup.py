@@ -25,6 +25,8 @@ BANDS = 32
 MISS = 1e-6
 #: Rows of each side of a block that one task compares in memory.
 BLOCK = 1024
+#: Shingles (8 bytes each) of one side of a block, about; long texts make smaller blocks.
+BLOCK_SHINGLES = 2_000_000
 #: Members that a star's centre serves per copy of its set.
 SALT = 1000
 #: Candidate ids (8 bytes each) up to which they are sent to the tasks that hold the texts; with more, texts travel to the ids.
@@ -141,18 +143,21 @@ def unresolved(members: DataFrame, components: DataFrame) -> DataFrame:
     return labelled.join(kept, "bucket").select("bucket", "node", "component", (F.col("component") != F.col("top")).alias("outside"), "size")
 
 
-def block_links(rows: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+def block_links(rows: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK, shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """Links (a, b) between outside members and members of other components, found in blocks of bounded size.
 
-    A bucket of m members makes a grid of (m / block) squared cells; a row is copied once for each cell of its line.
+    A bucket of m members makes a grid of (m / block) squared cells, or more where its sets together hold more than
+    ``shingles`` a line; a row is copied once for each cell of its line.
     """
-    side = F.ceil(F.col("size") / block)
+    weights = rows.join(sets.select("node", "n_set"), "node").groupBy("bucket").agg(F.sum("n_set").alias("weight"))
+    rows = rows.join(weights, "bucket")
+    side = F.greatest(F.ceil(F.col("size") / block), F.ceil(F.col("weight") / shingles))
     own = F.pmod(F.xxhash64("node", F.lit(5)), side)
     line = F.sequence(F.lit(0).cast("long"), side - 1)
     cells = F.transform(line, lambda k: F.struct(own.alias("i"), k.alias("j"), F.lit(False).alias("query")))
     queries = F.when(F.col("outside"), F.transform(line, lambda k: F.struct(k.alias("i"), own.alias("j"), F.lit(True).alias("query")))).otherwise(F.slice(cells, 1, 0))
     dealt = rows.select("bucket", "node", "component", F.explode(F.concat(cells, queries)).alias("cell")).select("bucket", "node", "component", "cell.*")
-    full = dealt.join(sets, "node")
+    full = dealt.join(sets.select("node", "shingles"), "node")
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         found = []
@@ -207,7 +212,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
 
     wanted = materialise(members.select(F.col("node").alias("doc_id")).distinct(), "candidates")
     again = texts.join(F.broadcast(wanted) if wanted.count() <= IDS_SENT else wanted, "doc_id", "left_semi")
-    sets = materialise(K.map_texts(again, "shingles array<long>", lambda t: sets_of(t, shingle), carry=["doc_id"]).withColumnRenamed("doc_id", "node"), "sets")
+    sets = materialise(K.map_texts(again, "shingles array<long>", lambda t: sets_of(t, shingle), carry=["doc_id"]).select(F.col("doc_id").alias("node"), "shingles", F.size("shingles").alias("n_set")), "sets")
 
     star = materialise(confirm(star_edges(members), sets, percent), "star-links")
     rest = materialise(block_links(unresolved(members, connected_components(star)), sets, percent), "block-links")
