@@ -7,6 +7,7 @@ pass of its own.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from typing import NamedTuple
 
@@ -16,70 +17,118 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import kernel as K
+from millrace.workspace import materialise
 
 WINDOW = 10
 #: Text bytes of test items in one broadcast block.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 #: Log2 of the entries in the first look-up table.
 FILTER_BITS = 22
 
 FIELDS = "n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>"
 
 
+class Windows(NamedTuple):
+    """Windows of one length. Those of equal words are one group; groups are sorted by hash."""
+
+    filter: np.ndarray
+    keys: np.ndarray  # a group's hash
+    heads: np.ndarray  # first word of a group's first window
+    cuts: np.ndarray  # where a group's owners begin, one more than groups
+    owners: np.ndarray  # items of each group, by number
+
+
 class Index(NamedTuple):
-    lengths: list[int]
-    filters: dict[int, np.ndarray]
-    hashes: dict[int, np.ndarray]  # sorted, distinct
-    entries: dict[int, list[list[tuple[bytes, list[str]]]]]  # for each hash: window's words, ids of items that hold it
+    """Arrays only: a window costs about 32 bytes and a word its bytes and 8, so a block of text bounds the index."""
 
+    items: list[str]
+    data: bytes  # all words, each followed by a space
+    starts: np.ndarray  # of the words in data, one more than words
+    windows: dict[int, Windows]
 
-def words_of(text: str | None) -> tuple[np.ndarray, list[bytes]]:
-    data = K.LOWER[np.frombuffer((text or "").encode(), np.uint8)]
-    starts, ends, _ = K.spans(data, np.array([0, len(data)]), K.NOT_ALNUM)
-    raw = data.tobytes()
-    return K.hash_spans(data, starts, ends), [raw[s:e] for s, e in zip(starts, ends, strict=True)]
+    def text(self, word: int, n: int) -> bytes:
+        return self.data[self.starts[word] : self.starts[word + n] - 1]
 
 
 def build_index(items: list[tuple[str, str | None]], window: int = WINDOW) -> Index:
     """Items with fewer words than a window are one window of their own length; items without words have none."""
-    found: dict[int, dict[int, dict[bytes, set[str]]]] = {}
-    for item, text in items:
-        hashes, words = words_of(text)
-        n = min(window, len(words))
-        if n:
-            for i, h in enumerate(K.ngram_hashes(hashes, n).tolist()):
-                found.setdefault(n, {}).setdefault(h, {}).setdefault(b" ".join(words[i : i + n]), set()).add(item)
-    filters, hashes, entries = {}, {}, {}
-    for n, table in found.items():
-        keys = sorted(table)
-        hashes[n] = np.array(keys, K.U)
-        entries[n] = [[(words, sorted(ids)) for words, ids in table[k].items()] for k in keys]
-        filters[n] = np.zeros(1 << FILTER_BITS, bool)
-        filters[n][(hashes[n] >> K.U(64 - FILTER_BITS)).astype(np.int64)] = True
-    return Index(sorted(found), filters, hashes, entries)
-
-
-def scan(slab: K.Slab, index: Index):
-    """Words a text, covered words a text, ids a text, and the byte spans of covered runs a text."""
+    raw = [(text or "").encode() for _, text in items]
+    bounds = np.concatenate(([0], np.cumsum([len(r) for r in raw], dtype=np.int64)))
+    data = K.LOWER[np.frombuffer(b"".join(raw), np.uint8)]
+    starts, ends, first = K.spans(data, bounds, K.NOT_ALNUM)
+    words = K.hash_spans(data, starts, ends)
+    whole = data.tobytes()
+    packed = b"".join([whole[s:e] + b" " for s, e in zip(starts.tolist(), ends.tolist(), strict=True)])
+    index = Index([item for item, _ in items], packed, np.concatenate(([0], np.cumsum(ends - starts + 1))), {})
+    owner = np.repeat(np.arange(len(items), dtype=np.int32), np.diff(first))
+    lengths = np.minimum(np.diff(first), window)
+    for n in np.unique(lengths[lengths > 0]).tolist():
+        hashed = K.ngram_hashes(words, n)
+        inside = K.windows_inside(first, len(words), n)[: len(hashed)] & (lengths[owner[: len(hashed)]] == n)
+        index.windows[n] = grouped(index, n, np.flatnonzero(inside), hashed, owner)
+    return index
+
+
+def grouped(index: Index, n: int, at: np.ndarray, hashed: np.ndarray, owner: np.ndarray) -> Windows:
+    at = at[np.argsort(hashed[at], kind="stable")]
+    keys = hashed[at]
+    head = np.searchsorted(keys, keys)
+    # Windows of one hash but other words get a number of their own beside the hash.
+    other = np.zeros(len(at), np.int32)
+    numbers: dict[tuple[int, bytes], int] = {}
+    for k in np.flatnonzero(head != np.arange(len(at))).tolist():
+        words = index.text(at[k], n)
+        if words != index.text(at[head[k]], n):
+            other[k] = numbers.setdefault((int(keys[k]), words), len(numbers) + 1)
+    order = np.lexsort((owner[at], other, keys))
+    at, keys, other = at[order], keys[order], other[order]
+    own = owner[at]
+    new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (other[1:] != other[:-1])))
+    kept = new | np.concatenate(([True], own[1:] != own[:-1]))
+    groups = np.flatnonzero(new)
+    maybe = np.zeros(1 << FILTER_BITS, bool)
+    maybe[(keys[groups] >> K.U(64 - FILTER_BITS)).astype(np.int64)] = True
+    cuts = np.concatenate((np.flatnonzero(new[kept]), [kept.sum()]))
+    return Windows(maybe, keys[groups], at[groups].astype(np.int32), cuts, own[kept])
+
+
+def scan(slab: K.Slab, index: Index, known=None):
+    """Words a text, covered words a text, ids a text, and the byte spans of covered runs a text.
+
+    ``known``: for each text the ids and spans that were found before, or None; they count as found here.
+    """
     data = K.LOWER[slab.data]
     starts, ends, first = K.spans(data, slab.bounds, K.NOT_ALNUM)
     words = K.hash_spans(data, starts, ends)
     cover = np.zeros(len(words) + 1, np.int32)
     ids: dict[int, set[str]] = {}
-    for n in index.lengths:
+    seen: set[tuple[int, int, int]] = set()
+    for row, (items, spans) in enumerate(known or ()):
+        if items:
+            ids[row] = set(items)
+        for s in spans or ():
+            a, b = np.searchsorted(starts, [slab.bounds[row] + s["start"], slab.bounds[row] + s["end"]])
+            cover[a] += 1
+            cover[b] -= 1
+    for n, found in index.windows.items():
         hashed = K.ngram_hashes(words, n)
-        maybe = np.flatnonzero(index.filters[n][(hashed >> K.U(64 - FILTER_BITS)).astype(np.int64)])
+        maybe = np.flatnonzero(found.filter[(hashed >> K.U(64 - FILTER_BITS)).astype(np.int64)])
         maybe = maybe[K.windows_inside(first, len(words), n)[maybe]]
-        at = np.searchsorted(index.hashes[n], hashed[maybe])
-        at[at == len(index.hashes[n])] = 0
-        same = index.hashes[n][at] == hashed[maybe]
+        at = np.searchsorted(found.keys, hashed[maybe])
+        at[at == len(found.keys)] = 0
+        same = found.keys[at] == hashed[maybe]
         for i, k in zip(maybe[same].tolist(), at[same].tolist(), strict=True):
             here = b" ".join([data[starts[j] : ends[j]].tobytes() for j in range(i, i + n)])
-            for there, items in index.entries[n][k]:
-                if there == here:
+            while k < len(found.keys) and found.keys[k] == hashed[i]:
+                if index.text(found.heads[k], n) == here:
                     cover[i] += 1
                     cover[i + n] -= 1
-                    ids.setdefault(int(np.searchsorted(first, i, "right")) - 1, set()).update(items)
+                    seen.add((int(np.searchsorted(first, i, "right")) - 1, n, k))
+                    break
+                k += 1
+    for row, n, k in seen:
+        found = index.windows[n]
+        ids.setdefault(row, set()).update(index.items[i] for i in found.owners[found.cuts[k] : found.cuts[k + 1]].tolist())
     covered = np.cumsum(cover[:-1]) > 0
     return np.diff(first), K.per_text(covered.astype(np.int64), first), ids, runs(covered, first, starts, ends, slab.bounds)
 
@@ -97,84 +146,70 @@ def runs(covered, first, starts, ends, bounds) -> dict[int, list[tuple[int, int]
     return out
 
 
-def item_blocks(benchmark: DataFrame, block_bytes: int) -> list[list[tuple[str, str | None]]]:
-    """Items in blocks whose size was counted before anything is fetched."""
+class Blocks(NamedTuple):
+    """Items dealt into ``n`` blocks; only one at a time is on the driver."""
+
+    numbered: DataFrame
+    n: int
+
+    def __len__(self) -> int:
+        return self.n
+
+    def each(self) -> Iterator[list[tuple[str, str | None]]]:
+        for k in range(self.n):
+            yield [(row["i"], row["t"]) for row in self.numbered.filter(F.col("b") == k).collect()]
+
+
+def item_blocks(benchmark: DataFrame, block_bytes: int) -> Blocks:
+    """Blocks of about ``block_bytes``, their number taken from a size counted before anything is fetched."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), F.col("text").alias("t"))
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = -(-size // block_bytes) or 1
-    if n == 1:
-        return [[(row["i"], row["t"]) for row in items.collect()]]
-    numbered = items.withColumn("b", F.pmod(F.xxhash64("i", "t"), F.lit(n)))
-    return [[(row["i"], row["t"]) for row in numbered.filter(F.col("b") == k).collect()] for k in range(n)]
+    return Blocks(items.withColumn("b", F.pmod(F.xxhash64("i", "t"), F.lit(n))), n)
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, carry=None) -> DataFrame:
     """``docs`` with n_words, n_hit (words inside an occurring window), items (ids, sorted) and spans (bytes, end exclusive).
 
-    Null and empty texts have no words and no hits; an empty benchmark hits nothing. Columns of the new names are replaced.
-    Over several blocks ``docs`` needs a key: rows are put together by doc_id, and rows of one doc_id and equal text give
-    one row, as their results are equal.
+    One row a row of ``docs``, repeated rows included. Null and empty texts have no words and no hits; an empty benchmark
+    hits nothing. Columns of the new names are replaced.
     """
     sc = docs.sparkSession.sparkContext
-    parts = []
-    for block in item_blocks(benchmark, block_bytes):
+    names = list(docs.columns if carry is None else carry)
+    blocks = item_blocks(benchmark, block_bytes)
+    if len(blocks) == 1:
+        shared = sc.broadcast(build_index(next(blocks.each()), window))
+        return K.map_texts(docs, FIELDS, lambda texts: look_up(texts, shared.value), carry=names)
+    # Rows get a number and are written once; each block's pass brings out only the rows that it hits. What is carried
+    # goes in a struct, so that no name of its own can clash.
+    kept = F.struct(*[docs[c] for c in names])
+    staged = materialise(docs.select(kept.alias("row"), docs["text"].cast("string").alias("text"), F.monotonically_increasing_id().alias("id")), "hits-rows")
+    found = []
+    for block in blocks.each():
         shared = sc.broadcast(build_index(block, window))
-        parts.append(K.map_texts(docs, FIELDS, lambda texts, shared=shared: look_up(texts, shared.value), carry=carry))
-    return parts[0] if len(parts) == 1 else put_together(docs, parts)
-
-
-def look_up(texts, index: Index) -> list[pa.Array]:
-    n_words, n_hit, items, spans = [], [], [], []
+        part = K.map_texts(staged, FIELDS, lambda texts, shared=shared: look_up(texts, shared.value), carry=["id"])
+        found.append(materialise(part.filter("n_hit > 0").select("id", "items", "spans"), "hits-block"))
+        shared.unpersist()
+    together = reduce(DataFrame.union, found).groupBy("id").agg(F.flatten(F.collect_list("items")).alias("ids"), F.flatten(F.collect_list("spans")).alias("places"))
+    nothing = build_index([], window)
+    merged = K.map_texts(staged.join(together, "id", "left"), FIELDS, lambda *columns: look_up(columns[0], nothing, *columns[1:]), carry=["row"], extra=("ids", "places"))
+    new = [c for c in merged.columns if c != "row"]
+    return merged.select(*[F.col("row")[c].alias(c) for c in names if c not in new], *new)
+
+
+def look_up(texts, index: Index, items=None, spans=None) -> list[pa.Array]:
+    """The columns of FIELDS. ``items`` and ``spans``: what was found in these texts before."""
+    before = list(zip(items.to_pylist(), spans.to_pylist(), strict=True)) if items is not None else None
+    n_words, n_hit, found, covered = [], [], [], []
     for slab in K.slabs(texts):
-        words, hit, ids, covered = scan(slab, index)
+        words, hit, ids, spans_ = scan(slab, index, before and before[slab.first : slab.first + slab.rows])
         n_words.append(words)
         n_hit.append(hit)
-        items += [sorted(ids.get(i, ())) for i in range(slab.rows)]
-        spans += [[{"start": a, "end": b} for a, b in covered.get(i, ())] for i in range(slab.rows)]
+        found += [sorted(ids.get(i, ())) for i in range(slab.rows)]
+        covered += [[{"start": a, "end": b} for a, b in spans_.get(i, ())] for i in range(slab.rows)]
     whole = lambda x: pa.array(np.concatenate(x) if x else np.empty(0), pa.int64())
     pairs = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    return [whole(n_words), whole(n_hit), pa.array(items, pa.list_(pa.string())), pa.array(spans, pairs)]
-
-
-def put_together(docs: DataFrame, parts: list[DataFrame]) -> DataFrame:
-    """One row of several blocks' findings. Covered words are counted anew from the joined spans."""
-    new = ["n_words", "n_hit", "items", "spans"]
-    keys = [c for c in parts[0].columns if c not in new]
-    together = reduce(DataFrame.unionByName, parts).groupBy(*keys).agg(
-        F.max("n_words").alias("n_words"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        F.array_sort(F.flatten(F.collect_list("spans"))).alias("_all"),
-    )
-    if "text" not in keys:
-        raise ValueError("a benchmark of several blocks needs the text carried")
-
-    def recount(texts, spans):
-        counts, joined = [], []
-        for text, found in zip(texts.to_pylist(), spans.to_pylist(), strict=True):
-            merged: list[dict] = []
-            for s in found:
-                if merged and s["start"] <= merged[-1]["end"]:
-                    merged[-1]["end"] = max(merged[-1]["end"], s["end"])
-                else:
-                    merged.append(dict(s))
-            raw = (text or "").encode()
-            counts.append(sum(len(words_of(raw[m["start"] : m["end"]].decode())[1]) for m in merged))
-            joined.append(merged)
-        return counts, joined
-
-    schema = together.drop("_all").withColumn("n_hit", F.lit(0).cast("long")).withColumn("spans", F.col("items").cast("array<string>")).schema
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*schema.fields[:-1], parts[0].schema["spans"]])
-    at = together.columns.index("text")
-
-    def run(batches):
-        for batch in batches:
-            counts, joined = recount(batch.column(at), batch.column(batch.num_columns - 1))
-            arrays = [*batch.columns[:-1], pa.array(counts, pa.int64()), pa.array(joined, batch.columns[-1].type)]
-            yield pa.RecordBatch.from_arrays(arrays, schema.names)
-
-    return together.mapInArrow(run, schema)
+    return [whole(n_words), whole(n_hit), pa.array(found, pa.list_(pa.string())), pa.array(covered, pairs)]
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", window: int = WINDOW) -> DataFrame:

@@ -130,22 +130,22 @@ def per_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return sums[first[1:]] - sums[first[:-1]]
 
 
-def map_texts(df, fields: str, handle, text: str = "text", carry=None):
-    """``mapInArrow`` over ``df``: the columns of ``carry`` pass through, ``handle(texts, setup)`` gives the new ones.
+def map_texts(df, fields: str, handle, text: str = "text", carry=None, extra: tuple[str, ...] = ()):
+    """``mapInArrow`` over ``df``: the columns of ``carry`` pass through, ``handle(texts, *extra)`` gives the new ones.
 
-    A column of ``df`` with the name of a new one is replaced. ``handle`` takes the Arrow string array of a batch and
-    returns one array per new field. ``text`` needn't be carried.
+    A column of ``df`` with the name of a new one is replaced. ``handle`` takes the Arrow arrays of a batch, the texts as
+    strings first, and returns one array per new field. ``text`` and ``extra`` needn't be carried.
     """
     from pyspark.sql import types as T
 
     new = T._parse_datatype_string(fields)
     names = [c for c in (df.columns if carry is None else carry) if c not in new.names]
     old = df.select(*names).schema
-    slim = df.select(*names, df[text].cast("string").alias("_kernel_text"))
+    slim = df.select(*names, df[text].cast("string").alias("_kernel_text"), *[df[c].alias(f"_kernel_{c}") for c in extra])
 
     def run(batches):
         for batch in batches:
-            made = handle(batch.column(batch.num_columns - 1))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], [*names, *new.names])
+            made = handle(*batch.columns[len(names) :])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *made], [*names, *new.names])
 
     return slim.mapInArrow(run, T.StructType([*old.fields, *new.fields]))

@@ -4,6 +4,7 @@ import sys
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,6 +109,26 @@ def test_hits_against_plain_python(spark, docs, block):
     assert sum(v[1] > 0 for v in got.values()) > 4
 
 
+def test_hits_of_several_blocks_keep_every_row(spark, docs):
+    benchmark = spark.createDataFrame(ITEMS, "item_id long, text string")
+    twice = docs.union(docs).withColumns({"items": F.lit("old"), "id": F.lit("own"), "m": F.create_map(F.lit("k"), F.col("doc_id"))})
+    one, many = ([(r["doc_id"], r["n_words"], r["n_hit"], list(r["items"]), r["spans"], r["id"]) for r in decontaminate.hits(twice, benchmark, block_bytes=b).collect()] for b in (1 << 20, 40))
+    key = lambda r: (r[0], r[1], r[2])
+    assert len(many) == 2 * len(DATA) and sorted(one, key=key) == sorted(many, key=key)
+
+
+def test_windows_of_one_hash_are_told_apart_by_their_words(spark, monkeypatch):
+    """Every window gets the same hash, so the words alone decide."""
+    from millrace.llm import kernel
+
+    monkeypatch.setattr(kernel, "ngram_hashes", lambda words, n: np.full(max(0, len(words) - n + 1), 5, np.uint64))
+    index = decontaminate.build_index([("a", "x y z"), ("b", "y z w"), ("c", "Y z, w q"), ("d", "x y z")], 3)
+    slab = next(kernel.slabs(pa.array(["z w q y z w", "x y z", "x y", "q x"])))
+    n_words, n_hit, ids, spans = decontaminate.scan(slab, index)
+    assert n_words.tolist() == [6, 3, 2, 2] and n_hit.tolist() == [6, 3, 0, 0]
+    assert ids == {0: {"b", "c"}, 1: {"a", "d"}} and spans == {0: [(0, 11)], 1: [(0, 5)]}
+
+
 def test_decontaminate_keeps_columns_and_clean_rows(spark, docs, empty):
     benchmark = spark.createDataFrame(ITEMS, "item_id long, text string")
     want = {d for d, v in cases.contamination(DATA, ITEMS).items() if not v[1]}
@@ -147,10 +168,11 @@ def test_edited_copies_in_one_bucket(spark):
     assert {r["doc_id"]: tuple(r)[1:] for r in out} == want
 
 
-def test_block_grid_is_whole(spark):
-    sets = spark.createDataFrame([(i, list(range(i, i + 30))) for i in range(40)], "node long, shingles array<long>")
+@pytest.mark.parametrize(("block", "shingles"), [(6, 10**6), (1024, 90)])
+def test_block_grid_is_whole(spark, block, shingles):
+    sets = spark.createDataFrame([(i, list(range(i, i + 30)), 30) for i in range(40)], "node long, shingles array<long>, n_set int")
     rows = spark.createDataFrame([(7, i, i, True, 40) for i in range(40)], "bucket long, node long, component long, outside boolean, size long")
-    links = neardup.block_links(rows, sets, 85, block=6)
+    links = neardup.block_links(rows, sets, 85, block=block, shingles=shingles)
     assert connected_components(links).select("component").distinct().count() == 1
 
 
