@@ -18,6 +18,8 @@ from millrace.llm.quality import COUNTS, SYMBOLS, base_counts
 
 HASHED = 256
 RIDGE = 1.0
+#: Rows that the fit widens to doubles at a time.
+FIT_ROWS = 1024
 #: How sure a document's own evidence can be, so that a site can't be silenced or silence.
 CLIP = 1e-6
 STRENGTH = (1.0, 1e6)
@@ -53,21 +55,41 @@ def features(slab: K.Slab) -> np.ndarray:
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ridge logistic regression by Newton's method on standardised columns: (mean, scale, weights with intercept first)."""
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
-    z = np.hstack([np.ones((len(x), 1)), (x - mean) / scale])
-    w = np.zeros(z.shape[1])
-    penalty = np.full(z.shape[1], ridge)
+    """Ridge logistic regression by Newton's method on standardised columns: (mean, scale, weights with intercept first).
+
+    Sums are made over runs of rows, so the driver holds the features once, as they came, and no copy of them.
+    """
+    cuts = range(0, len(x), FIT_ROWS)
+    mean = sum(x[k : k + FIT_ROWS].sum(axis=0, dtype=np.float64) for k in cuts) / len(x)
+    scale = np.sqrt(sum(((x[k : k + FIT_ROWS] - mean) ** 2).sum(axis=0) for k in cuts) / len(x)) + 1e-6
+    w = np.zeros(x.shape[1] + 1)
+    penalty = np.full(len(w), ridge)
     penalty[0] = 1e-3
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(penalty), z.T @ (y - p) - penalty * w)
+        hessian, gradient = np.diag(penalty), -penalty * w
+        for k in cuts:
+            part = x[k : k + FIT_ROWS]
+            z = np.hstack([np.ones((len(part), 1)), (part - mean) / scale])
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+            hessian += (z * (p * (1 - p))[:, None]).T @ z
+            gradient += z.T @ (y[k : k + FIT_ROWS] - p)
+        step = np.linalg.solve(hessian, gradient)
         w += step
         if np.abs(step).max() < 1e-6:
             break
     return mean, scale, w
 
 
+def unpacked(column: pa.ChunkedArray) -> np.ndarray:
+    """Rows of floats out of a binary column whose values are all of one length, without a Python object a row."""
+    parts = []
+    for chunk in column.chunks:
+        if len(chunk):
+            ends = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+            parts.append(np.frombuffer(chunk.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.float32).reshape(len(chunk), -1))
+    return np.concatenate(parts)
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str, most: int):
     """A model fitted on the bounded sample, or None where it lacks one of the two classes."""
     known = sample(docs, labels, label, most)
@@ -75,7 +97,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str, most: int):
     y = packed["label"].to_numpy().astype(float)
     if len(set(y.tolist())) < 2:
         return None
-    x = np.stack([np.frombuffer(b, np.float32) for b in packed["x"].to_pylist()]).astype(np.float64)
+    x = unpacked(packed["x"])
+    del packed
     return fit(x, y)
 
 
