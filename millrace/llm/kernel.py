@@ -14,6 +14,9 @@ import pyarrow as pa
 
 U = np.uint64
 SLAB = 1 << 19
+#: Bytes of an Arrow batch, about; a worker holds a batch several times over, and so do the buffers on its way.
+BATCH_BYTES = 8 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
 #: Everything but digits, a-z and bytes from 0x80 (after lower-casing).
@@ -130,6 +133,14 @@ def per_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return sums[first[1:]] - sums[first[:-1]]
 
 
+def bounded_batches(df):
+    """``df``, with its session's limit on the bytes of Arrow batches lowered to BATCH_BYTES; a lower one stays."""
+    spark = df.sparkSession
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(BATCH_SETTING)) > BATCH_BYTES:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    return df
+
+
 def map_texts(df, fields: str, handle, text: str = "text", carry=None, extra: tuple[str, ...] = ()):
     """``mapInArrow`` over ``df``: the columns of ``carry`` pass through, ``handle(texts, *extra)`` gives the new ones.
 
@@ -148,4 +159,4 @@ def map_texts(df, fields: str, handle, text: str = "text", carry=None, extra: tu
             made = handle(*batch.columns[len(names) :])
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *made], [*names, *new.names])
 
-    return slim.mapInArrow(run, T.StructType([*old.fields, *new.fields]))
+    return bounded_batches(slim).mapInArrow(run, T.StructType([*old.fields, *new.fields]))

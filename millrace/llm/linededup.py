@@ -56,7 +56,7 @@ def document_keys(docs: DataFrame, min_chars: int) -> DataFrame:
                 ids = batch.column(0).take(pa.array(owner[new] + slab.first))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(k1[new].view(np.int64)), pa.array(k2[new].view(np.int64))], ["doc_id", *KEYS])
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, k1 long, k2 long")
+    return K.bounded_batches(docs.select("doc_id", F.col("text").cast("string"))).mapInArrow(run, f"doc_id {kind}, k1 long, k2 long")
 
 
 def without_lines(texts: pa.Array, doomed: pa.Array, min_chars: int) -> list[pa.Array]:
@@ -156,7 +156,7 @@ def dedup_lines(docs: DataFrame, batches: list[DataFrame] | None = None, min_cha
             made = without_lines(batch.column(len(old)), batch.column(len(old) + 1), min_chars)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(old)], *made], [*old, *new.names])
 
-    return rows.mapInArrow(run, T.StructType([*docs.select(*old).schema.fields, *new.fields]))
+    return K.bounded_batches(rows).mapInArrow(run, T.StructType([*docs.select(*old).schema.fields, *new.fields]))
 
 
 def file_batches(spark: SparkSession, path: str, batches: int = BATCHES) -> list[DataFrame]:

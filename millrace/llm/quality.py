@@ -57,7 +57,7 @@ def count_grams(df: DataFrame) -> np.ndarray:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], ["bucket", "n"])
 
-    rows = df.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    rows = K.bounded_batches(df.select("text")).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(1 << BUCKET_BITS, np.int64)
     for row in rows:
         out[row["bucket"]] = row["n"]

@@ -46,7 +46,7 @@ def supported(known: DataFrame, least: int = MIN_SUPPORT) -> np.ndarray:
                 names, n = np.unique(np.concatenate(held), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(n)], ["feature", "n"])
 
-    counted = known.filter("label = 1").select("text").mapInArrow(run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    counted = K.bounded_batches(known.filter("label = 1").select("text")).mapInArrow(run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
     found = counted.filter(F.col("n") >= least).select("feature").toArrow()["feature"].to_numpy()
     return np.sort(found.astype(np.int64).view(K.U))
 
@@ -67,7 +67,7 @@ def document_frequencies(known: DataFrame, names: np.ndarray) -> DataFrame:
         some = np.flatnonzero(seen.sum(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(names[some].view(np.int64)), pa.array(seen[1][some]), pa.array(seen[0][some])], ["feature", "toxic", "clean"])
 
-    return known.select("text", "label").mapInArrow(run, "feature long, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    return K.bounded_batches(known.select("text", "label")).mapInArrow(run, "feature long, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def vocabulary(known: DataFrame, size: int = VOCABULARY) -> np.ndarray:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import cases  # noqa: E402
 
-from millrace.llm import chat, classifier, decontaminate, linededup, mixing, neardup, pii, quality, sharding, toxicity  # noqa: E402
+from millrace.llm import chat, classifier, decontaminate, kernel, linededup, mixing, neardup, pii, quality, sharding, toxicity  # noqa: E402
 from millrace.llm.components import connected_components  # noqa: E402
 
 DATA = cases.rows()
@@ -54,6 +54,20 @@ def test_sharding_is_repeatable_and_mixes(spark):
     assert all(180 < n < 320 for n in share.values())
 
 
+def test_arrow_batches_are_bounded_by_bytes(spark):
+    before = spark.conf.get(kernel.BATCH_SETTING)
+    df = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("x"), 10_000).alias("text"))
+    try:
+        spark.conf.set(kernel.BATCH_SETTING, "64m")
+        sizes = kernel.map_texts(df, "rows long", lambda texts: [pa.array([len(texts)] * len(texts), pa.int64())], carry=[])
+        assert sizes.agg(F.max("rows")).first()[0] * 10_000 < 2 * kernel.BATCH_BYTES
+        spark.conf.set(kernel.BATCH_SETTING, "1m")
+        kernel.bounded_batches(df)
+        assert spark.conf.get(kernel.BATCH_SETTING) == "1m"
+    finally:
+        spark.conf.set(kernel.BATCH_SETTING, before)
+
+
 def test_matrix_sums():
     m = sharding.communication_matrix([5, 0, 17, 1], sharding.shard_sizes(23, 6), 3)
     assert m.sum(axis=1).tolist() == [5, 0, 17, 1] and m.sum(axis=0).tolist() == [4, 4, 4, 4, 4, 3]
