@@ -22,6 +22,8 @@ RIDGE = 1.0
 FIT_ROWS = 1024
 #: How sure a document's own evidence can be, so that a site can't be silenced or silence.
 CLIP = 1e-6
+#: Scores are rounded to so many digits and summed as whole numbers, so that sums don't depend on the order of rows.
+DIGITS = 9
 STRENGTH = (1.0, 1e6)
 NAMES = ("doc_score", "host_posterior", "path_posterior", "quality_score", "kept")
 
@@ -49,8 +51,9 @@ def features(slab: K.Slab) -> np.ndarray:
         d = data.astype(np.uint32)
         word = (d[:-2] | d[1:-1] << np.uint32(8) | d[2:] << np.uint32(16)) * np.uint32(0x9E3779B1)
         bucket = ((word ^ word >> np.uint32(15)) * np.uint32(0x85EBCA6B) >> np.uint32(24)).astype(np.int64)
-        owner = np.repeat(np.arange(slab.rows), np.diff(bounds))[:-2]
-        grams = np.bincount(owner * HASHED + bucket, minlength=slab.rows * HASHED).reshape(slab.rows, HASHED)
+        owner = np.repeat(np.arange(slab.rows), np.diff(bounds))
+        inside = owner[:-2] == owner[2:]
+        grams = np.bincount((owner[:-2] * HASHED + bucket)[inside], minlength=slab.rows * HASHED).reshape(slab.rows, HASHED)
     return np.hstack([np.stack(columns, axis=1), np.sqrt(grams / length[:, None])]).astype(np.float32)
 
 
@@ -93,13 +96,15 @@ def unpacked(column: pa.ChunkedArray) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, label: str, most: int):
     """A model fitted on the bounded sample, or None where it lacks one of the two classes."""
     known = sample(docs, labels, label, most)
-    packed = K.map_texts(known, "x binary", lambda texts: [pa.array([row.tobytes() for slab in K.slabs(texts) for row in features(slab)], pa.binary())], carry=["label"]).toArrow()
-    y = packed["label"].to_numpy().astype(float)
+    packed = K.map_texts(known, "x binary", lambda texts: [pa.array([row.tobytes() for slab in K.slabs(texts) for row in features(slab)], pa.binary())], carry=["doc_id", "label"]).toArrow()
+    # Ids are distinct in the sample; their order makes the fit's sums the same in every run.
+    order = np.argsort(packed["doc_id"].to_numpy())
+    y = packed["label"].to_numpy().astype(float)[order]
     if len(set(y.tolist())) < 2:
         return None
     x = unpacked(packed["x"])
     del packed
-    return fit(x, y)
+    return fit(x[order], y)
 
 
 def document_scores(texts, model) -> list[pa.Array]:
@@ -107,7 +112,7 @@ def document_scores(texts, model) -> list[pa.Array]:
         return [pa.array(np.ones(len(texts)), pa.float64())]
     mean, scale, w = model
     parts = [1 / (1 + np.exp(-np.clip(w[0] + (features(slab) - mean) / scale @ w[1:], -30, 30))) for slab in K.slabs(texts)]
-    return [pa.array(np.concatenate(parts) if parts else np.empty(0), pa.float64())]
+    return [pa.array(np.round(np.concatenate(parts), DIGITS) if parts else np.empty(0), pa.float64())]
 
 
 def logit(p: Column) -> Column:
@@ -138,7 +143,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     from millrace.workspace import materialise
 
     scored = materialise(K.map_texts(docs, "doc_score double", lambda texts: document_scores(texts, model), carry=inner), "scored")
-    paths = materialise(scored.groupBy(F.col(host).alias("_h"), F.col(path).alias("_p")).agg(F.count("*").alias("n"), F.sum("doc_score").alias("s")), "paths")
+    paths = materialise(scored.groupBy(F.col(host).alias("_h"), F.col(path).alias("_p")).agg(F.count("*").alias("n"), (F.sum(F.round(F.col("doc_score") * 10**DIGITS).cast("decimal(38,0)")) / F.lit(10.0**DIGITS)).alias("s")), "paths")
     hosts = paths.groupBy("_h").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     whole = hosts.agg((F.sum("s") / F.sum("n")).alias("m")).first()["m"]
     mean = min(max(1.0 if whole is None else whole, CLIP), 1 - CLIP)

@@ -73,7 +73,8 @@ def scores(slab: K.Slab, table: np.ndarray) -> np.ndarray:
     values = np.zeros(len(slab.data))
     values[: len(bucket)] = np.where(inside, table[bucket], 0.0) if len(bucket) else 0.0
     number = np.maximum(np.diff(slab.bounds) - GRAM + 1, 0)
-    return K.per_text(values, slab.bounds) / (number + PRIOR_GRAMS)
+    # Rounded, since sums along a slab leave traces of the texts before.
+    return np.round(K.per_text(values, slab.bounds) / (number + PRIOR_GRAMS), 9)
 
 
 def repeats(keys: np.ndarray) -> np.ndarray:

@@ -177,7 +177,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, most: int):
             words += n.tolist()
         return [pa.array(columns, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64())), pa.array(words, pa.int64())]
 
-    rows = K.map_texts(known, "c array<int>, v array<double>, words long", pack, carry=["label"]).toArrow()
+    rows = K.map_texts(known, "c array<int>, v array<double>, words long", pack, carry=["doc_id", "label"]).toArrow().sort_by("doc_id")
     sizes = np.array([len(x) for x in rows["c"].to_pylist()])
     flat = lambda name: np.array([x for xs in rows[name].to_pylist() for x in xs])
     grade = grades(rows["label"].to_numpy(), rows["words"].to_numpy())

@@ -324,6 +324,23 @@ def test_models_edges(spark, docs, empty, labels, run):
     assert twice.count() == 2 * len(DATA) + 1 and "text" in twice.columns
 
 
+def test_features_of_a_text_are_its_own():
+    texts = ["", "a", "ab", "abc!", None, "one two three four", "é|é\n\nx", "", "ABC abc 12"]
+    together = np.concatenate([classifier.features(slab) for slab in kernel.slabs(pa.array(texts))])
+    alone = np.concatenate([classifier.features(slab) for t in texts for slab in kernel.slabs(pa.array([t], pa.string()))])
+    assert np.array_equal(together, alone)
+
+
+@pytest.mark.parametrize("run", [quality.quality_rules, classifier.classify, toxicity.severity])
+def test_models_do_not_depend_on_the_order_of_rows(spark, run):
+    docs, labels = labelled_corpus(spark)
+    seen = [
+        sorted(tuple(round(v, 7) if isinstance(v, float) else v for v in r) for r in run(d, labels, carry=["doc_id"]).collect())
+        for d in (docs.orderBy("doc_id").coalesce(1), docs.repartition(7, F.xxhash64("doc_id")))
+    ]
+    assert seen[0] == seen[1]
+
+
 def test_sparse_sites_shrink_to_the_prior(spark):
     docs, labels = labelled_corpus(spark)
     lone = docs.withColumn("source", F.when(F.col("doc_id") == 4, "lone").otherwise(F.col("source")))
