@@ -1,7 +1,7 @@
 """Personal data: fixed kinds by pattern, further identifiers by bootstrapped context.
 
-Entities of the fixed kinds are seeds. The words around seeds, and a key before ``=`` or ``:`` in the same word, are
-lexical patterns. Patterns are scored by how much of what they stand beside, over the whole corpus, is an identifier; other
+Entities of the fixed kinds, blanks in them included, are seeds. The words around seeds, and a key before ``=`` or ``:``
+in the same word, are lexical patterns. Patterns are scored by how much of what they stand beside, over the whole corpus, is an identifier; other
 identifier-like words are scored by their patterns, and the two scores are worked out in turn for some rounds. Words that
 reach a high score become spans of kind ``id``. All of it is DataFrame work: what is joined is small against the texts.
 """
@@ -36,23 +36,20 @@ CONFIDENT = 0.8
 DOUBT = 1.0
 
 
-def located(text: Column, pattern: str, around: bool = False) -> Column:
-    """Matches with their places in code points. ``around``: also the words before and after each."""
+def located(text: Column, pattern: str) -> Column:
+    """Matches with their places in code points."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    fields = "start: long, end: long, value: string" + (", left: string, right: string" if around else "")
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<struct<{fields}>>").alias("spans"))
-    pairs = F.transform(found, lambda m, i: F.struct(m.alias("m"), F.get(gaps, i).alias("before"), F.get(gaps, i + 1).alias("after")) if around else F.struct(m.alias("m"), F.length(F.get(gaps, i)).alias("before")))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("spans"))
+    pairs = F.transform(found, lambda m, i: F.struct(m.alias("m"), F.length(F.get(gaps, i)).alias("before")))
 
     def step(acc: Column, p: Column) -> Column:
-        begin = acc["at"] + (F.length(p["before"]) if around else p["before"])
+        begin = acc["at"] + p["before"]
         end = begin + F.length(p["m"])
-        parts = [begin.alias("start"), end.alias("end"), p["m"].alias("value")]
-        if around:
-            parts += [last_word(p["before"]).alias("left"), first_word(p["after"]).alias("right")]
-        return F.struct(end.alias("at"), F.array_append(acc["spans"], F.struct(*parts)).alias("spans"))
+        span = F.struct(begin.alias("start"), end.alias("end"), p["m"].alias("value"))
+        return F.struct(end.alias("at"), F.array_append(acc["spans"], span).alias("spans"))
 
-    return F.when(F.size(found) == 0, F.array().cast(f"array<struct<{fields}>>")).otherwise(F.aggregate(pairs, start, step, lambda acc: acc["spans"]))
+    return F.when(F.size(found) == 0, F.array().cast(SPAN)).otherwise(F.aggregate(pairs, start, step, lambda acc: acc["spans"]))
 
 
 def blanked(text: Column) -> Column:
@@ -93,13 +90,48 @@ def base_spans(text: Column) -> dict[str, Column]:
     }
 
 
+def entities(words: Column, base: Column) -> Column:
+    """Base spans and identifier-like words in order, those that overlap as one: start, end, value, first, seed.
+
+    ``seed``: a base span is in it; ``value`` is then that span's. ``first`` is what it begins with.
+    """
+    fields = "start: long, end: long, value: string, first: string, seed: boolean"
+    tagged = lambda spans, seed: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), s["value"].alias("first"), F.lit(seed).alias("seed")))
+    start = F.struct(F.lit(None).cast(f"struct<{fields}>").alias("open"), F.array().cast(f"array<struct<{fields}>>").alias("done"))
+
+    def step(acc: Column, x: Column) -> Column:
+        last = acc["open"]
+        value = F.when(x["seed"] & ~last["seed"], x["value"]).otherwise(last["value"])
+        both = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"), value.alias("value"), last["first"].alias("first"), (last["seed"] | x["seed"]).alias("seed"))
+        meets = F.coalesce(x["start"] < last["end"], F.lit(False))
+        done = F.when(meets | last.isNull(), acc["done"]).otherwise(F.array_append(acc["done"], last))
+        return F.struct(F.when(meets, both).otherwise(x).cast(f"struct<{fields}>").alias("open"), done.alias("done"))
+
+    return F.aggregate(F.array_sort(F.concat(tagged(base, True), tagged(words, False))), start, step, lambda acc: F.when(acc["open"].isNull(), acc["done"]).otherwise(F.array_append(acc["done"], acc["open"])))
+
+
 def instances(marked: DataFrame) -> DataFrame:
-    """(doc_id, th, start, end, value, left, right, key, seed): identifier-like words; seed where a base span touches it."""
-    words = F.when(F.col("text").rlike(r"[0-9@]"), located(F.col("text"), WORD, around=True))
-    touched = F.exists("base", lambda b: (b["start"] < F.col("w.end")) & (F.col("w.start") < b["end"]))
-    rows = marked.select("doc_id", "th", "base", F.explode(words).alias("w"))
-    key = F.lower(F.regexp_extract("w.value", r"^([\p{L}_-]{2,40}[=:])", 1))
-    return rows.select("doc_id", "th", "w.*", F.nullif(key, F.lit("")).alias("key"), touched.alias("seed"))
+    """(doc_id, th, start, end, value, left, right, key, seed): base spans, which are the seeds, and other identifier-like words.
+
+    Left and right are the next whole words outside, the rest of a word that a span begins or ends in left out; there is
+    none where the next entity comes first.
+    """
+    text = F.col("text")
+    words = F.when(text.rlike(r"[0-9@]"), located(text, WORD)).otherwise(F.array().cast(SPAN))
+    ready = marked.select("doc_id", "th", "text", "base", words.alias("words")).select("doc_id", "th", "text", entities(F.col("words"), F.col("base")).alias("es"))
+    between = lambda a, b: blanked(text.substr((a + 1).cast("int"), (b - a).cast("int")))
+
+    def beside(e: Column, i: Column) -> Column:
+        before = F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get("es", i - 1)["end"])
+        after = F.when(i == F.size("es") - 1, F.length(text).cast("long")).otherwise(F.get("es", i + 1)["start"])
+        return F.struct(*[e[c].alias(c) for c in ("start", "end", "value", "first", "seed")], between(before, e["start"]).alias("before"), between(e["end"], after).alias("after"))
+
+    rows = ready.select("doc_id", "th", F.explode(F.transform("es", beside)).alias("e")).select("doc_id", "th", "e.*")
+    head, tail = F.substring_index("before", " ", -1), F.substring_index("after", " ", 1)
+    left = last_word(F.expr("left(before, length(before) - length(substring_index(before, ' ', -1)))"))
+    right = first_word(F.col("after").substr(F.length(tail) + 1, F.length("after")))
+    key = F.lower(F.regexp_extract(F.concat(head, "first"), r"^([\p{L}_-]{2,40}[=:])", 1))
+    return rows.select("doc_id", "th", "start", "end", "value", left.alias("left"), right.alias("right"), F.nullif(key, F.lit("")).alias("key"), "seed")
 
 
 def pattern_rows(found: DataFrame) -> DataFrame:

@@ -375,6 +375,25 @@ def test_contexts_give_unseen_identifiers_away(spark):
     assert pii.find(spark.createDataFrame([], "doc_id long, text string, found string")).count() == 0
 
 
+def test_seeds_are_whole_entities(spark):
+    """A phone or card with blanks gives the word before it, none from inside."""
+    numbers = ["4111 1111 1111 1111", "5500 0000 0000 0004", "3400 0000 0000 0091", "6011 0000 0000 0004"]
+    cards = [n for n in numbers if cases.pii_spans(n)["card"]]
+    assert len(cards) >= 3
+    rows = [(i, f"please dial +1 (017) 555-77{i}3, and then wait") for i in range(10, 30)]
+    rows += [(100 + i, f"pay with plastic tok:{c}, here {i}") for i, c in enumerate(cards * 3)]
+    rows += [(200, "please dial QX-99812-B and see"), (201, "no plastic QX-99812-C but more"), (202, "what tok:QX99812D is"), (203, "see 555 QX-99812-E more")]
+    marked = spark.createDataFrame(rows, "doc_id long, text string").withColumn("th", F.xxhash64("text"))
+    marked = marked.withColumn("base", F.concat(*pii.base_spans(F.col("text")).values()))
+    got = {(r["doc_id"], r["value"]): (r["left"], r["right"], r["key"], r["seed"]) for r in pii.instances(marked).collect()}
+    assert got[10, "+1 (017) 555-77103"] == ("dial", "and", None, True)
+    assert got[100, cards[0]] == ("plastic", "here", "tok:", True)
+    assert not [k for k in got if k[1].startswith("555")]
+    found = {r["doc_id"]: [(s["start"], s["end"]) for s in r["found"]] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[200] == [(12, 22)] and found[201] == [(11, 21)] and found[202] == [(5, 17)] and found[203] == []
+    assert not any(found[i] for i, _ in rows[:-4])
+
+
 def test_pipeline_stages_each_do_their_work(spark, tmp_path):
     import corpus_pipeline
 
