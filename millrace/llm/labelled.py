@@ -1,12 +1,59 @@
-"""A bounded sample of labelled documents for training."""
+"""Labelled documents: a bounded sample for training, or all of them."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled documents that a model is fitted on at most; the hash order of ids picks them.
 MOST_LABELLED = 20_000
+#: Bits of the filter that keeps texts without a label from travelling; with more ids it lets more of them pass.
+MOST_BITS = 1 << 26
+BITS_AN_ID = 16
+BLOCK = 1 << 15
+
+
+def marks(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, label): one row an id. Labels that contradict each other count as their least value; nulls are left out."""
+    return labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).cast("int").alias("label"))
+
+
+def likely(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """``docs`` without most rows whose doc_id isn't in ``known``; none that is goes. What is sent is a map of bits."""
+    if docs.schema["doc_id"].dataType != known.schema["doc_id"].dataType:
+        return docs
+    size = BLOCK
+    wanted = known.count() * BITS_AN_ID
+    while size < min(wanted, MOST_BITS):
+        size *= 2
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(size))
+
+    def block(rows: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(BLOCK, bool)
+        bits[rows["place"].to_numpy() % BLOCK] = True
+        return pd.DataFrame({"block": [rows["block"].iloc[0]], "bits": [np.packbits(bits).tobytes()]})
+
+    places = known.select(place.alias("place")).withColumn("block", F.floor(F.col("place") / BLOCK))
+    bitmap = np.zeros(size // 8, np.uint8)
+    for row in places.groupBy("block").applyInPandas(block, "block long, bits binary").toLocalIterator():
+        bitmap[row["block"] * BLOCK // 8 :][: BLOCK // 8] = np.frombuffer(row["bits"], np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf("boolean")
+    def holds(place: pd.Series) -> pd.Series:
+        at = place.to_numpy()
+        return pd.Series((shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool))
+
+    return docs.filter(F.col("doc_id").isNotNull()).filter(holds(place))
+
+
+def everyone(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, text, label) of all labelled documents, one row an id. Of the texts, hardly any without a label travels."""
+    known = marks(labels, label)
+    joined = likely(docs.select("doc_id", "text"), known).join(known.hint("shuffle_hash"), "doc_id")
+    return joined.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, most: int = MOST_LABELLED) -> DataFrame:
@@ -15,7 +62,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, most: int = MOST_LABE
     The ids are few by the bound, so they are broadcast and texts don't travel. Labels that contradict each other for an
     id count as their least value; null labels and ids without a document are left out.
     """
-    known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).cast("int").alias("label"))
+    known = marks(labels, label)
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     joined = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
     return joined.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")

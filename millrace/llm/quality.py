@@ -1,7 +1,7 @@
 """Quality rules: counts that fail a text outright, and a hashed n-gram log-likelihood ratio for the rest.
 
-Byte 4-grams are hashed into buckets. One multinomial is counted over a bounded sample of trusted texts, one over all
-texts; a text's score is the mean log ratio of its n-grams, drawn towards 0 for short texts. Every text is held against one
+Byte 4-grams are hashed into buckets. One multinomial is counted over all trusted texts, one over all texts; a
+text's score is the mean log ratio of its n-grams, drawn towards 0 for short texts. Every text is held against one
 fixed threshold; nothing is drawn at random.
 """
 
@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import kernel as K
-from millrace.llm.labelled import MOST_LABELLED, sample
+from millrace.llm.labelled import everyone
+from millrace.workspace import discard, materialise
 
 GRAM = 4
 BUCKET_BITS = 14
@@ -127,37 +128,69 @@ def measure(texts, table: np.ndarray) -> list[pa.Array]:
     return [pa.array(c, pa.int64()) for c in columns[:5]] + [pa.array(columns[5], pa.float64())]
 
 
-def threshold(values: np.ndarray, good: np.ndarray, max_loss: float = MAX_LOSS) -> float:
-    """Between trusted and untrusted scores where they are told apart best, losing ``max_loss`` of the trusted at most.
+def score(texts, table: np.ndarray) -> list[pa.Array]:
+    parts = [scores(slab, table) for slab in K.slabs(texts)]
+    return [pa.array(np.concatenate(parts) if parts else np.empty(0), pa.float64())]
 
-    Without untrusted examples, the loss alone decides; without trusted ones nothing is rejected.
+
+def threshold(held: DataFrame, max_loss: float = MAX_LOSS) -> float:
+    """Of (label, score): between trusted and untrusted scores where they are told apart best, losing ``max_loss`` of the
+    trusted at most.
+
+    Without untrusted examples, the loss alone decides; without trusted ones nothing is rejected. Untrusted scores below
+    a cut are only more at the next trusted score, so the best cut is one of the lowest trusted scores; those come to the
+    driver, with the number and the highest of the untrusted scores between them.
     """
-    if not good.any():
+    trusted, untrusted = held.filter("label = 1"), held.filter("label <> 1")
+    # A bound on the scores that are needed; the cut itself is exact.
+    totals = trusted.agg(F.count("*").alias("n"), F.percentile_approx("score", min(1.0, 2 * max_loss), 10_000).alias("bound")).first()
+    if not totals["n"]:
         return float("-inf")
-    highest = float(np.quantile(values[good], max_loss, method="lower"))
-    if good.all():
-        return highest
-    cuts = np.unique(values[values <= highest])
-    bad = np.sort(values[~good])
-    trusted = np.sort(values[good])
-    gain = np.searchsorted(bad, cuts) / len(bad) - np.searchsorted(trusted, cuts) / len(trusted)
-    best = float(cuts[np.flatnonzero(gain == gain.max())[0]])
-    below = values[values < best]
-    return (best + float(below.max())) / 2 if len(below) else best
-
-
-def quality_rules(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = MOST_LABELLED, carry=None) -> DataFrame:
+    need = int(np.floor((totals["n"] - 1) * max_loss)) + 1
+    for some in (trusted.filter(F.col("score") <= totals["bound"]), trusted):
+        lowest = some.groupBy("score").agg(F.count("*").alias("n")).toArrow()
+        order = np.argsort(lowest["score"].to_numpy())
+        cuts, upto = lowest["score"].to_numpy()[order], np.cumsum(lowest["n"].to_numpy()[order])
+        if len(upto) and upto[-1] >= need:
+            break
+    cuts = cuts[: np.searchsorted(upto, need) + 1]
+    lost = np.concatenate(([0], upto))[: len(cuts)]
+
+    def run(batches):
+        number, highest = np.zeros(len(cuts) + 1, np.int64), np.full(len(cuts) + 1, -np.inf)
+        for batch in batches:
+            values = batch.column(0).to_numpy()
+            at = np.searchsorted(cuts, values, side="right")
+            number += np.bincount(at, minlength=len(number))
+            np.maximum.at(highest, at, values)
+        some = np.flatnonzero(number)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(number[some]), pa.array(highest[some])], ["gap", "n", "highest"])
+
+    gaps = untrusted.select("score").mapInArrow(run, "gap long, n long, highest double").groupBy("gap").agg(F.sum("n").alias("n"), F.max("highest").alias("highest")).collect()
+    number, highest = np.zeros(len(cuts) + 1, np.int64), np.full(len(cuts) + 1, -np.inf)
+    for row in gaps:
+        number[row["gap"]], highest[row["gap"]] = row["n"], row["highest"]
+    if not number.any():
+        return float(cuts[-1])
+    gain = np.cumsum(number)[:-1] / number.sum() - lost / totals["n"]
+    best = int(np.argmax(gain))
+    below = max(float(highest[: best + 1].max()), float(cuts[best - 1]) if best else float("-inf"))
+    return (float(cuts[best]) + below) / 2 if below > float("-inf") else float(cuts[best])
+
+
+def quality_rules(docs: DataFrame, labels: DataFrame, label: str = "quality", carry=None) -> DataFrame:
     """``docs`` with the five counts, score, base_failed and kept.
 
     Null text counts as empty, has no words and fails. With no trusted example nothing fails but by the counts.
     Columns of the new names are replaced.
     """
-    known = sample(docs, labels, label, most)
+    known = materialise(everyone(docs, labels, label), "quality-labelled")
     trusted = count_grams(known.filter("label = 1"))
     table = log_ratio(trusted, count_grams(docs)) if trusted.any() else np.zeros(1 << BUCKET_BITS)
+    held = materialise(K.map_texts(known, "score double", lambda texts: score(texts, table), carry=["label"]), "quality-scores")
+    discard(known)
+    cut = threshold(held)
     fields = ", ".join(f"{c} long" for c in COUNTS) + ", score double"
-    held = K.map_texts(known, fields, lambda texts: measure(texts, table), carry=["label"]).select("label", "score").toArrow()
-    cut = threshold(held["score"].to_numpy(), held["label"].to_numpy() == 1)
     measured = K.map_texts(docs, fields, lambda texts: measure(texts, table), carry=carry)
     failed = (F.col("n_words") < MIN_WORDS) | (F.lit(100) * F.col("n_repeat_words") > F.lit(MAX_REPEAT_PERCENT) * F.col("n_words"))
     measured = measured.select(*[c for c in measured.columns if c not in ("base_failed", "kept")], failed.alias("base_failed"))

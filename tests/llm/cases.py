@@ -134,3 +134,21 @@ def pii_spans(text):
                 found.append((m.start(), m.end()))
         out[kind] = found
     return out
+
+
+def best_cut(values, good, max_loss):
+    """The threshold of quality over all values at once."""
+    import numpy as np
+
+    if not good.any():
+        return float("-inf")
+    highest = float(np.quantile(values[good], max_loss, method="lower"))
+    if good.all():
+        return highest
+    cuts = np.unique(values[values <= highest])
+    bad = np.sort(values[~good])
+    trusted = np.sort(values[good])
+    gain = np.searchsorted(bad, cuts) / len(bad) - np.searchsorted(trusted, cuts) / len(trusted)
+    best = float(cuts[np.flatnonzero(gain == gain.max())[0]])
+    below = values[values < best]
+    return (best + float(below.max())) / 2 if len(below) else best

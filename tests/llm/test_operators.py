@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import cases  # noqa: E402
 
-from millrace.llm import chat, classifier, decontaminate, kernel, linededup, mixing, neardup, pii, quality, sharding, toxicity  # noqa: E402
+from millrace.llm import chat, classifier, decontaminate, kernel, labelled, linededup, mixing, neardup, pii, quality, sharding, toxicity  # noqa: E402
 from millrace.llm.components import connected_components  # noqa: E402
 
 DATA = cases.rows()
@@ -324,6 +324,38 @@ def test_models_edges(spark, docs, empty, labels, run):
     assert twice.count() == 2 * len(DATA) + 1 and "text" in twice.columns
 
 
+def test_trusted_grams_are_of_all_labelled_texts(spark, monkeypatch):
+    """More trusted rows than a model is fitted on, one of them in an alphabet of its own."""
+    rng = random.Random(4)
+    n = labelled.MOST_LABELLED + 400
+    body = [" ".join(rng.choice(("river", "stone", "cloud", "tree")) for _ in range(8)) for _ in range(50)]
+    docs = spark.createDataFrame([(i, body[i % 50]) for i in range(n)], "doc_id long, text string").repartition(8).cache()
+    labels = spark.createDataFrame([(i, int(i % 9 > 0)) for i in range(n)], "doc_id long, quality int")
+    seen = []
+    count = quality.count_grams
+    monkeypatch.setattr(quality, "count_grams", lambda df: seen.append(count(df)) or seen[-1])
+    assert quality.quality_rules(docs, labels, carry=["doc_id"]).count() == n
+    want = sum(len(body[i % 50]) - 3 for i in range(n) if i % 9)
+    assert seen[0].sum() == want and seen[1].sum() == sum(len(body[i % 50]) - 3 for i in range(n))
+
+
+def test_threshold_against_plain_numpy(spark):
+    rng = np.random.default_rng(2)
+    for n, bad, spread in ((2000, 700, 0.4), (1, 5, 1.0), (40, 0, 1.0), (0, 9, 1.0), (3000, 3000, 3.0), (999, 50, 0.01)):
+        values = np.round(np.concatenate([rng.normal(1, spread, n), rng.normal(0, spread, bad)]), 3)
+        good = np.arange(n + bad) < n
+        held = spark.createDataFrame([(int(g), float(v)) for g, v in zip(good, values)], "label int, score double").repartition(5)
+        for loss in (0.002, 0.05):
+            assert quality.threshold(held, loss) == cases.best_cut(values, good, loss), (n, bad, loss)
+
+
+def test_the_filter_of_ids_loses_none(spark):
+    docs = spark.range(0, 50_000).select(F.col("id").alias("doc_id"))
+    known = docs.filter("doc_id % 7 = 3")
+    out = labelled.likely(docs, known)
+    assert out.join(known, "doc_id", "left_semi").count() == known.count() and out.count() < known.count() + 50_000 / 15
+
+
 def test_features_of_a_text_are_its_own():
     texts = ["", "a", "ab", "abc!", None, "one two three four", "é|é\n\nx", "", "ABC abc 12"]
     together = np.concatenate([classifier.features(slab) for slab in kernel.slabs(pa.array(texts))])
