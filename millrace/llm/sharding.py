@@ -21,19 +21,43 @@ MAX_ENTRIES = 1 << 22
 #: Rows that one task permutes in the second pass.
 ROWS_PER_SORT = 2_000
 PLACE_BITS = 33
+#: Numpy's hypergeometric draw takes fewer balls than this.
+NUMPY_BALLS = 1_000_000_000
 
 
 def draw(rng: np.random.Generator, good: int, bad: int, take: int) -> int:
-    """A hypergeometric count. Beyond numpy's range the normal limit is used, clipped to what is possible."""
+    """A hypergeometric count. Beyond numpy's range the law is inverted."""
     low, high = max(0, take - bad), min(good, take)
     if low == high:
         return low
-    if good + bad < 1_000_000_000:
+    if good + bad < NUMPY_BALLS:
         return int(rng.hypergeometric(good, bad, take))
-    total = good + bad
-    mean = take * good / total
-    deviation = (mean * (bad / total) * ((total - take) / max(1, total - 1))) ** 0.5
-    return int(min(high, max(low, round(rng.normal(mean, deviation)))))
+    return inverted(rng.random(), good, bad, take)
+
+
+def inverted(u: float, good: int, bad: int, take: int) -> int:
+    """The count at which the hypergeometric law passes ``u``.
+
+    Weights come from the ratios of neighbouring counts, outwards from the mode, so no factorial of a large number loses
+    figures. They end where what is left is less than a double of ``u`` can tell.
+    """
+    low, high = max(0, take - bad), min(good, take)
+    mode = min(high, max(low, (good + 1) * (take + 1) // (good + bad + 2)))
+    up = outward(mode, high, lambda k: (good - k) / (k + 1) * ((take - k) / (bad - take + k + 1)))
+    down = outward(mode, low, lambda k: k / (good - k + 1) * ((bad - take + k) / (take - k + 1)))
+    upto = np.cumsum(np.concatenate((down[::-1], [1.0], up)))
+    return mode - len(down) + min(int(np.searchsorted(upto, u * upto[-1], side="right")), len(upto) - 1)
+
+
+def outward(mode: int, end: int, ratio) -> np.ndarray:
+    """Weights of the counts beyond ``mode`` as far as ``end``, that of ``mode`` being 1; ``ratio`` leads from each to the next."""
+    step, parts, last, k = (1 if end > mode else -1), [], 1.0, mode
+    # The ratios fall, so all that follow weigh less than a geometric series.
+    while k != end and (not parts or last * ratio(k) / max(1 - ratio(k), 1e-300) > 1e-18):
+        n = min(abs(end - k), 256 * 2 ** min(len(parts), 12))
+        parts.append(last * np.cumprod(ratio(k + step * np.arange(n, dtype=np.float64))))
+        last, k = float(parts[-1][-1]), k + step * n
+    return np.concatenate(parts) if parts else np.empty(0)
 
 
 def communication_matrix(counts: list[int], sizes: list[int], seed: int) -> np.ndarray:

@@ -1,3 +1,4 @@
+import math
 import os
 import random
 import sys
@@ -35,6 +36,26 @@ def labels(spark):
 # Sharding ---------------------------------------------------------------------------------------------------------
 
 
+def test_draws_of_large_counts_follow_the_law(monkeypatch):
+    """Rare good balls: the law is as good as Poisson's, far from a normal one; below 10^9 it is numpy's."""
+    rng = np.random.default_rng(5)
+    seen = Counter(sharding.draw(rng, 1_000_000, 1_999_000_000, 2000) for _ in range(20_000))
+    for k in range(6):
+        want = np.exp(-1) / np.prod(np.arange(1, k + 1))
+        assert abs(seen[k] / 20_000 - want) < 5 * np.sqrt(want / 20_000) + 0.001, k
+    for good, bad, take in ((30, 50, 20), (5, 100, 60), (100, 5, 60), (1, 1, 1), (3000, 4000, 6900)):
+        low, high = max(0, take - bad), min(good, take)
+        ways = [math.comb(good, k) * math.comb(bad, take - k) for k in range(low, high + 1)]
+        upto = [sum(ways[: i + 1]) / sum(ways) for i in range(len(ways))]
+        for u in rng.random(200):
+            assert sharding.inverted(u, good, bad, take) == low + int(np.searchsorted(upto, u, side="right"))
+    big = [sharding.draw(rng, 3 * 10**11, 7 * 10**11, 10**10) for _ in range(300)]
+    assert abs(np.mean(big) - 3e9) < 5 * 45_600 / 300**0.5 and 0.8 < np.std(big) / 45_600 < 1.2
+    monkeypatch.setattr(sharding, "NUMPY_BALLS", 0)
+    matrix = sharding.communication_matrix([400, 0, 77, 1000], sharding.shard_sizes(1477, 40), 3)
+    assert matrix.sum(1).tolist() == [400, 0, 77, 1000] and matrix.sum(0).tolist() == sharding.shard_sizes(1477, 40)
+
+
 def test_shards_have_exact_sizes_and_gapless_slots(spark):
     df = spark.range(0, 1003, 1, 7).withColumn("shard", F.lit("old"))
     out = sharding.shard(df, 8).collect()
