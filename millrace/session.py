@@ -18,6 +18,7 @@ def build_session(master: str = "local[8]", app: str = "millrace", shuffle_parti
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
         .config("spark.ui.enabled", "false")
     )
     for key, value in conf.items():

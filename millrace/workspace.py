@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
 _local: dict[str, str] = {}
+_made: list[list[str]] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -30,7 +33,26 @@ def shared_root(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    for made in _made:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def cleared(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables begun inside are removed on leaving. What is to last is written, inside, to a path made outside.
+
+    Operators return plans that still read such tables, so it is for whoever writes the result to say when they may go.
+    """
+    made: list[str] = []
+    _made.append(made)
+    try:
+        yield
+    finally:
+        _made[:] = [other for other in _made if other is not made]
+        for path in made:
+            drop(spark, path)
 
 
 def materialise(df, name: str):
