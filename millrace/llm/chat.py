@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm import kernel as K
+
 #: Fixed layout of a rendered turn.
 HEAD, SEAM, TAIL = "<|", "|>\n", "<|end|>\n"
 TURNS = "array<struct<role: string, text: string>>"
@@ -53,21 +55,24 @@ def preference_pairs(pairs: DataFrame, chosen: str = "chosen_turns", rejected: s
     """Rows with two turn arrays, formatted: n_prefix_turns, prompt, chosen, rejected, chosen_mask, rejected_mask.
 
     The prompt is rendered once. Masks are spans in their completion. Equal conversations give empty completions; with
-    no common turn the prompt is empty. Other columns stay; those of the new names are replaced.
+    no common turn the prompt is empty. Null arrays count as empty and null roles and texts as "", very long texts are
+    rendered whole, repeated rows each for itself, and an empty table gives an empty result. Columns of the new names are
+    replaced; all others pass unchanged, whatever their names.
     """
     new = ("n_prefix_turns", "prompt", "chosen", "rejected", "chosen_mask", "rejected_mask")
-    a, b = F.col(chosen), F.col(rejected)
-    cut = pairs.select("*", common_prefix(a, b).alias("_n"))
-    rest = lambda turns: F.slice(turns, F.col("_n") + 1, F.greatest(F.size(turns) - F.col("_n"), F.lit(0)))
-    keep = [c for c in pairs.columns if c not in new]
+    keep = [c for c in pairs.columns if c.lower() not in new]
+    whole = lambda c: F.transform(F.coalesce(K.column(c), F.array().cast(TURNS)), lambda t: F.struct(F.coalesce(t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")))
+    turns = pairs.select(K.boxed(keep), whole(chosen).alias("a"), whole(rejected).alias("b"))
+    cut = turns.select("*", common_prefix(F.col("a"), F.col("b")).alias("n"))
+    rest = lambda turns: F.slice(turns, F.col("n") + 1, F.greatest(F.size(turns) - F.col("n"), F.lit(0)))
     return cut.select(
-        *keep,
-        F.col("_n").alias("n_prefix_turns"),
-        rendered(F.slice(a, F.lit(1), F.col("_n"))).alias("prompt"),
-        rendered(rest(a)).alias("chosen"),
-        rendered(rest(b)).alias("rejected"),
-        assistant_spans(rest(a)).alias("chosen_mask"),
-        assistant_spans(rest(b)).alias("rejected_mask"),
+        *K.unboxed(keep),
+        F.col("n").alias("n_prefix_turns"),
+        rendered(F.slice("a", F.lit(1), F.col("n"))).alias("prompt"),
+        rendered(rest("a")).alias("chosen"),
+        rendered(rest("b")).alias("rejected"),
+        assistant_spans(rest("a")).alias("chosen_mask"),
+        assistant_spans(rest("b")).alias("rejected_mask"),
     )
 
 

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from millrace.llm import kernel as K
 from millrace.llm.labelled import MOST_LABELLED, sample
-from millrace.llm.quality import COUNTS, SYMBOLS, base_counts
+from millrace.llm.quality import SYMBOLS, base_counts
+from millrace.llm.skew import spread_join
+from millrace.workspace import materialise
 
 HASHED = 256
 RIDGE = 1.0
@@ -124,33 +126,68 @@ def shrunk(total: Column, n: Column, prior: Column, strength: float) -> Column:
     return (total + F.lit(strength) * prior) / (n + F.lit(strength))
 
 
-def strength(groups: DataFrame, mean: float) -> float:
-    """Pseudo-documents of a prior, by moments: how far group means spread against what single documents would."""
-    row = groups.agg((F.sum(F.col("n") * F.pow(F.col("s") / F.col("n") - F.lit(mean), 2)) / F.sum("n")).alias("v")).first()
-    spread = max(row["v"] or 0.0, 1e-9)
-    return float(min(max(mean * (1 - mean) / spread - 1, STRENGTH[0]), STRENGTH[1]))
+def strength(groups: DataFrame) -> float:
+    """Pseudo-documents of a prior: what documents vary within groups against what groups vary around their parents.
+
+    ``groups`` has n, s and s2 (documents, sum and sum of squares) of each group, and of its parent as pn and ps. The
+    spread of group means around their parent's is lessened by what sampling alone makes of it (nested analysis of
+    variance), so that small groups of alike documents don't pass for different ones.
+    """
+    mean, parent = F.col("s") / F.col("n"), F.col("ps") / F.col("pn")
+    row = groups.agg(
+        F.sum("n").alias("n"),
+        F.count("*").alias("groups"),
+        F.sum(F.col("n") / F.col("pn")).alias("parents"),
+        F.sum(F.col("s2") - F.col("s") * mean).alias("within"),
+        F.sum(F.col("n") * F.pow(mean - parent, 2)).alias("between"),
+        F.sum(F.col("n") * F.col("n") / F.col("pn")).alias("own"),
+    ).first()
+    n, k, parents = row["n"] or 0, row["groups"] or 0, round(row["parents"] or 0.0)
+    if n <= k or k <= parents:
+        return STRENGTH[1]
+    noise = max(row["within"], 0.0) / (n - k)
+    spread = (row["between"] - (k - parents) * noise) / max(n - row["own"], 1e-12)
+    if spread <= 0:
+        return STRENGTH[1]
+    return float(min(max(noise / spread, STRENGTH[0]), STRENGTH[1]))
+
+
+def site_posteriors(scored: DataFrame) -> tuple[DataFrame, float]:
+    """(site, host_posterior, path_posterior, n) from rows (host_key, site, doc_score), and the corpus mean."""
+    whole = lambda c: (F.sum(F.round(c * 10**DIGITS).cast("decimal(38,0)")) / F.lit(10.0**DIGITS)).cast("double")
+    score = F.col("doc_score")
+    paths = scored.groupBy("host_key", "site").agg(F.count("*").alias("n"), whole(score).alias("s"), whole(score * score).alias("s2"))
+    paths = materialise(paths, "paths")
+    hosts = materialise(paths.groupBy("host_key").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("s2").alias("s2")), "hosts")
+    all_ = hosts.agg(F.sum("n").alias("pn"), F.sum("s").alias("ps")).first()
+    total, mean = all_["pn"] or 0, min(max((all_["ps"] / all_["pn"]) if all_["pn"] else 1.0, CLIP), 1 - CLIP)
+    of_hosts = strength(hosts.withColumns({"pn": F.lit(total), "ps": F.lit(all_["ps"])}))
+    parents = hosts.select("host_key", F.col("n").alias("pn"), F.col("s").alias("ps"))
+    within = paths.join(parents, "host_key")
+    of_paths = strength(within)
+    host = shrunk(F.col("ps"), F.col("pn"), F.lit(mean), of_hosts)
+    known = within.withColumn("host_posterior", host)
+    path = shrunk(F.col("s"), F.col("n"), F.col("host_posterior"), of_paths)
+    return known.select("site", "host_posterior", path.alias("path_posterior"), "n"), mean
 
 
 def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", label: str = "quality", most: int = MOST_LABELLED, carry=None) -> DataFrame:
     """``docs`` with doc_score, host_posterior, path_posterior, quality_score and kept (score of at least a half).
 
-    A path is ``path`` under ``host``; null is a host or path of its own. Null texts count as empty. Where the sample
-    lacks good or bad examples, all documents are kept. Columns of the new names are replaced.
+    A path is ``path`` under ``host``; null is a host or path of its own. Null texts count as empty, very long ones are
+    taken whole. Repeated rows and rows without doc_id are judged each for itself; of rows that share a labelled id one
+    text is trained on, and labels that contradict each other count as their least. Where the sample lacks good or bad
+    examples, all documents are kept. An empty table gives an empty result. Columns of the new names are replaced; all
+    others pass unchanged, whatever their names.
     """
     model = train(docs, labels, label, most)
-    names = [c for c in (docs.columns if carry is None else carry) if c not in NAMES]
-    inner = list(dict.fromkeys([*names, host, path]))
-    from millrace.workspace import materialise
-
-    scored = materialise(K.map_texts(docs, "doc_score double", lambda texts: document_scores(texts, model), carry=inner), "scored")
-    paths = materialise(scored.groupBy(F.col(host).alias("_h"), F.col(path).alias("_p")).agg(F.count("*").alias("n"), (F.sum(F.round(F.col("doc_score") * 10**DIGITS).cast("decimal(38,0)")) / F.lit(10.0**DIGITS)).alias("s")), "paths")
-    hosts = paths.groupBy("_h").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    whole = hosts.agg((F.sum("s") / F.sum("n")).alias("m")).first()["m"]
-    mean = min(max(1.0 if whole is None else whole, CLIP), 1 - CLIP)
-    by_host = hosts.select(F.col("_h").alias("_hh"), shrunk(F.col("s"), F.col("n"), F.lit(mean), strength(hosts, mean)).alias("host_posterior"))
-    joined = paths.join(by_host, F.col("_h").eqNullSafe(F.col("_hh")))
-    by_path = joined.select("_h", "_p", "host_posterior", shrunk(F.col("s"), F.col("n"), F.col("host_posterior"), strength(paths, mean)).alias("path_posterior"))
-    both = scored.join(by_path, F.col(host).eqNullSafe(F.col("_h")) & F.col(path).eqNullSafe(F.col("_p")))
+    names = [c for c in (docs.columns if carry is None else carry) if c.lower() not in NAMES]
+    as_text = lambda *cs: F.to_json(F.struct(*[K.column(c).cast("string").alias(f"c{i}") for i, c in enumerate(cs)]))
+    rows = docs.select(K.boxed(names), K.column("text").alias("text"), as_text(host).alias("host_key"), as_text(host, path).alias("site"))
+    made = K.map_texts(rows, "doc_score double", lambda texts: document_scores(texts, model), carry=["row", "host_key", "site"])
+    scored = materialise(made.withColumn("rid", F.monotonically_increasing_id()), "scored")
+    sites, mean = site_posteriors(scored)
+    both = spread_join(scored, sites.drop("n"), ["site"], ["rid"], scored.count(), sites.select("site", "n"))
     odds = logit(F.col("doc_score")) + logit(F.col("path_posterior")) - F.lit(float(np.log(mean / (1 - mean))))
     both = both.withColumn("quality_score", 1 / (1 + F.exp(-odds)))
-    return both.select(*names, "doc_score", "host_posterior", "path_posterior", "quality_score", (F.col("quality_score") >= 0.5).alias("kept"))
+    return both.select(*K.unboxed(names), "doc_score", "host_posterior", "path_posterior", "quality_score", (F.col("quality_score") >= 0.5).alias("kept"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.workspace import materialise
+from millrace.workspace import discard, materialise
 
 
 def connected_components(edges: DataFrame, name: str = "components", most_rounds: int = 60) -> DataFrame:
@@ -18,7 +18,8 @@ def connected_components(edges: DataFrame, name: str = "components", most_rounds
     edges = materialise(edges, name)
     seen = fingerprint(edges)
     for _ in range(most_rounds):
-        edges = materialise(small_star(large_star(edges)), name)
+        before, edges = edges, materialise(small_star(large_star(edges)), name)
+        discard(before)
         now = fingerprint(edges)
         if now == seen:
             break

@@ -15,13 +15,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.llm import kernel as K
-from millrace.workspace import materialise
+from millrace.workspace import discard, materialise
 
 WINDOW = 10
 #: Text bytes of test items in one broadcast block.
 BLOCK_BYTES = 8 << 20
+#: Words of a piece that a longer item is cut into.
+PIECE_WORDS = 50_000
+#: Runs of digits, a-z and characters beyond ASCII, once A-Z are lower-cased.
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Log2 of the entries in the first look-up table.
 FILTER_BITS = 22
 
@@ -160,30 +165,44 @@ class Blocks(NamedTuple):
             yield [(row["i"], row["t"]) for row in self.numbered.filter(F.col("b") == k).collect()]
 
 
-def item_blocks(benchmark: DataFrame, block_bytes: int) -> Blocks:
-    """Blocks of about ``block_bytes``, their number taken from a size counted before anything is fetched."""
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), F.col("text").alias("t"))
-    size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+def item_blocks(benchmark: DataFrame, window: int, block_bytes: int, piece_words: int = PIECE_WORDS) -> Blocks:
+    """Blocks of about ``block_bytes``, their number taken from a size counted before anything is fetched.
+
+    Items go down to their words. Those without any aren't fetched, equal rows are fetched once, and a long item is cut
+    into pieces that overlap by a window less a word, so that no row is large and no window is lost.
+    """
+    lowered = F.translate(F.col("text").cast("string"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0))
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), words.alias("w")).filter(F.size("w") > 0)
+    begins = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - window + 1), F.lit(piece_words))
+    pieces = F.transform(begins, lambda k: F.array_join(F.slice("w", k, F.lit(piece_words + window - 1)), " "))
+    rows = items.select("i", F.explode(pieces).alias("t")).distinct()
+    rows = materialise(rows, "benchmark-items")
+    size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = -(-size // block_bytes) or 1
-    return Blocks(items.withColumn("b", F.pmod(F.xxhash64("i", "t"), F.lit(n))), n)
+    return Blocks(rows.withColumn("b", F.pmod(F.xxhash64("i", "t"), F.lit(n))), n)
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, carry=None) -> DataFrame:
     """``docs`` with n_words, n_hit (words inside an occurring window), items (ids, sorted) and spans (bytes, end exclusive).
 
-    One row a row of ``docs``, repeated rows included. Null and empty texts have no words and no hits; an empty benchmark
-    hits nothing. Columns of the new names are replaced.
+    One row a row of ``docs``, repeated rows included. Null and empty texts have no words and no hits; very long ones are
+    searched whole. An empty benchmark, or items of null or without words, hit nothing; items of one text are all named;
+    an item without id counts as "". An empty table gives an empty result. Columns of the new names are replaced; all
+    others pass unchanged, whatever their names.
     """
     sc = docs.sparkSession.sparkContext
-    names = list(docs.columns if carry is None else carry)
-    blocks = item_blocks(benchmark, block_bytes)
+    new = T._parse_datatype_string(FIELDS).names
+    names = [c for c in (docs.columns if carry is None else carry) if c.lower() not in new]
+    blocks = item_blocks(benchmark, window, block_bytes)
+    rows = docs.select(K.boxed(names), docs["text"].cast("string").alias("text"))
     if len(blocks) == 1:
         shared = sc.broadcast(build_index(next(blocks.each()), window))
-        return K.map_texts(docs, FIELDS, lambda texts: look_up(texts, shared.value), carry=names)
-    # Rows get a number and are written once; each block's pass brings out only the rows that it hits. What is carried
-    # goes in a struct, so that no name of its own can clash.
-    kept = F.struct(*[docs[c] for c in names])
-    staged = materialise(docs.select(kept.alias("row"), docs["text"].cast("string").alias("text"), F.monotonically_increasing_id().alias("id")), "hits-rows")
+        discard(blocks.numbered)
+        done = K.map_texts(rows, FIELDS, lambda texts: look_up(texts, shared.value), carry=["row"])
+        return done.select(*K.unboxed(names), *new)
+    # Rows get a number and are written once; each block's pass brings out only the rows that it hits.
+    staged = materialise(rows.withColumn("id", F.monotonically_increasing_id()), "hits-rows")
     found = []
     for block in blocks.each():
         shared = sc.broadcast(build_index(block, window))
@@ -191,10 +210,11 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
         found.append(materialise(part.filter("n_hit > 0").select("id", "items", "spans"), "hits-block"))
         shared.unpersist()
     together = reduce(DataFrame.union, found).groupBy("id").agg(F.flatten(F.collect_list("items")).alias("ids"), F.flatten(F.collect_list("spans")).alias("places"))
+    together = materialise(together, "hits-found")
+    discard(blocks.numbered, *found)
     nothing = build_index([], window)
     merged = K.map_texts(staged.join(together, "id", "left"), FIELDS, lambda *columns: look_up(columns[0], nothing, *columns[1:]), carry=["row"], extra=("ids", "places"))
-    new = [c for c in merged.columns if c != "row"]
-    return merged.select(*[F.col("row")[c].alias(c) for c in names if c not in new], *new)
+    return merged.select(*K.unboxed(names), *new)
 
 
 def look_up(texts, index: Index, items=None, spans=None) -> list[pa.Array]:
@@ -213,13 +233,18 @@ def look_up(texts, index: Index, items=None, spans=None) -> list[pa.Array]:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", window: int = WINDOW) -> DataFrame:
-    """Clean ``docs``, same columns: contaminated documents go (``documents``), or only the covered spans (``spans``)."""
-    found = hits(docs, benchmark, window)
+    """Clean ``docs``, same columns: contaminated documents go (``documents``), or only the covered spans (``spans``).
+
+    Rows are judged each by its own text, so repeated rows stay or go together; rows of null or empty text stay as they
+    are, very long texts are searched whole, and an empty table stays empty. No column's name gets in the way.
+    """
+    rows = docs.select(K.boxed(docs.columns), F.col("text").cast("string").alias("text"))
+    found = hits(rows, benchmark, window, carry=["row"] if remove == "documents" else ["row", "text"])
     if remove == "documents":
-        return found.filter(F.col("n_hit") == 0).select(*docs.columns)
+        return found.filter(F.col("n_hit") == 0).select(*K.unboxed(docs.columns))
     text = F.col("text").cast("binary")
     edges = F.concat(F.array(F.struct(F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"))), F.col("spans"))
     after = lambda s, i: F.coalesce(F.try_element_at(F.col("spans"), (i + 1).cast("int"))["start"], F.octet_length("text").cast("long"))
     pieces = F.transform(edges, lambda s, i: F.substring(text, (s["end"] + 1).cast("int"), (after(s, i) - s["end"]).cast("int")).cast("string"))
     cut = F.when(F.size("spans") == 0, F.col("text")).otherwise(F.array_join(pieces, ""))
-    return found.withColumn("text", cut).select(*docs.columns)
+    return found.select(*[(cut if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns])

@@ -1,7 +1,7 @@
 """Vectorised byte kernels over Arrow string columns.
 
-Texts are handled as UTF-8 bytes in slabs of half a megabyte, so memory follows the slab and not the batch. Words are
-hashed with a polynomial over a random byte table modulo 2**64: prefix sums give every span's hash in one pass.
+Texts are handled as UTF-8 bytes in slabs of half a megabyte, so memory follows the slab and not the batch; a longer
+text is a slab of its own. Spans of bytes are hashed together, eight bytes of each at a time.
 """
 
 from __future__ import annotations
@@ -35,20 +35,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-BASE = 0x9E3779B97F4A7C15
-TABLE = mix(np.arange(1, 257, dtype=U) * U(BASE))
-_powers: dict[str, np.ndarray] = {}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and its inverse for i < n, kept for the worker's life; regrown when a longer span comes."""
-    if n > len(_powers.get("up", ())):
-        size = max(n, SLAB + 1)
-        for name, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
-            steps = np.full(size, base, U)
-            steps[0] = 1
-            _powers[name] = np.cumprod(steps, dtype=U)
-    return _powers["up"], _powers["down"]
+#: Spans of more bytes are hashed piece by piece.
+PIECE = 512
+STEP = U(0x9E3779B97F4A7C15)
+SEED = U(0xD6E8FEB86659FD93)
+#: What of eight bytes belongs to a span with 0 to 8 bytes left.
+LEFT = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
 
 
 class Slab(NamedTuple):
@@ -92,19 +84,42 @@ def spans(data: np.ndarray, bounds: np.ndarray, separators: np.ndarray) -> tuple
 
 
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash per span, block by block of about SLAB bytes, so a very long text needs no long prefix arrays."""
-    out = np.empty(len(starts), U)
-    at = 0
-    while at < len(starts):
-        low = int(starts[at])
-        to = max(at + 1, int(np.searchsorted(starts, low + SLAB // 2)))
-        high = int(ends[at:to].max())
-        up, down = powers(high - low + 1)
-        sums = np.zeros(high - low + 1, U)
-        np.cumsum(TABLE[data[low:high]] * up[: high - low], out=sums[1:])
-        s, e = starts[at:to] - low, ends[at:to] - low
-        out[at:to] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(U) * U(0xD6E8FEB86659FD93))
-        at = to
+    """A 64-bit hash per span: its bytes, eight at a time, go through a chain of finalisers that its length begins.
+
+    A span of more than PIECE bytes is hashed by the hashes of its pieces, so that no chain is long. Memory follows the
+    number of spans and pieces; only one copy of the bytes is made.
+    """
+    starts, ends = np.asarray(starts, np.int64), np.asarray(ends, np.int64)
+    size = ends - starts
+    if not len(size) or size.max() <= PIECE:
+        return chained(data, starts, size)
+    number = np.maximum(1, -(-size // PIECE))
+    first = np.concatenate(([0], np.cumsum(number)))
+    owner = np.repeat(np.arange(len(size)), number)
+    at = starts[owner] + (np.arange(first[-1]) - first[owner]) * PIECE
+    parts = chained(data, at, np.minimum(ends[owner] - at, PIECE))
+    out = parts[first[:-1]]
+    long = np.flatnonzero(number > 1)
+    whole = hash_spans(parts.view(np.uint8), first[long] * 8, first[long + 1] * 8)
+    out[long] = mix(whole ^ size[long].astype(U) * STEP)
+    return out
+
+
+def chained(data: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Hashes of the spans of ``left`` bytes from ``at``. Two aligned words make the eight bytes at any place."""
+    words = np.zeros(len(data) // 8 + 2, np.dtype("<u8"))
+    words.view(np.uint8)[: len(data)] = data
+    out = mix(left.astype(U) * STEP + SEED)
+    live = None
+    while len(at):
+        word, shift = at >> 3, ((at & 7) << 3).astype(U)
+        eight = (words[word] >> shift | words[word + 1] << U(1) << (U(63) - shift)) & LEFT[np.minimum(left, 8)]
+        if live is None:
+            out, live = mix(out ^ eight), np.arange(len(at))
+        else:
+            out[live] = mix(out[live] ^ eight)
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
     return out
 
 
@@ -133,24 +148,50 @@ def per_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return sums[first[1:]] - sums[first[:-1]]
 
 
-def bounded_batches(df):
-    """``df``, with its session's limit on the bytes of Arrow batches lowered to BATCH_BYTES; a lower one stays."""
-    spark = df.sparkSession
+def tuned(spark):
+    """``spark`` with the bytes of Arrow batches limited to BATCH_BYTES; a lower limit stays.
+
+    Operators leave settings alone; whoever owns the session (a query, the pipeline, a caller) calls this.
+    """
     if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(BATCH_SETTING)) > BATCH_BYTES:
         spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
-    return df
+    return spark
+
+
+def others(df, new) -> list[str]:
+    """The columns of ``df`` but for those whose names, in any case, are in ``new``."""
+    taken = {name.lower() for name in new}
+    return [c for c in df.columns if c.lower() not in taken]
+
 
+def column(name: str):
+    from pyspark.sql import functions as F
 
-def map_texts(df, fields: str, handle, text: str = "text", carry=None, extra: tuple[str, ...] = ()):
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def boxed(names):
+    """The caller's columns as one struct, so that no name of theirs meets one of ours."""
+    from pyspark.sql import functions as F
+
+    return F.struct(*([column(c) for c in names] or [F.lit(None).cast("boolean").alias("nothing")])).alias("row")
+
+
+def unboxed(names) -> list:
+    from pyspark.sql import functions as F
+
+    return [F.col("row").getField(c).alias(c) for c in names]
+
+
+def map_texts(df, fields: str, handle, text: str = "text", carry=(), extra: tuple[str, ...] = ()):
     """``mapInArrow`` over ``df``: the columns of ``carry`` pass through, ``handle(texts, *extra)`` gives the new ones.
 
-    A column of ``df`` with the name of a new one is replaced. ``handle`` takes the Arrow arrays of a batch, the texts as
-    strings first, and returns one array per new field. ``text`` and ``extra`` needn't be carried.
+    ``handle`` takes the Arrow arrays of a batch, the texts as strings first, and returns one array per new field.
     """
     from pyspark.sql import types as T
 
     new = T._parse_datatype_string(fields)
-    names = [c for c in (df.columns if carry is None else carry) if c not in new.names]
+    names = list(carry)
     old = df.select(*names).schema
     slim = df.select(*names, df[text].cast("string").alias("_kernel_text"), *[df[c].alias(f"_kernel_{c}") for c in extra])
 
@@ -159,4 +200,17 @@ def map_texts(df, fields: str, handle, text: str = "text", carry=None, extra: tu
             made = handle(*batch.columns[len(names) :])
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *made], [*names, *new.names])
 
-    return bounded_batches(slim).mapInArrow(run, T.StructType([*old.fields, *new.fields]))
+    return slim.mapInArrow(run, T.StructType([*old.fields, *new.fields]))
+
+
+def with_texts(df, fields: str, handle, carry=None, text: str = "text"):
+    """``df`` with the new columns of ``handle(texts)``; ``carry`` names the columns to keep, else all are.
+
+    Columns of the new names are replaced, whatever their case.
+    """
+    from pyspark.sql import types as T
+
+    new = T._parse_datatype_string(fields).names
+    names = [c for c in (df.columns if carry is None else carry) if c.lower() not in {n.lower() for n in new}]
+    made = map_texts(df.select(boxed(names), column(text).alias("text")), fields, handle, carry=["row"])
+    return made.select(*unboxed(names), *[column(c) for c in new])

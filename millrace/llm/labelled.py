@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled documents that a model is fitted on at most; the hash order of ids picks them.
@@ -20,33 +20,42 @@ def marks(labels: DataFrame, label: str) -> DataFrame:
     return labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).cast("int").alias("label"))
 
 
-def likely(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """``docs`` without most rows whose doc_id isn't in ``known``; none that is goes. What is sent is a map of bits."""
-    if docs.schema["doc_id"].dataType != known.schema["doc_id"].dataType:
-        return docs
+def maybe_in(value: Column, known: DataFrame) -> Column:
+    """False for most values that aren't in ``known``, a column of ids, and null; true for all that are.
+
+    What is sent is a map of bits; more ids than it has room for only let more values pass.
+    """
+    name = known.columns[0]
     size = BLOCK
     wanted = known.count() * BITS_AN_ID
     while size < min(wanted, MOST_BITS):
         size *= 2
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(size))
 
     def block(rows: pd.DataFrame) -> pd.DataFrame:
         bits = np.zeros(BLOCK, bool)
         bits[rows["place"].to_numpy() % BLOCK] = True
         return pd.DataFrame({"block": [rows["block"].iloc[0]], "bits": [np.packbits(bits).tobytes()]})
 
-    places = known.select(place.alias("place")).withColumn("block", F.floor(F.col("place") / BLOCK))
+    # A place once: what a block's task holds is bounded by the block.
+    places = known.select(F.pmod(F.xxhash64(name), F.lit(size)).alias("place")).distinct().withColumn("block", F.floor(F.col("place") / BLOCK))
     bitmap = np.zeros(size // 8, np.uint8)
     for row in places.groupBy("block").applyInPandas(block, "block long, bits binary").toLocalIterator():
         bitmap[row["block"] * BLOCK // 8 :][: BLOCK // 8] = np.frombuffer(row["bits"], np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    shared = known.sparkSession.sparkContext.broadcast(bitmap)
 
     @F.pandas_udf("boolean")
     def holds(place: pd.Series) -> pd.Series:
         at = place.to_numpy()
         return pd.Series((shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool))
 
-    return docs.filter(F.col("doc_id").isNotNull()).filter(holds(place))
+    return F.when(value.isNotNull(), holds(F.pmod(F.xxhash64(value), F.lit(size)))).otherwise(False)
+
+
+def likely(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """``docs`` without most rows whose doc_id isn't in ``known``; none that is goes."""
+    if docs.schema["doc_id"].dataType != known.schema["doc_id"].dataType:
+        return docs
+    return docs.filter(maybe_in(F.col("doc_id"), known.select("doc_id")))
 
 
 def everyone(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:

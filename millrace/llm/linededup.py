@@ -1,28 +1,41 @@
 """Lines that many documents share, found with levelled runs of line hashes.
 
-A run is a table of (key hash, documents holding it, largest doc_id holding it), sorted by hash. Each batch of documents
-is reduced to a run of its own, anti-joined with the runs so far to mark what it is the first to hold, and added at level
-0; when a level has ``fanout`` runs they are merged into one of the next level.
+A line's key is met as 128 bits of BLAKE2. A run is a table bucketed and sorted by key hash. Each batch of documents is
+reduced to its keys and merged against the runs: what no run holds (the anti-join) becomes a run of its own, so that every
+key is in exactly one run; of keys that a run holds only the count goes on, into the updates beside the new run. When a
+level has ``fanout`` runs they are merged into one of the next level.
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm import kernel as K
-from millrace.workspace import drop, scratch
+from millrace.llm.labelled import maybe_in
+from millrace.llm.skew import spread_join
+from millrace.workspace import discard, drop, materialise, scratch
 
 MIN_CHARS = 40
 MIN_DOCS = 5
 FANOUT = 4
-BATCHES = 4
+#: Batches of arrival that a table without any is dealt into.
+BATCHES = 6
+#: Keys of a bucket, about, and the most buckets that Spark takes.
+BUCKET_KEYS = 1 << 20
+LEAST_BUCKETS, MOST_BUCKETS = 8, 100_000
+#: Shared keys (some 100 bytes each as a broadcast) up to which they are sent to the lines; with more, lines travel to them.
+KEYS_SENT = 250_000
 KEYS = ["k1", "k2"]
+NEW = "n_lines long, n_dropped long, text_kept string"
 
 
 def long_lines(slab: K.Slab, min_chars: int):
@@ -39,129 +52,227 @@ def long_lines(slab: K.Slab, min_chars: int):
     owner, left, right, whole_starts = owner[long], left[long], right[long], whole_starts[long]
     breaks = np.concatenate(([0], np.cumsum(data == 10)))
     number = breaks[whole_starts] - breaks[slab.bounds[owner]]
-    return owner, number, K.hash_spans(data, left, right), K.hash_spans(data ^ np.uint8(0xA5), left, right)
+    view = memoryview(np.ascontiguousarray(data))
+    digests = b"".join([blake2b(view[a:b], digest_size=16).digest() for a, b in zip(left.tolist(), right.tolist(), strict=True)])
+    halves = np.frombuffer(digests, np.int64).reshape(-1, 2)
+    return owner, number, np.ascontiguousarray(halves[:, 0]), np.ascontiguousarray(halves[:, 1])
 
 
-def document_keys(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(doc_id, k1, k2), once for each document and key."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def document_keys(rows: DataFrame, min_chars: int) -> DataFrame:
+    """(batch, doc_id, k1, k2) of rows (batch, doc_id, text), once for each row and key."""
 
     def run(batches):
         for batch in batches:
-            for slab in K.slabs(batch.column(1)):
+            for slab in K.slabs(batch.column(2)):
                 owner, _, k1, k2 = long_lines(slab, min_chars)
                 order = np.lexsort((k2, k1, owner))
                 owner, k1, k2 = owner[order], k1[order], k2[order]
                 new = np.concatenate(([True], (owner[1:] != owner[:-1]) | (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])))[: len(owner)]
-                ids = batch.column(0).take(pa.array(owner[new] + slab.first))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(k1[new].view(np.int64)), pa.array(k2[new].view(np.int64))], ["doc_id", *KEYS])
+                at = pa.array(owner[new] + slab.first)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(k1[new]), pa.array(k2[new])], ["batch", "doc_id", *KEYS])
 
-    return K.bounded_batches(docs.select("doc_id", F.col("text").cast("string"))).mapInArrow(run, f"doc_id {kind}, k1 long, k2 long")
-
-
-def without_lines(texts: pa.Array, doomed: pa.Array, min_chars: int) -> list[pa.Array]:
-    """n_lines, n_dropped and the text that is left, ``doomed`` being each text's keys to drop."""
-    kept, n_lines, n_dropped = texts.fill_null("").to_pylist(), [], np.zeros(len(texts), np.int64)
-    drops = doomed.to_pylist()
-    for slab in K.slabs(texts):
-        n_lines.append(K.per_text((slab.data == 10).astype(np.int64), slab.bounds) + 1)
-        rows = [i for i in range(slab.rows) if drops[slab.first + i]]
-        if not rows:
-            continue
-        owner, number, k1, k2 = long_lines(slab, min_chars)
-        for i in rows:
-            a, b = np.searchsorted(owner, [i, i + 1])
-            gone = {(d["k1"], d["k2"]) for d in drops[slab.first + i]}
-            pairs = zip(number[a:b].tolist(), k1[a:b].view(np.int64).tolist(), k2[a:b].view(np.int64).tolist(), strict=True)
-            out = {n for n, x, y in pairs if (x, y) in gone}
-            at = slab.first + i
-            n_dropped[at] = len(out)
-            kept[at] = "\n".join(line for n, line in enumerate(kept[at].split("\n")) if n not in out)
-    return [pa.array(np.concatenate(n_lines) if n_lines else np.empty(0), pa.int64()), pa.array(n_dropped), pa.array(kept, pa.string())]
+    old = rows.select("batch", "doc_id").schema.fields
+    schema = T.StructType([*old, *[T.StructField(k, T.LongType()) for k in KEYS]])
+    return rows.select("batch", "doc_id", F.col("text").cast("string")).mapInArrow(run, schema)
 
 
 class LineRuns:
-    """The levelled store. Its tables lie in the shared folder; ``levels`` lists their paths."""
+    """The levelled store: tables (k1, k2, n, known) in the shared folder, which ``levels`` lists by name and path.
+
+    ``known`` is false for a run's own keys, n being the rows of the batch that brought the key, and true for updates of
+    keys that an earlier run holds. Tables are bucketed by key, so a batch meets the runs without moving them.
+    """
 
-    def __init__(self, spark: SparkSession, fanout: int = FANOUT, min_chars: int = MIN_CHARS) -> None:
-        self.spark, self.fanout, self.min_chars = spark, fanout, min_chars
-        self.levels: list[list[str]] = []
+    def __init__(self, spark: SparkSession, buckets: int = LEAST_BUCKETS, fanout: int = FANOUT) -> None:
+        self.spark, self.buckets, self.fanout = spark, buckets, fanout
+        self.levels: list[list[tuple[str, str]]] = []
 
     def _write(self, rows: DataFrame, level: int) -> None:
-        path = scratch(self.spark, f"line-run-{level}")
-        rows.sortWithinPartitions(*KEYS).write.parquet(path)
+        name, path = f"line_run_{uuid.uuid4().hex}", scratch(self.spark, "line-run")
+        writer = rows.coalesce(self.buckets).write.format("parquet").partitionBy("known").bucketBy(self.buckets, *KEYS).sortBy(*KEYS)
+        writer.option("path", path).saveAsTable(name)
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(path)
-
-    def runs(self) -> DataFrame | None:
-        paths = [p for level in self.levels for p in level]
-        return reduce(DataFrame.union, [self.spark.read.parquet(p) for p in paths]) if paths else None
-
-    @staticmethod
-    def merged(runs: DataFrame) -> DataFrame:
-        return runs.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"), F.bool_or("fresh").alias("fresh"))
-
-    def add(self, docs: DataFrame) -> None:
-        """One batch. ``fresh`` marks the keys that no earlier run holds."""
-        batch = document_keys(docs, self.min_chars).groupBy(*KEYS).agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc"))
-        known = self.runs()
-        if known is None:
-            marked = batch.withColumn("fresh", F.lit(True))
-        else:
-            seen = self.merged(known).select(*KEYS, F.lit(False).alias("_fresh"))
-            marked = batch.join(seen, KEYS, "left").withColumn("fresh", F.coalesce("_fresh", F.lit(True))).drop("_fresh")
-        self._write(marked, 0)
+        self.levels[level].append((name, path))
+
+    def _drop(self, tables: list[tuple[str, str]]) -> None:
+        for name, path in tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            drop(self.spark, path)
+
+    def tables(self) -> list[tuple[str, str]]:
+        return [t for level in self.levels for t in level]
+
+    def _rows(self, tables, known: bool) -> list[DataFrame]:
+        return [self.spark.table(name).filter(F.col("known") == known).select(*KEYS, "n") for name, _ in tables]
+
+    def runs(self) -> list[DataFrame]:
+        """(k1, k2, n) of each run; no key is in two of them."""
+        return self._rows(self.tables(), False)
+
+    def updates(self, tables=None) -> DataFrame | None:
+        """(k1, k2, n): rows that later batches brought of keys that a run holds."""
+        found = self._rows(self.tables() if tables is None else tables, True)
+        return reduce(DataFrame.union, found).groupBy(*KEYS).agg(F.sum("n").alias("n")) if found else None
+
+    def add(self, keys: DataFrame) -> None:
+        """One batch, as rows of KEYS."""
+        counted = keys.groupBy(*KEYS).agg(F.count("*").alias("n")).repartition(self.buckets, *KEYS)
+        marks: list[Column] = []
+        for i, run in enumerate(self.runs()):
+            held = run.select(*KEYS, F.lit(True).alias(f"held{i}")).hint("merge")
+            counted = counted.join(held, KEYS, "left")
+            marks.append(F.col(f"held{i}"))
+        self._write(counted.select(*KEYS, "n", F.coalesce(*marks, F.lit(False)).alias("known")), 0)
         self.compact()
 
     def compact(self) -> None:
         for level in range(len(self.levels)):
             if len(self.levels[level]) >= self.fanout:
-                paths = self.levels[level]
-                self._write(self.merged(reduce(DataFrame.union, [self.spark.read.parquet(p) for p in paths])), level + 1)
+                tables = self.levels[level]
+                # Runs hold no key twice, so merging them is a union; updates add up.
+                own = reduce(DataFrame.union, self._rows(tables, False)).withColumn("known", F.lit(False))
+                both = own.unionByName(self.updates(tables).withColumn("known", F.lit(True)))
+                self._write(both.repartition(self.buckets, *KEYS), level + 1)
                 self.levels[level] = []
-                for path in paths:
-                    drop(self.spark, path)
+                self._drop(tables)
+
+    def shared(self, least: int = MIN_DOCS) -> DataFrame:
+        """Keys of at least ``least`` rows."""
+        added = self.updates().select(*KEYS, F.col("n").alias("more")).repartition(self.buckets, *KEYS)
+        found = [run.join(added, KEYS, "left").filter(F.col("n") + F.coalesce("more", F.lit(0)) >= least).select(*KEYS) for run in self.runs()]
+        return reduce(DataFrame.union, found)
 
-    def shared(self, min_docs: int = MIN_DOCS) -> DataFrame:
-        """Keys of at least ``min_docs`` documents, with the largest doc_id of each."""
-        return self.merged(self.runs()).filter(F.col("n_docs") >= min_docs).select(*KEYS, "last_doc")
+    def clear(self) -> None:
+        self._drop(self.tables())
+        self.levels = []
 
 
-def dedup_lines(docs: DataFrame, batches: list[DataFrame] | None = None, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+def shared_lines(keys: DataFrame, batches: int, min_docs: int, fanout: int = FANOUT) -> DataFrame:
+    """(k1, k2, last) of the keys that ``min_docs`` distinct documents hold, with the largest doc_id holding them.
+
+    The runs count rows, which are no fewer than documents, so they give the candidates; those alone are counted by
+    document.
+    """
+    spark = keys.sparkSession
+    total = keys.count()
+    store = LineRuns(spark, min(MOST_BUCKETS, max(LEAST_BUCKETS, -(-total // BUCKET_KEYS))), fanout)
+    for k in range(batches):
+        store.add(keys.filter(F.col("batch") == k).select(*KEYS))
+    candidates = materialise(store.shared(min_docs), "line-candidates")
+    store.clear()
+    rows = keys.select("doc_id", *KEYS)
+    if candidates.count() <= KEYS_SENT:
+        held = rows.join(F.broadcast(candidates), KEYS)
+    else:
+        held = spread_join(rows, candidates, KEYS, ["doc_id"], total)
+    counted = held.distinct().groupBy(*KEYS).agg(F.count("*").alias("n"), F.max("doc_id").alias("last"))
+    shared = materialise(counted.filter(F.col("n") >= min_docs).select(*KEYS, "last"), "shared-lines")
+    discard(candidates)
+    return shared
+
+
+def without_lines(texts: pa.Array, gone) -> list[pa.Array]:
+    """n_lines, n_dropped and the text that is left. ``gone(slab, rows' first)`` gives text and number of lines to drop."""
+    n_lines, n_dropped, changed = [], np.zeros(len(texts), np.int64), {}
+    for slab in K.slabs(texts):
+        n_lines.append(K.per_text((slab.data == 10).astype(np.int64), slab.bounds) + 1)
+        owner, number = gone(slab)
+        cuts = np.searchsorted(owner, np.arange(slab.rows + 1))
+        for i in np.unique(owner).tolist():
+            out = set(number[cuts[i] : cuts[i + 1]].tolist())
+            at = slab.first + i
+            n_dropped[at] = len(out)
+            changed[at] = "\n".join(line for n, line in enumerate(texts[at].as_py().split("\n")) if n not in out)
+    kept = texts.fill_null("")
+    if changed:
+        mask = np.zeros(len(texts), bool)
+        mask[list(changed)] = True
+        kept = pc.replace_with_mask(kept, pa.array(mask), pa.array([changed[k] for k in sorted(changed)], kept.type))
+    return [pa.array(np.concatenate(n_lines) if n_lines else np.empty(0), pa.int64()), pa.array(n_dropped), kept.cast(pa.string())]
+
+
+def drop_sent(rows: DataFrame, shared: DataFrame, min_chars: int) -> DataFrame:
+    """Lines dropped where the shared keys, few enough, are sent to all tasks. ``rows``: row, doc_id, text."""
+    table = shared.toArrow()
+    k1, k2, last = (table[c].to_numpy() for c in (*KEYS, "last"))
+    order = np.lexsort((k2, k1))
+    known = rows.sparkSession.sparkContext.broadcast((k1[order], k2[order], last[order]))
+
+    def handle(texts, ids):
+        k1, k2, last = known.value
+        own = ids.fill_null(np.iinfo(np.int64).max).to_numpy()
+
+        def gone(slab):
+            owner, number, a, b = long_lines(slab, min_chars)
+            at = np.searchsorted(k1, a)
+            hit = np.flatnonzero((at < len(k1)) & (k1[np.minimum(at, len(k1) - 1)] == a)) if len(k1) else np.empty(0, np.int64)
+            at = at[hit]
+            # Keys of one first half are few, if ever more than one.
+            while True:
+                on = np.flatnonzero((at + 1 < len(k1)) & (k2[at] != b[hit]))
+                on = on[k1[at[on] + 1] == a[hit[on]]]
+                if not len(on):
+                    break
+                at[on] += 1
+            same = (k2[at] == b[hit]) & (own[slab.first + owner[hit]] < last[at]) if len(hit) else np.zeros(0, bool)
+            return owner[hit[same]], number[hit[same]]
+
+        return without_lines(texts, gone)
+
+    return K.map_texts(rows.withColumn("doc_id", F.col("doc_id").cast("long")), NEW, handle, carry=["row"], extra=("doc_id",))
+
+
+def drop_joined(rows: DataFrame, keys: DataFrame, shared: DataFrame, min_chars: int) -> DataFrame:
+    """Lines dropped by a join: of the texts, hardly any but those that lose lines travel."""
+    held = spread_join(keys.select("doc_id", *KEYS), shared, KEYS, ["doc_id"], keys.count())
+    # A document's own keys: bounded by its lines.
+    lists = held.filter(F.col("doc_id") < F.col("last")).groupBy("doc_id").agg(F.collect_set(F.struct(*KEYS)).alias("gone"))
+    lists = materialise(lists, "line-drops")
+    touched = maybe_in(F.col("doc_id"), lists.select("doc_id"))
+    nothing = F.array().cast(lists.schema["gone"].dataType)
+    some = rows.filter(touched).join(lists.hint("shuffle_hash"), "doc_id", "left").select("row", "text", F.coalesce("gone", nothing).alias("gone"))
+    rest = rows.filter(~touched).select("row", "text", nothing.alias("gone"))
+
+    def handle(texts, lists):
+        drops = lists.to_pylist()
+
+        def gone(slab):
+            owner, number, k1, k2 = long_lines(slab, min_chars)
+            mine = [{(d["k1"], d["k2"]) for d in drops[slab.first + i]} for i in range(slab.rows)]
+            same = np.array([(a, b) in mine[i] for i, a, b in zip(owner.tolist(), k1.tolist(), k2.tolist(), strict=True)], bool)
+            return owner[same], number[same]
+
+        return without_lines(texts, gone)
+
+    return K.map_texts(some.unionByName(rest), NEW, handle, carry=["row"], extra=("gone",))
+
+
+def dedup_lines(docs: DataFrame, batches: list[DataFrame] | int = BATCHES, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, keys_sent: int = KEYS_SENT) -> DataFrame:
     """``docs`` with text_kept, n_lines and n_dropped.
 
     A line's key is the line stripped of ASCII whitespace, A-Z lower-cased. Keys of ``min_chars`` code points held by
-    ``min_docs`` documents lose their lines everywhere but in the largest doc_id holding them. ``batches`` are the parts
-    of ``docs`` in order of arrival. Null text is one empty line and becomes empty text; a document without doc_id loses
-    nothing; rows that share a doc_id count each, and have the same keys dropped. Columns of the new names are replaced.
+    ``min_docs`` distinct documents lose their lines everywhere but in the largest doc_id holding them. ``batches`` are
+    the parts of ``docs`` in order of arrival, or a number of parts to deal it into by hash; the result doesn't depend on
+    them. Null and empty texts are one empty line and become empty text; very long ones are taken whole. A document
+    without doc_id counts nowhere and loses nothing; rows that share a doc_id count as one document and have the same keys
+    dropped. An empty table gives an empty result. Columns of the new names are replaced; all others pass unchanged.
     """
-    spark = docs.sparkSession
-    store = LineRuns(spark, min_chars=min_chars)
-    for batch in batches or [docs]:
-        store.add(batch.select("doc_id", "text"))
-    path = scratch(spark, "shared-lines")
-    store.shared(min_docs).write.parquet(path)
-    shared = spark.read.parquet(path)
-    doomed = document_keys(docs.select("doc_id", "text"), min_chars).join(shared, KEYS).filter(F.col("doc_id") < F.col("last_doc"))
-    # A document's own keys: bounded by its lines.
-    per_doc = doomed.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct(*KEYS)).alias("_drop"))
-    joined = docs.join(per_doc.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left")
-    old = [c for c in docs.columns if c not in ("text_kept", "n_lines", "n_dropped")]
-    new = T._parse_datatype_string("n_lines long, n_dropped long, text_kept string")
-    rows = joined.select(*[docs[c] for c in old], docs["text"].cast("string").alias("_text"), "_drop")
-
-    def run(batches_):
-        for batch in batches_:
-            made = without_lines(batch.column(len(old)), batch.column(len(old) + 1), min_chars)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(old)], *made], [*old, *new.names])
-
-    return K.bounded_batches(rows).mapInArrow(run, T.StructType([*docs.select(*old).schema.fields, *new.fields]))
-
-
-def file_batches(spark: SparkSession, path: str, batches: int = BATCHES) -> list[DataFrame]:
-    """The table's files, in name order, as up to ``batches`` batches."""
-    table = spark.read.parquet(path)
-    files = sorted(table.inputFiles())
-    step = max(1, -(-len(files) // batches))
-    return [spark.read.schema(table.schema).parquet(*files[i : i + step]) for i in range(0, len(files), step)] or [table]
+    names = K.others(docs, T._parse_datatype_string(NEW).names)
+    if isinstance(batches, int):
+        n, arrived = batches, docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch"), "doc_id", "text")
+    else:
+        n, arrived = len(batches), reduce(DataFrame.union, [b.select(F.lit(k).alias("batch"), "doc_id", "text") for k, b in enumerate(batches)])
+    path = scratch(docs.sparkSession, "line-keys")
+    found = document_keys(arrived.filter("doc_id IS NOT NULL"), min_chars)
+    found.write.partitionBy("batch").parquet(path)
+    keys = docs.sparkSession.read.schema(found.schema).parquet(path)
+    shared = shared_lines(keys, n, min_docs)
+    rows = docs.select(K.boxed(names), F.col("doc_id"), F.col("text").cast("string").alias("text"))
+    if isinstance(docs.schema["doc_id"].dataType, T.IntegralType) and shared.count() <= keys_sent:
+        done = drop_sent(rows, shared, min_chars)
+    else:
+        done = drop_joined(rows, keys, shared, min_chars)
+    discard(shared)
+    drop(docs.sparkSession, path)
+    return done.select(*K.unboxed(names), "n_lines", "n_dropped", "text_kept")

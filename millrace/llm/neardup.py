@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import kernel as K
 from millrace.llm.components import connected_components
+from millrace.llm.skew import in_parts, most_rows, part, parts, spread_join
 from millrace.workspace import discard, materialise
 
 BANDS = 32
@@ -27,8 +28,6 @@ MISS = 1e-6
 BLOCK = 1024
 #: Shingles (8 bytes each) of one side of a block, about; long texts make smaller blocks.
 BLOCK_SHINGLES = 2_000_000
-#: Members that a star's centre serves per copy of its set.
-SALT = 1000
 #: Candidate ids (8 bytes each) up to which they are sent to the tasks that hold the texts; with more, texts travel to the ids.
 IDS_SENT = 2_000_000
 EMPTY = np.iinfo(K.U).max
@@ -107,50 +106,56 @@ def linked(a, b, percent: int):
 
 
 def confirm(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The edges (centre, member) whose full sets are similar enough. A centre of many edges is salted."""
-    degree = edges.groupBy("centre").agg(F.count("*").alias("_deg")).select("centre", F.ceil(F.col("_deg") / SALT).alias("_salts"))
-    with_member = edges.join(degree, "centre").join(sets.select(F.col("node").alias("member"), F.col("shingles").alias("_m")), "member")
-    with_member = with_member.withColumn("_salt", F.pmod(F.xxhash64("member"), F.col("_salts")))
-    copies = degree.select("centre", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_salts") - 1)).alias("_salt"))
-    centres = copies.join(sets.select(F.col("node").alias("centre"), F.col("shingles").alias("_c")), "centre")
-    both = with_member.join(centres, ["centre", "_salt"])
+    """The edges (centre, member) whose full sets are similar enough. A centre of many edges is split, its set copied."""
+    with_member = edges.join(sets.select(F.col("node").alias("member"), F.col("shingles").alias("_m")), "member")
+    centres = sets.select(F.col("node").alias("centre"), F.col("shingles").alias("_c"))
+    degree = edges.groupBy("centre").agg(F.count("*").alias("n"))
+    both = spread_join(with_member, centres, ["centre"], ["member"], edges.count(), degree)
     return both.filter(linked(F.col("_c"), F.col("_m"), percent)).select(F.col("centre").alias("a"), F.col("member").alias("b"))
 
 
-def star_edges(members: DataFrame) -> DataFrame:
+def bucket_members(banded: DataFrame, sizes: DataFrame, total: int, most: int) -> DataFrame:
+    """(bucket, part, node, n) of the buckets in ``sizes`` (bucket, n); those of more than ``most`` members are in parts."""
+    # A node of several rows, one doc_id with several texts, counts once.
+    members = spread_join(banded, sizes, ["bucket"], ["node"], total, sizes, most).dropDuplicates(["bucket", "node"])
+    return members.withColumn("part", part(parts(F.col("n"), most), "node"))
+
+
+def star_edges(members: DataFrame, most: int) -> DataFrame:
     """(centre, member) of each bucket, the centre being the node with most bucket mates over all its buckets."""
     mates = members.groupBy("node").agg(F.sum("n").alias("mates"))
     ranked = members.join(mates, "node")
-    centres = ranked.groupBy("bucket").agg(F.max_by("node", F.struct(F.col("mates"), -F.col("node"))).alias("centre"))
-    pairs = members.join(centres, "bucket").filter("node <> centre")
+    centres = ranked.groupBy("bucket").agg(F.max_by("node", F.struct(F.col("mates"), -F.col("node"))).alias("centre"), F.max("n").alias("n"))
+    spread = in_parts(centres, F.col("n"), most).drop("n")
+    pairs = members.join(spread, ["bucket", "part"]).filter("node <> centre")
     # One direction for each pair, whichever was the centre more often known: the least mate count varies by bucket.
     return pairs.select("centre", F.col("node").alias("member")).groupBy(F.least("centre", "member").alias("lo"), F.greatest("centre", "member").alias("hi")).agg(F.min("centre").alias("centre")).select(
         "centre", F.when(F.col("centre") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("member")
     )
 
 
-def unresolved(members: DataFrame, components: DataFrame) -> DataFrame:
-    """Rows (bucket, node, component, outside) of buckets of three or more that span several components.
+def unresolved(members: DataFrame, components: DataFrame, most: int) -> DataFrame:
+    """Rows (bucket, part, node, component, outside) of buckets of three or more that span several components.
 
     ``outside``: not of the bucket's largest component. Every pair that isn't yet settled has such a member.
     Of buckets with the same members only one is kept.
     """
-    labelled = members.filter("n >= 3").join(components, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    labelled = members.filter("n >= 3").join(components, "node", "left").select("bucket", "part", "node", F.coalesce("component", "node").alias("component"))
     per = labelled.groupBy("bucket", "component").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"))
     top = per.groupBy("bucket").agg(F.max_by("component", F.struct("c", "component")).alias("top"), F.count("*").alias("k"), F.sum("c").alias("m"), F.bit_xor("x").alias("x"))
     open_ = top.filter("k >= 2").groupBy("x", "m").agg(F.min_by(F.struct("bucket", "top"), F.col("bucket")).alias("b"), F.max("m").alias("size"))
-    kept = open_.select("b.bucket", "b.top", "size")
-    return labelled.join(kept, "bucket").select("bucket", "node", "component", (F.col("component") != F.col("top")).alias("outside"), "size")
+    kept = in_parts(open_.select("b.bucket", "b.top", "size"), F.col("size"), most)
+    return labelled.join(kept, ["bucket", "part"]).select("bucket", "part", "node", "component", (F.col("component") != F.col("top")).alias("outside"), "size")
 
 
-def block_links(rows: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK, shingles: int = BLOCK_SHINGLES) -> DataFrame:
+def block_links(rows: DataFrame, sets: DataFrame, percent: int, most: int, block: int = BLOCK, shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """Links (a, b) between outside members and members of other components, found in blocks of bounded size.
 
     A bucket of m members makes a grid of (m / block) squared cells, or more where its sets together hold more than
     ``shingles`` a line; a row is copied once for each cell of its line.
     """
-    weights = rows.join(sets.select("node", "n_set"), "node").groupBy("bucket").agg(F.sum("n_set").alias("weight"))
-    rows = rows.join(weights, "bucket")
+    weights = rows.join(sets.select("node", "n_set"), "node").groupBy("bucket").agg(F.sum("n_set").alias("weight"), F.max("size").alias("size"))
+    rows = rows.join(in_parts(weights, F.col("size"), most).drop("size"), ["bucket", "part"])
     side = F.greatest(F.ceil(F.col("size") / block), F.ceil(F.col("weight") / shingles))
     own = F.pmod(F.xxhash64("node", F.lit(5)), side)
     line = F.sequence(F.lit(0).cast("long"), side - 1)
@@ -196,27 +201,31 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
 
     Words are runs of non-whitespace (ASCII), A-Z lower-cased. Texts are linked where ``percent`` of the union of their
     shingle sets is shared; component_id is the least doc_id reachable. A text without words, or null, is linked with
-    nothing. Rows of one doc_id count as one document; a row without doc_id is left alone, with component_id null and
-    kept true. Columns of ``docs`` with the new names are replaced.
+    nothing; a very long one is taken whole. Rows of one doc_id count as one document; a row without doc_id is left alone,
+    with component_id null and kept true. An empty table gives an empty result. Columns of ``docs`` with the new names are
+    replaced; with ``carry`` all others pass unchanged, whatever their names.
     """
-    names = [c for c in docs.columns if c not in ("n_shingles", "component_id", "kept")] if carry else ["doc_id"]
     bins = bands * rows_per_band(percent, bands)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketched = materialise(K.map_texts(texts, "n_shingles long, s1 long, s2 long, bands array<long>", lambda t: sketch(t, shingle, bins, bands), carry=["doc_id"]), "sketch")
 
     usable = sketched.filter("doc_id IS NOT NULL AND n_shingles > 0")
     nodes = materialise(usable.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.any_value("bands").alias("bands")), "nodes")
-    banded = nodes.select("node", F.explode("bands").alias("bucket"))
-    sizes = banded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n >= 2")
-    members = materialise(banded.join(sizes, "bucket").dropDuplicates(["bucket", "node"]), "buckets")
+    banded = nodes.select("node", F.explode(F.array_distinct("bands")).alias("bucket"))
+    sizes = materialise(banded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n >= 2"), "bucket-sizes")
+    total = nodes.count() * bands
+    most = most_rows(total)
+    members = materialise(bucket_members(banded, sizes, total, most), "buckets")
 
     wanted = materialise(members.select(F.col("node").alias("doc_id")).distinct(), "candidates")
     again = texts.join(F.broadcast(wanted) if wanted.count() <= IDS_SENT else wanted, "doc_id", "left_semi")
     sets = materialise(K.map_texts(again, "shingles array<long>", lambda t: sets_of(t, shingle), carry=["doc_id"]).select(F.col("doc_id").alias("node"), "shingles", F.size("shingles").alias("n_set")), "sets")
 
-    star = materialise(confirm(star_edges(members), sets, percent), "star-links")
-    rest = materialise(block_links(unresolved(members, connected_components(star)), sets, percent), "block-links")
-    discard(sets, members, wanted)
+    edges = materialise(star_edges(members, most), "star-edges")
+    star = materialise(confirm(edges, sets, percent), "star-links")
+    first = connected_components(star)
+    rest = materialise(block_links(materialise(unresolved(members, first, most), "unresolved"), sets, percent, most), "block-links")
+    discard(sets, members, wanted, sizes, edges)
     shared = usable.select("doc_id", "s1", "s2").join(nodes.select("s1", "s2", "node"), ["s1", "s2"])
     # Rows of one doc_id with different texts tie their nodes together.
     ties = shared.filter("doc_id <> node").groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("a")).filter("a <> b").select("a", "b")
@@ -226,9 +235,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     labelled = sketched.select("doc_id", "n_shingles", "s1", "s2").join(least, ["s1", "s2"], "left")
     result = labelled.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
     result = result.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
-    result = result.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("doc_id").isNull()))
+    result = materialise(result.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("doc_id").isNull())), "near-duplicates")
+    discard(sketched, nodes, star, rest)
     if not carry:
-        return result.select(*names, "n_shingles", "component_id", "kept")
-    per_id = result.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.max("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id"), F.bool_and("kept").alias("kept"))
-    joined = docs.join(per_id.hint("shuffle_hash"), docs["doc_id"].cast("long") == F.col("_id"), "left")
-    return joined.select(*[docs[c] for c in names], per_id["n_shingles"], per_id["component_id"], F.coalesce(per_id["kept"], F.lit(True)).alias("kept"))
+        return result.select("doc_id", "n_shingles", "component_id", "kept")
+    names = K.others(docs, ("n_shingles", "component_id", "kept"))
+    per_id = result.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id"), F.bool_and("kept").alias("kept"))
+    rows = docs.select(K.boxed(names), F.col("doc_id").cast("long").alias("doc_id"))
+    joined = rows.join(per_id.hint("shuffle_hash"), "doc_id", "left")
+    return joined.select(*K.unboxed(names), "n_shingles", "component_id", F.coalesce("kept", F.lit(True)).alias("kept"))

@@ -1,19 +1,20 @@
 """Personal data: fixed kinds by pattern, further identifiers by bootstrapped context.
 
-Entities of the fixed kinds, blanks in them included, are seeds. The words around seeds, and a key before ``=`` or ``:``
-in the same word, are lexical patterns. Patterns are scored by how much of what they stand beside, over the whole corpus, is an identifier; other
-identifier-like words are scored by their patterns, and the two scores are worked out in turn for some rounds. Words that
-reach a high score become spans of kind ``id``. All of it is DataFrame work: what is joined is small against the texts.
+Entities of the fixed kinds, blanks in them included, and long hexadecimal keys are seeds. The words around them, and a
+key before ``=`` or ``:``, are lexical patterns. Patterns are scored by how much of what they stand beside, over the whole
+corpus, is an identifier, and other identifier-like words by their patterns. Words that reach a high score seed the next
+round, with patterns of their own, and become spans of kind ``id``; so do keys that their contexts confirm. All of it is
+DataFrame work: what is joined is small against the texts.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.workspace import materialise
+from millrace.llm import kernel as K
+from millrace.llm.skew import spread_join
+from millrace.workspace import discard, materialise
 
 KINDS = ("email", "ip", "card", "phone")
 FOUND = "id"
@@ -28,12 +29,24 @@ PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 WHITE = r" \x09-\x0D"
 #: A whole word that looks like an identifier: three digits or an @ in six characters or more.
 WORD = rf"(?<![^{WHITE}])(?=[^{WHITE}]{{6}})(?=[^{WHITE}@]*+@|[^{WHITE}0-9]*+[0-9](?:[^{WHITE}0-9]*+[0-9]){{2}})[^{WHITE}]++"
+#: A seed besides the fixed kinds: a run of so many hexadecimal digits, letters and figures among them, as keys have.
+SECRET_CHARS = 32
+SECRET = rf"(?<![0-9A-Za-z])[0-9A-Fa-f]{{{SECRET_CHARS},}}+(?![0-9A-Za-z])"
+#: A key with its sign: right before an entity, at an entity's own beginning, and anywhere.
+KEY_BEFORE = r"(?<![\p{L}_-])([\p{L}_-]++ *+[=:]) *+[\"'`(\[<]*+$"
+KEY_INSIDE = r"^[\"'`(\[<]*+([\p{L}_-]++[=:])"
+KEY_USE = r"(?<![\p{L}_-])([\p{L}_-]++ *+[=:])"
+#: Code points of a piece; contexts are taken from pieces, so that a very long text isn't scanned for each entity.
+PIECE = 4096
+PATTERNS = (("left", "L "), ("right", "R "), ("key", "K "))
 SPAN = "array<struct<start: long, end: long, value: string>>"
 MIN_SEEDS = 3
-ROUNDS = 3
+ROUNDS = 8
 CONFIDENT = 0.8
 #: Unseen other uses that every pattern is charged with.
 DOUBT = 1.0
+#: What an identifier-like word of no score counts against a pattern; any other word beside it counts 1.
+UNKNOWN = 0.25
 
 
 def located(text: Column, pattern: str) -> Column:
@@ -90,99 +103,151 @@ def base_spans(text: Column) -> dict[str, Column]:
     }
 
 
-def entities(words: Column, base: Column) -> Column:
-    """Base spans and identifier-like words in order, those that overlap as one: start, end, value, first, seed.
+def entities(words: Column, base: Column, secrets: Column) -> Column:
+    """Base spans, secrets and identifier-like words in order, those that overlap as one: start, end, value, first, seed, base.
 
-    ``seed``: a base span is in it; ``value`` is then that span's. ``first`` is what it begins with.
+    ``base``: a base span is in it; ``seed``: a base span or a secret is; ``value`` is then that one's. ``first`` is what
+    it begins with.
     """
-    fields = "start: long, end: long, value: string, first: string, seed: boolean"
-    tagged = lambda spans, seed: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), s["value"].alias("first"), F.lit(seed).alias("seed")))
+    fields = "start: long, end: long, value: string, first: string, seed: boolean, base: boolean"
+
+    def tagged(spans: Column, seed: bool, kind: bool) -> Column:
+        return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), s["value"].alias("first"), F.lit(seed).alias("seed"), F.lit(kind).alias("base")))
+
     start = F.struct(F.lit(None).cast(f"struct<{fields}>").alias("open"), F.array().cast(f"array<struct<{fields}>>").alias("done"))
 
     def step(acc: Column, x: Column) -> Column:
         last = acc["open"]
-        value = F.when(x["seed"] & ~last["seed"], x["value"]).otherwise(last["value"])
-        both = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"), value.alias("value"), last["first"].alias("first"), (last["seed"] | x["seed"]).alias("seed"))
+        surer = (x["base"] & ~last["base"]) | (x["seed"] & ~last["seed"])
+        value = F.when(surer, x["value"]).otherwise(last["value"])
+        both = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"), value.alias("value"), last["first"].alias("first"), (last["seed"] | x["seed"]).alias("seed"), (last["base"] | x["base"]).alias("base"))
         meets = F.coalesce(x["start"] < last["end"], F.lit(False))
         done = F.when(meets | last.isNull(), acc["done"]).otherwise(F.array_append(acc["done"], last))
         return F.struct(F.when(meets, both).otherwise(x).cast(f"struct<{fields}>").alias("open"), done.alias("done"))
 
-    return F.aggregate(F.array_sort(F.concat(tagged(base, True), tagged(words, False))), start, step, lambda acc: F.when(acc["open"].isNull(), acc["done"]).otherwise(F.array_append(acc["done"], acc["open"])))
+    every = F.array_sort(F.concat(tagged(base, True, True), tagged(secrets, True, False), tagged(words, False, False)))
+    return F.aggregate(every, start, step, lambda acc: F.when(acc["open"].isNull(), acc["done"]).otherwise(F.array_append(acc["done"], acc["open"])))
 
 
-def instances(marked: DataFrame) -> DataFrame:
-    """(doc_id, th, start, end, value, left, right, key, seed): base spans, which are the seeds, and other identifier-like words.
+def instances(text: Column, base: Column) -> Column:
+    """Entities of a text with their contexts: array of (start, end, value, left, right, key, seed).
 
     Left and right are the next whole words outside, the rest of a word that a span begins or ends in left out; there is
-    none where the next entity comes first.
+    none where the next entity comes first. Key is a word before ``=`` or ``:``, blanks and an opening quote aside.
     """
-    text = F.col("text")
     words = F.when(text.rlike(r"[0-9@]"), located(text, WORD)).otherwise(F.array().cast(SPAN))
-    ready = marked.select("doc_id", "th", "text", "base", words.alias("words")).select("doc_id", "th", "text", entities(F.col("words"), F.col("base")).alias("es"))
-    between = lambda a, b: blanked(text.substr((a + 1).cast("int"), (b - a).cast("int")))
+    secrets = F.filter(F.when(text.rlike(f"[0-9A-Fa-f]{{{SECRET_CHARS}}}"), located(text, SECRET)).otherwise(F.array().cast(SPAN)), lambda s: s["value"].rlike("[A-Fa-f]") & s["value"].rlike("[0-9]"))
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+    def between(chunks: Column, a: Column, b: Column) -> Column:
+        i = F.floor(a / PIECE)
+        near = F.array_join(F.slice(chunks, (i + 1).cast("int"), (F.floor(b / PIECE) - i + 1).cast("int")), "")
+        return blanked(near.substr((a - i * PIECE + 1).cast("int"), (b - a).cast("int")))
+
+    def contexts(both: Column) -> Column:
+        es, chunks = both["es"], both["chunks"]
 
-    def beside(e: Column, i: Column) -> Column:
-        before = F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get("es", i - 1)["end"])
-        after = F.when(i == F.size("es") - 1, F.length(text).cast("long")).otherwise(F.get("es", i + 1)["start"])
-        return F.struct(*[e[c].alias(c) for c in ("start", "end", "value", "first", "seed")], between(before, e["start"]).alias("before"), between(e["end"], after).alias("after"))
+        def beside(e: Column, i: Column) -> Column:
+            begin = F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get(es, i - 1)["end"])
+            finish = F.when(i == F.size(es) - 1, F.length(text).cast("long")).otherwise(F.get(es, i + 1)["start"])
+            return F.struct(*[e[c].alias(c) for c in ("start", "end", "value", "first", "seed", "base")], between(chunks, begin, e["start"]).alias("before"), between(chunks, e["end"], finish).alias("after"))
 
-    rows = ready.select("doc_id", "th", F.explode(F.transform("es", beside)).alias("e")).select("doc_id", "th", "e.*")
-    head, tail = F.substring_index("before", " ", -1), F.substring_index("after", " ", 1)
-    left = last_word(F.expr("left(before, length(before) - length(substring_index(before, ' ', -1)))"))
-    right = first_word(F.col("after").substr(F.length(tail) + 1, F.length("after")))
-    key = F.lower(F.regexp_extract(F.concat(head, "first"), r"^([\p{L}_-]{2,40}[=:])", 1))
-    return rows.select("doc_id", "th", "start", "end", "value", left.alias("left"), right.alias("right"), F.nullif(key, F.lit("")).alias("key"), "seed")
+        def named(e: Column) -> Column:
+            before, after = e["before"], e["after"]
+            head, tail = F.substring_index(before, " ", -1), F.substring_index(after, " ", 1)
+            left = last_word(before.substr(F.lit(1), F.length(before) - F.length(head)))
+            right = first_word(after.substr(F.length(tail) + 1, F.length(after)))
+            inside = F.regexp_extract(e["first"], KEY_INSIDE, 1)
+            key = F.lower(F.translate(F.when(inside != "", inside).otherwise(F.regexp_extract(before, KEY_BEFORE, 1)), " ", ""))
+            return F.struct(*[e[c].alias(c) for c in ("start", "end", "value")], left.alias("left"), right.alias("right"), F.nullif(key, F.lit("")).alias("key"), e["seed"].alias("seed"), e["base"].alias("base"))
+
+        return F.transform(F.transform(es, beside), named)
+
+    both = F.transform(F.array(entities(words, base, secrets)), lambda es: F.struct(es.alias("es"), F.when(F.size(es) > 0, pieces).alias("chunks")))
+    return F.transform(both, contexts)[0]
 
 
 def pattern_rows(found: DataFrame) -> DataFrame:
-    """One row for each instance and pattern beside it."""
-    named = [("left", "L "), ("right", "R "), ("key", "K ")]
-    patterns = F.array(*[F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(p), F.col(c))) for c, p in named])
-    return found.select("doc_id", "th", "start", "end", "value", "seed", F.explode(F.array_compact(patterns)).alias("pattern"))
+    """One row for each instance and pattern beside it, of rows (doc_id, th, e)."""
+    one = F.col("e")
+    patterns = F.array(*[F.when(F.coalesce(one[c], F.lit("")) != "", F.concat(F.lit(p), one[c])) for c, p in PATTERNS])
+    return found.select("doc_id", "th", *[one[c].alias(c) for c in ("start", "end", "value", "seed", "base")], F.explode(F.array_compact(patterns)).alias("pattern"))
 
 
 def word_uses(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(pattern, uses): how often the pattern's word or key stands anywhere in the corpus."""
-    words = F.split(F.lower(blanked(F.col("text"))), " ")
-    # Words combine within each task before they travel.
-    counted = docs.select(F.explode(words).alias("w")).filter("w <> ''").groupBy("w").agg(F.count("*").alias("c"))
-    keys = counted.select(F.nullif(F.regexp_extract("w", r"^([\p{L}_-]{2,40}[=:])", 1), F.lit("")).alias("w"), "c").filter("w IS NOT NULL")
-    named = [counted.select(F.concat(F.lit("L "), "w").alias("pattern"), "c"), counted.select(F.concat(F.lit("R "), "w").alias("pattern"), "c"), keys.select(F.concat(F.lit("K "), "w").alias("pattern"), "c")]
-    return reduce(DataFrame.union, [n.join(patterns, "pattern", "left_semi") for n in named]).groupBy("pattern").agg(F.sum("c").alias("uses"))
+    """(pattern, uses): how often the pattern's word or key stands anywhere in the corpus; one pass over the texts."""
+    text = F.lower(blanked(F.col("text")))
+    words = F.split(text, " ")
+    # A blank before a key tells it from words.
+    found = F.when(text.rlike("[=:]"), F.regexp_extract_all(text, F.lit(KEY_USE), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    keys = F.transform(found, lambda k: F.concat(F.lit(" "), F.translate(k, " ", "")))
+    wanted = patterns.select("pattern", F.when(F.col("pattern").startswith("K "), F.expr("substring(pattern, 2)")).otherwise(F.expr("substring(pattern, 3)")).alias("w"))
+    # Uses combine within each task before they travel.
+    counted = docs.select(F.explode(F.concat(words, keys)).alias("w")).filter("w <> ''").groupBy("w").agg(F.count("*").alias("uses"))
+    return wanted.join(counted, "w").select("pattern", "uses")
 
 
 def bootstrapped(docs: DataFrame, marked: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(doc_id, th, start, end) of words that reach CONFIDENT by their patterns and are no seeds."""
-    graph = materialise(pattern_rows(instances(marked)), "pii-graph")
-    seeded = graph.filter("seed").groupBy("pattern", "value").agg(F.lit(1).alias("one")).groupBy("pattern").agg(F.count("*").alias("k"))
-    patterns = materialise(seeded.filter(F.col("k") >= MIN_SEEDS).select("pattern"), "pii-patterns")
-    uses = materialise(word_uses(docs, patterns), "pii-uses")
-    edges = materialise(graph.join(patterns, "pattern", "left_semi"), "pii-edges")
+    """(doc_id, th, start, end) of entities that reach CONFIDENT by their patterns and hold no base span.
+
+    Seeds have score 1. In each round, patterns beside MIN_SEEDS distinct confident values are taken up, so what a round
+    finds brings in patterns of its own. A pattern's confidence sets the score of what it stands beside against its other
+    uses; an entity's score follows from its patterns'. Rounds end when nothing new is found, or after ``rounds``.
+    """
+    graph = materialise(pattern_rows(marked.select("doc_id", "th", F.explode("es").alias("e"))), "pii-graph")
+    # What stands beside too few values can't be taken up in any round.
+    often = graph.groupBy("pattern", "value").agg(F.count("*").alias("n")).groupBy("pattern").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
+    often = materialise(often.filter(F.col("k") >= MIN_SEEDS).select("pattern", "n"), "pii-patterns")
+    uses = materialise(word_uses(docs, often.select("pattern")), "pii-uses")
     node = ["doc_id", "th", "start", "end"]
-    scores = edges.select("pattern", *node, "seed", F.when(F.col("seed"), 1.0).otherwise(0.0).alias("score"))
+    total = graph.count()
+    edges = materialise(spread_join(graph, often.select("pattern"), ["pattern"], ["th", "start"], total, often), "pii-edges")
+    discard(graph)
+    sizes = edges.groupBy("pattern").agg(F.count("*").alias("n"))
+    scores = edges.select("pattern", "value", *node, "seed", "base", F.when(F.col("seed"), 1.0).otherwise(0.0).alias("score"))
+    tables, seen = [edges], None
     for _ in range(rounds):
-        confidence = scores.groupBy("pattern").agg(F.sum("score").alias("s")).join(uses, "pattern").select("pattern", F.least(F.lit(0.999), F.col("s") / (F.greatest(F.col("uses"), F.col("s")) + DOUBT)).alias("conf"))
-        # A word has three patterns at most, so its score is a product over three rows at most.
-        doubt = scores.join(confidence, "pattern").groupBy(*node, "seed").agg(F.exp(F.sum(F.log(1 - F.col("conf")))).alias("d"), F.collect_set("pattern").alias("ps"))
-        scored = doubt.select(*node, "seed", "ps", F.when(F.col("seed"), 1.0).otherwise(1 - F.col("d")).alias("score"))
-        scores = materialise(scored.select(F.explode("ps").alias("pattern"), *node, "seed", "score"), "pii-scores")
-    return scores.filter(~F.col("seed") & (F.col("score") >= CONFIDENT)).select(*node).distinct()
+        sure = scores.filter(F.col("score") >= CONFIDENT).select("pattern", "value").distinct().groupBy("pattern").agg(F.count("*").alias("k")).filter(F.col("k") >= MIN_SEEDS)
+        summed = scores.groupBy("pattern").agg(F.sum(F.round("score", 9).cast("decimal(38,9)")).cast("double").alias("s"), F.count("*").alias("n"))
+        against = F.greatest(F.col("uses") - F.col("n"), F.lit(0)) + UNKNOWN * (F.col("n") - F.col("s")) + DOUBT
+        confidence = summed.join(sure, "pattern").join(uses, "pattern").select("pattern", F.least(F.lit(0.999), F.col("s") / (F.col("s") + against)).alias("conf"))
+        told = spread_join(scores, confidence, ["pattern"], ["th", "start"], total, sizes, how="left")
+        # An entity has three patterns at most, so its score is a product over three rows at most, in their order.
+        one = F.struct("pattern", F.coalesce("conf", F.lit(0.0)).alias("conf"))
+        doubt = told.groupBy(*node, "value", "seed", "base").agg(F.array_sort(F.collect_set(one)).alias("ps"))
+        by_patterns = 1 - F.aggregate("ps", F.lit(1.0), lambda d, p: d * (1 - p["conf"]))
+        scored = doubt.select(*node, "value", "seed", "base", "ps", by_patterns.alias("told"))
+        score = F.when(F.col("seed"), 1.0).otherwise(F.col("told")).alias("score")
+        scores = materialise(scored.select(F.explode("ps.pattern").alias("pattern"), "value", *node, "seed", "base", "told", score), "pii-scores")
+        discard(*tables[1:])
+        tables = [edges, scores]
+        found = scores.filter(F.col("told") >= CONFIDENT).count()
+        if found == seen:
+            break
+        seen = found
+    if "told" not in scores.columns:
+        scores = scores.withColumn("told", F.lit(0.0))
+    out = materialise(scores.filter(~F.col("base") & (F.col("told") >= CONFIDENT)).select(*node).distinct(), "pii-found")
+    discard(*tables, often, uses)
+    return out
 
 
 def find(docs: DataFrame, carry=None, rounds: int = ROUNDS) -> DataFrame:
-    """``docs`` with one array of spans (start, end, value) a base kind, and ``found`` for words that the contexts gave away.
+    """``docs`` with one array of spans (start, end, value) a base kind, and ``found`` for entities that contexts gave away.
 
-    Null text counts as empty. Rows of one doc_id and equal text get equal spans. Null ids are fine. Columns of the new
-    names are replaced.
+    Null and empty texts hold nothing; very long ones are read whole. Rows of one doc_id and equal text get equal spans;
+    repeated rows and null ids are fine. An empty table gives an empty result. Columns of the new names are replaced; all
+    others pass unchanged, null texts and all, whatever their names.
     """
-    names = [c for c in (docs.columns if carry is None else carry) if c not in (*KINDS, "found", "th")]
-    safe = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    marked = safe.select(*dict.fromkeys([*names, "doc_id", "text"]), F.xxhash64("text").alias("th")).withColumns(base_spans(F.col("text")))
-    interesting = marked.filter(F.col("text").rlike("[0-9@]")).select("doc_id", "th", "text", F.concat(*KINDS).alias("base"))
-    extra = bootstrapped(safe.select("text"), interesting, rounds)
-    per_row = extra.groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("found"))
-    joined = marked.join(per_row, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left")
-    return joined.select(*names, *KINDS, F.coalesce("found", F.array().cast("array<struct<start: long, end: long>>")).alias("found"))
+    names = [c for c in (docs.columns if carry is None else carry) if c.lower() not in {*KINDS, "found"}]
+    rows = docs.select(K.boxed(names), F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    kinds = rows.select("row", "doc_id", F.xxhash64("text").alias("th"), "text", *[spans.alias(kind) for kind, spans in base_spans(F.col("text")).items()])
+    marked = kinds.select("row", "doc_id", "th", *KINDS, instances(F.col("text"), F.concat(*KINDS)).alias("es"))
+    marked = materialise(marked, "pii-spans")
+    extra = bootstrapped(rows.select("text"), marked.select("doc_id", "th", "es"), rounds)
+    per_row = extra.groupBy(F.col("doc_id").alias("id"), "th").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("found"))
+    joined = marked.join(per_row.withColumnRenamed("th", "t"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("t")), "left")
+    return joined.select(*K.unboxed(names), *KINDS, F.coalesce("found", F.array().cast("array<struct<start: long, end: long>>")).alias("found"))
 
 
 def listed(kind: str, spans: Column) -> Column:

@@ -58,7 +58,7 @@ def count_grams(df: DataFrame) -> np.ndarray:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], ["bucket", "n"])
 
-    rows = K.bounded_batches(df.select("text")).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    rows = df.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(1 << BUCKET_BITS, np.int64)
     for row in rows:
         out[row["bucket"]] = row["n"]
@@ -181,8 +181,10 @@ def threshold(held: DataFrame, max_loss: float = MAX_LOSS) -> float:
 def quality_rules(docs: DataFrame, labels: DataFrame, label: str = "quality", carry=None) -> DataFrame:
     """``docs`` with the five counts, score, base_failed and kept.
 
-    Null text counts as empty, has no words and fails. With no trusted example nothing fails but by the counts.
-    Columns of the new names are replaced.
+    Null text counts as empty, has no words and fails; very long texts are measured whole. Repeated rows and rows without
+    doc_id are judged each by its text. Labels of one id that contradict each other count as their least, and of rows
+    that share a labelled id one text speaks for it. With no trusted example nothing fails but by the counts. An empty
+    table gives an empty result. Columns of the new names are replaced; all others pass unchanged, whatever their names.
     """
     known = materialise(everyone(docs, labels, label), "quality-labelled")
     trusted = count_grams(known.filter("label = 1"))
@@ -190,8 +192,11 @@ def quality_rules(docs: DataFrame, labels: DataFrame, label: str = "quality", ca
     held = materialise(K.map_texts(known, "score double", lambda texts: score(texts, table), carry=["label"]), "quality-scores")
     discard(known)
     cut = threshold(held)
+    discard(held)
+    names = [c for c in (docs.columns if carry is None else carry) if c.lower() not in {*COUNTS, "score", "base_failed", "kept"}]
     fields = ", ".join(f"{c} long" for c in COUNTS) + ", score double"
-    measured = K.map_texts(docs, fields, lambda texts: measure(texts, table), carry=carry)
+    rows = docs.select(K.boxed(names), K.column("text").alias("text"))
+    measured = K.map_texts(rows, fields, lambda texts: measure(texts, table), carry=["row"])
     failed = (F.col("n_words") < MIN_WORDS) | (F.lit(100) * F.col("n_repeat_words") > F.lit(MAX_REPEAT_PERCENT) * F.col("n_words"))
-    measured = measured.select(*[c for c in measured.columns if c not in ("base_failed", "kept")], failed.alias("base_failed"))
-    return measured.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= cut))
+    measured = measured.withColumn("base_failed", failed)
+    return measured.select(*K.unboxed(names), *COUNTS, "score", "base_failed", (~F.col("base_failed") & (F.col("score") >= cut)).alias("kept"))

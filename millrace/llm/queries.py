@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, classifier, decontaminate, linededup, mixing, neardup, pii, quality, sharding, toxicity
+from millrace.llm import chat, classifier, decontaminate, kernel, linededup, mixing, neardup, pii, quality, sharding, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -22,7 +22,7 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return kernel.tuned(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 @query("op1_sharding")
@@ -46,8 +46,7 @@ d AS (SELECT k.*, coalesce(c.n >= 5 AND k.doc_id < c.last, false) AS gone FROM k
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM d GROUP BY doc_id""",
 )
 def op2_linededup(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    done = linededup.dedup_lines(docs, linededup.file_batches(spark, f"{sf_dir}/documents.parquet"))
+    done = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text_kept", 256).alias("kept_sha256"))
 
 
@@ -113,21 +112,27 @@ def op5_chat(spark, sf_dir):
     return done.select("conv_id", "rejected_from", "n_prefix_turns", "prompt", "chosen", "rejected", spans("chosen_mask"), spans("rejected_mask"))
 
 
-SQL_MIX = """d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
-s AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS cnt FROM d GROUP BY 1),
-w AS (SELECT *, (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1 AS weight FROM s),
+SQL_MIX = """d AS (SELECT doc_id, coalesce('=' || source, '') AS s, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
+h AS (SELECT s, source, size, count(*)::BIGINT AS n FROM d GROUP BY ALL),
+c AS (SELECT s, source, sum(size * n)::BIGINT AS source_size, sum(n)::BIGINT AS cnt, min(size) FILTER (size > 0) AS least FROM h GROUP BY ALL),
+w AS (SELECT *, (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1 AS weight FROM c),
 l AS (SELECT *, 3 * source_size / weight AS ratio, (sum(source_size) OVER ()::BIGINT - coalesce(sum(3 * source_size) OVER b, 0)::BIGINT) / (sum(weight) OVER ()::BIGINT - coalesce(sum(weight) OVER b, 0)::BIGINT) AS level FROM w WINDOW b AS (ORDER BY 3 * source_size / weight, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 v AS (SELECT level FROM l WHERE level <= ratio ORDER BY ratio, source ASC NULLS LAST LIMIT 1),
-t AS (SELECT l.source, source_size, cnt, least(3.0::DOUBLE * source_size, v.level * weight) AS target FROM l, v),
-r AS (SELECT *, CASE WHEN source_size > 0 AND target > 0 THEN least(3.0, round(target / source_size, 9)) ELSE 0.0 END::DOUBLE AS rate FROM t),
-k AS (SELECT d.doc_id, d.source, d.size, r.source_size, r.target, r.rate, ('0x' || md5(coalesce(CAST(d.doc_id AS VARCHAR), ''))[1:8])::BIGINT % CAST(ceil(r.cnt / 8192) AS BIGINT) AS g FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
-q AS (SELECT *, row_number() OVER (PARTITION BY source, g ORDER BY size DESC, doc_id ASC NULLS LAST) AS rank FROM k),
-o AS (SELECT (i + 0.5::DOUBLE) / 32 AS u FROM range(32) x(i)),
-z AS (SELECT source, g, u, abs(sum((floor(rate * rank + u) - floor(rate * (rank - 1) + u)) * size) - any_value(rate) * sum(size)) AS away FROM q, o GROUP BY 1, 2, 3),
-y AS (SELECT source, g, u FROM (SELECT *, row_number() OVER (PARTITION BY source, g ORDER BY away, u) AS i FROM z) WHERE i = 1)"""
-
-
-@query("op6_mixing", f"WITH {SQL_MIX} SELECT q.doc_id, size, source_size, target, ((floor(rate * rank + u) - floor(rate * (rank - 1) + u)) * size)::BIGINT AS taken FROM q JOIN y ON q.source IS NOT DISTINCT FROM y.source AND q.g = y.g")
+t AS (SELECT l.s, source_size, cnt, least, least(3.0::DOUBLE * source_size, v.level * weight) AS target FROM l, v),
+z(i, s, target, low, high) AS (SELECT 0, s, target, -50.0::DOUBLE, ln(3.0::DOUBLE) / least FROM t WHERE target > 0 AND target < 3 * source_size
+UNION ALL SELECT i + 1, s, target, CASE WHEN f < target THEN (low + high) / 2 ELSE low END, CASE WHEN f < target THEN high ELSE (low + high) / 2 END
+FROM (SELECT z.i, z.s, z.target, z.low, z.high, sum(h.n * h.size * least(3.0::DOUBLE, exp((z.low + z.high) / 2 * h.size))) AS f FROM z JOIN h ON z.s = h.s WHERE z.i < 120 GROUP BY ALL)),
+r AS (SELECT t.*, (z.low + z.high) / 2 AS tilt FROM t LEFT JOIN z ON z.s = t.s AND z.i = 120),
+k AS (SELECT d.doc_id, d.s, d.size, r.source_size, r.target, round(CASE WHEN r.source_size = 0 THEN 0.0 WHEN tilt IS NULL THEN 3.0 ELSE least(3.0::DOUBLE, exp(tilt * d.size)) END * 1000000)::BIGINT AS units, ('0x' || md5(coalesce(CAST(d.doc_id AS VARCHAR), '') || ':' || d.size)[1:8])::BIGINT % CAST(ceil(r.cnt / 1024) AS BIGINT) AS g FROM d JOIN r ON d.s = r.s),
+q AS (SELECT *, units // 1000000 AS floor, units % 1000000 AS more, row_number() OVER (PARTITION BY s, g ORDER BY size DESC, doc_id ASC NULLS LAST) AS rank FROM k),
+a(s, g, rank, c, owed) AS (SELECT DISTINCT s, g, 0::BIGINT, 0::BIGINT, 0::BIGINT FROM q
+UNION ALL SELECT s, g, rank, floor + up, owed + units * size - (floor + up) * 1000000 * size FROM (SELECT q.*, a.owed, CASE WHEN q.more > 0 AND 2 * (a.owed + q.more * q.size) >= 1000000 * q.size THEN 1 ELSE 0 END AS up FROM a JOIN q ON q.s = a.s AND q.g = a.g AND q.rank = a.rank + 1)),
+e AS (SELECT s, g, arg_max(owed, rank) AS owed FROM a GROUP BY ALL),
+b(s, g, rank, c, owed) AS (SELECT s, g, 0::BIGINT, 0::BIGINT, owed FROM e
+UNION ALL SELECT s, g, rank, c + more, owed - more * 1000000 * size FROM (SELECT x.s, x.g, x.rank, x.c, q.size, b.owed, greatest(-x.c, least(3 - x.c, CASE WHEN q.size = 0 THEN 0 ELSE sign(b.owed)::BIGINT * (abs(b.owed) // (1000000 * q.size)) END)) AS more FROM b JOIN a x ON x.s = b.s AND x.g = b.g AND x.rank = b.rank + 1 JOIN q ON q.s = b.s AND q.g = b.g AND q.rank = b.rank + 1))"""
+
+
+@query("op6_mixing", f"WITH RECURSIVE {SQL_MIX} SELECT q.doc_id, q.size, q.source_size, q.target, (b.c * q.size)::BIGINT AS taken FROM q JOIN b ON q.s = b.s AND q.g = b.g AND q.rank = b.rank")
 def op6_mixing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     sized = docs.select("doc_id", "source", mixing.token_size(F.col("text")).alias("size"))
@@ -155,10 +160,12 @@ def op9_toxicity(spark, sf_dir):
 def op10_pii(spark, sf_dir):
     found = pii.find(table(spark, sf_dir, "documents"), carry=["doc_id"])
     lists = {kind: pii.listed(kind, F.col(kind)) for kind in pii.KINDS}
-    base = F.concat(*lists.values())
+    base, more = F.concat(*lists.values()), pii.listed(pii.FOUND, F.col("found"))
     return found.select(
         "doc_id",
         *[F.size(kind).cast("long").alias(f"n_{kind}") for kind in pii.KINDS],
         F.sha2(F.array_join(base, ","), 256).alias("base_sha256"),
-        F.array_join(F.concat(base, pii.listed(pii.FOUND, F.col("found"))), ",").alias("spans"),
+        F.array_join(F.concat(base, more), ",").alias("spans"),
+        F.size("found").cast("long").alias("n_found"),
+        F.size(F.concat(base, more)).cast("long").alias("n_spans"),
     )

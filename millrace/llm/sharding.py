@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace.llm import kernel as K
 from millrace.workspace import materialise
 
 #: Entries of the matrix that the driver draws and broadcasts (8 bytes each). More partitions are coalesced to fit.
@@ -83,14 +84,15 @@ def shard_sizes(total: int, shards: int) -> list[int]:
 def shard(df: DataFrame, shards: int = 40, seed: int = 20) -> DataFrame:
     """``df`` with shard (int) and slot (long, gapless from 0 in each shard); row counts of shards differ by one at most.
 
-    Every row counts, repeated rows and rows of nulls included; an empty table gives an empty result. A shard or slot
-    column of ``df`` is replaced. Rows are written once to the shared folder, so that a lost executor can't change what
-    the counts were drawn for.
+    Every row counts, repeated rows and rows of nulls, empty or very long texts included; an empty table gives an empty
+    result. Which of equal rows goes where is as random as for others. A shard or slot column of ``df`` is replaced; all
+    others pass unchanged, whatever their names. Rows are written once to the shared folder, so that a lost executor
+    can't change what the counts were drawn for.
     """
-    df = df.select(*[c for c in df.columns if c not in ("shard", "slot", "_rid")])
-    df = df.coalesce(max(1, MAX_ENTRIES // shards))
-    staged = materialise(df.withColumn("_rid", F.monotonically_increasing_id()), "shard-rows")
-    part = F.shiftright("_rid", PLACE_BITS)
+    names = K.others(df, ("shard", "slot"))
+    rows = df.select(K.boxed(names)).coalesce(max(1, MAX_ENTRIES // shards))
+    staged = materialise(rows.withColumn("rid", F.monotonically_increasing_id()), "shard-rows")
+    part = F.shiftright("rid", PLACE_BITS)
     counted = staged.groupBy(part.alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect()  # one row a partition
     index = {row["p"]: i for i, row in enumerate(counted)}
     total = sum(row["n"] for row in counted)
@@ -108,15 +110,15 @@ def shard(df: DataFrame, shards: int = 40, seed: int = 20) -> DataFrame:
             out[here] = labels(seed, int(p), index, matrix)[places[here]]
         return pd.Series(out)
 
-    dealt = staged.withColumn("shard", deal("_rid"))
+    dealt = staged.withColumn("shard", deal("rid"))
     parts = max(1, -(-total // (shards * ROWS_PER_SORT)))
-    dealt = dealt.withColumn("_sub", F.pmod(F.xxhash64(F.lit(seed), F.col("_rid")), F.lit(parts)))
-    sizes = dealt.groupBy("shard", "_sub").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("shard").orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("shard", "_sub", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    order = Window.partitionBy("shard", "_sub").orderBy(F.xxhash64(F.lit(seed + 1), F.col("_rid")), "_rid")
-    placed = dealt.withColumn("_place", F.row_number().over(order) - 1).join(starts, ["shard", "_sub"])
-    return placed.select(*df.columns, "shard", (F.col("_start") + F.col("_place")).cast("long").alias("slot"))
+    dealt = dealt.withColumn("sub", F.pmod(F.xxhash64(F.lit(seed), F.col("rid")), F.lit(parts)))
+    sizes = dealt.groupBy("shard", "sub").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("shard").orderBy("sub").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("shard", "sub", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    order = Window.partitionBy("shard", "sub").orderBy(F.xxhash64(F.lit(seed + 1), F.col("rid")), "rid")
+    placed = dealt.withColumn("place", F.row_number().over(order) - 1).join(starts, ["shard", "sub"])
+    return placed.select(*K.unboxed(names), "shard", (F.col("start") + F.col("place")).cast("long").alias("slot"))
 
 
 _kept: dict = {}

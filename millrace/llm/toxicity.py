@@ -1,11 +1,15 @@
 """Toxicity as ordered severity grades: cumulative-link regression on sparse text features.
 
-Features are hashes of words and of word beginnings. A bounded sample of labelled texts picks the ones that go with
-toxicity; one weight vector is shared by all thresholds, P(grade > k) = sigmoid(w x - theta_k).
+Features are words and word beginnings, hashed into 2**22 buckets; none is left out but those that too few texts hold.
+One weight vector is shared by all thresholds, P(grade > k) = sigmoid(w x - theta_k), and the fit maximises the
+likelihood of the grades themselves, log(P(grade > k - 1) - P(grade > k)), less a ridge penalty. Grades come from the
+labels: 0 for clean texts, 1 for toxic ones, 2 for toxic ones that are labelled bad as well.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -13,199 +17,206 @@ from pyspark.sql import functions as F
 
 from millrace.llm import kernel as K
 from millrace.llm.labelled import MOST_LABELLED, sample
+from millrace.workspace import discard, materialise
 
 #: Bytes of a word's beginning that make a feature of their own, besides the whole word.
 BEGINNINGS = (4, 5, 6)
-VOCABULARY = 4096
+FEATURE_BITS = 22
+#: Sampled texts that a feature is learnt from at least.
 MIN_SUPPORT = 4
-#: Log-likelihood ratio from which a feature counts as going with toxicity.
-MIN_G2 = 15.0
-FILTER_BITS = 22
-GRADES = 3
-L2 = 0.005
+#: Log-likelihood ratio at which a feature's ridge penalty is 1; surer features are penalised less, others more.
+PLAIN_G2 = 3.0
+STEPS = 80
+#: Texts whose features are widened to doubles at a time.
+FIT_TEXTS = 1024
+NEW = "expected_severity double, severity int, toxic_probability double"
 
 
-def feature_hashes(slab: K.Slab) -> tuple[list[np.ndarray], np.ndarray]:
-    """For each kind of feature the hash at every word, and each text's first word."""
+def buckets_of(slab: K.Slab) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (text, bucket), sorted, with the logarithm of one more than its count."""
     data = K.LOWER[slab.data]
     starts, ends, first = K.spans(data, slab.bounds, K.NOT_ALNUM)
-    kinds = [K.hash_spans(data, starts, ends)]
-    for n in BEGINNINGS:
-        kinds.append(K.mix(K.hash_spans(data, starts, np.minimum(ends, starts + n)) + K.U(n)))
-    return kinds, first
-
-
-def supported(known: DataFrame, least: int = MIN_SUPPORT) -> np.ndarray:
-    """Features that ``least`` sampled toxic texts hold, sorted; as many as the bounded sample allows."""
-
-    def run(batches):
-        for batch in batches:
-            for slab in K.slabs(batch.column(0)):
-                kinds, first = feature_hashes(slab)
-                held = [np.unique(np.concatenate([k[first[r] : first[r + 1]] for k in kinds])) for r in range(slab.rows)]
-                names, n = np.unique(np.concatenate(held), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(n)], ["feature", "n"])
-
-    counted = K.bounded_batches(known.filter("label = 1").select("text")).mapInArrow(run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
-    found = counted.filter(F.col("n") >= least).select("feature").toArrow()["feature"].to_numpy()
-    return np.sort(found.astype(np.int64).view(K.U))
-
-
-def document_frequencies(known: DataFrame, names: np.ndarray) -> DataFrame:
-    """(feature, toxic, clean): sampled texts of either label that hold each of ``names``; one row a feature and task."""
-    maybe = prefilter(names)
-
-    def run(batches):
-        seen = np.zeros((2, len(names)), np.int64)
-        for batch in batches:
-            label = batch.column(1).to_numpy(zero_copy_only=False)
-            for slab in K.slabs(batch.column(0)):
-                rows, columns, _, _ = sparse_rows(slab, names, maybe)
-                toxic = label[slab.first + rows] == 1
-                seen[1] += np.bincount(columns[toxic], minlength=len(names))
-                seen[0] += np.bincount(columns[~toxic], minlength=len(names))
-        some = np.flatnonzero(seen.sum(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(names[some].view(np.int64)), pa.array(seen[1][some]), pa.array(seen[0][some])], ["feature", "toxic", "clean"])
-
-    return K.bounded_batches(known.select("text", "label")).mapInArrow(run, "feature long, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-
-
-def vocabulary(known: DataFrame, size: int = VOCABULARY) -> np.ndarray:
-    """The features most surely tied to toxicity, sorted; a top list by design."""
-    totals = known.agg(F.count_if(F.col("label") == 1).alias("t"), F.count_if(F.col("label") == 0).alias("c")).first()
-    t_all, c_all = totals["t"], totals["c"]
-    names = supported(known) if t_all and c_all else np.empty(0, K.U)
-    if not len(names):
-        return names
-    t, c = F.col("toxic").cast("double"), F.col("clean").cast("double")
-    share = (t + c) / (t_all + c_all)
-    term = lambda seen, total: F.when(seen > 0, seen * F.log(seen / (F.lit(float(total)) * share))).otherwise(0.0)
-    g2 = 2 * (term(t, t_all) + term(c, c_all))
-    rows = document_frequencies(known, names).filter(t / t_all > 3 * c / c_all).withColumn("g2", g2)
-    best = rows.filter(F.col("g2") >= MIN_G2).orderBy(F.desc("g2"), "feature").limit(size).collect()
-    return np.sort(np.array([row["feature"] for row in best], np.int64).view(K.U))
-
-
-def look_up(slab: K.Slab, names: np.ndarray, maybe: np.ndarray):
-    """(text, feature index) of every occurrence, and for each text its words that hold any feature."""
-    kinds, first = feature_hashes(slab)
-    rows, columns = [], []
-    hit = np.zeros(len(kinds[0]), bool)
-    for kind in kinds:
-        at = np.flatnonzero(maybe[(kind >> K.U(64 - FILTER_BITS)).astype(np.int64)])
-        spot = np.searchsorted(names, kind[at])
-        spot[spot == len(names)] = 0
-        same = names[spot] == kind[at] if len(names) else np.zeros(0, bool)
-        at, spot = at[same], spot[same]
-        hit[at] = True
-        rows.append(np.searchsorted(first, at, "right") - 1)
-        columns.append(spot)
-    return np.concatenate(rows), np.concatenate(columns), K.per_text(hit.astype(np.int64), first)
-
-
-def prefilter(names: np.ndarray) -> np.ndarray:
-    out = np.zeros(1 << FILTER_BITS, bool)
-    out[(names >> K.U(64 - FILTER_BITS)).astype(np.int64)] = True
-    return out
-
-
-def sparse_rows(slab: K.Slab, names: np.ndarray, maybe: np.ndarray):
-    """Distinct (text, feature) with log counts, and hit words."""
-    rows, columns, words = look_up(slab, names, maybe)
-    width = max(1, len(names))
-    keys, counts = np.unique(rows * width + columns, return_counts=True)
-    return keys // width, keys % width, np.log1p(counts), words
-
-
-def grades(label: np.ndarray, words: np.ndarray, levels: int = GRADES) -> np.ndarray:
-    """0 for clean texts; toxic ones from 1 up, by thirds of their number of tell-tale words.
-
-    The labels say only toxic or not, so severity is read off the dose.
-    """
-    toxic = label == 1
-    if not toxic.any():
-        return np.zeros(len(label), np.int64)
-    cuts = np.quantile(words[toxic], np.arange(1, levels) / levels, method="lower")
-    return np.where(toxic, 1 + (words[:, None] > cuts[None, :]).sum(axis=1), 0)
+    hashes = [K.hash_spans(data, starts, ends)]
+    hashes += [K.mix(K.hash_spans(data, starts, np.minimum(ends, starts + n)) + K.U(n)) for n in BEGINNINGS]
+    owner = np.repeat(np.arange(slab.rows, dtype=np.int64), np.diff(first)) << FEATURE_BITS
+    keys, counts = np.unique(np.concatenate([owner + (h >> K.U(64 - FEATURE_BITS)).astype(np.int64) for h in hashes]), return_counts=True)
+    return keys >> FEATURE_BITS, keys & ((1 << FEATURE_BITS) - 1), np.log1p(counts)
 
 
 def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit(rows, columns, values, n_texts: int, n_features: int, grade: np.ndarray, levels: int = GRADES, steps: int = 1200, rate: float = 0.1):
-    """Shared weights and ascending thresholds by Adam on the penalised likelihood; fixed start, so reruns agree."""
-    w = np.zeros(n_features)
-    raw = np.concatenate(([1.0], np.zeros(levels - 1)))  # first threshold, then logs of the gaps
-    state = [np.zeros(n_features + levels), np.zeros(n_features + levels)]
-    over = grade[:, None] > np.arange(levels)[None, :]
-    for t in range(1, steps + 1):
-        theta = raw[0] + np.concatenate(([0.0], np.cumsum(np.exp(raw[1:]))))
-        eta = np.bincount(rows, weights=values * w[columns], minlength=n_texts)
-        # Sum of the binary likelihoods of all cumulative splits.
-        error = sigmoid(eta[:, None] - theta[None, :]) - over
-        g_eta = error.sum(axis=1)
-        g_theta = -error.sum(axis=0)
-        gaps = np.exp(raw[1:])
-        g_raw = np.concatenate(([g_theta.sum()], [gaps[k] * g_theta[k + 1 :].sum() for k in range(levels - 1)]))
-        g = np.concatenate((np.bincount(columns, weights=values * g_eta[rows], minlength=n_features) + L2 * w, g_raw)) / n_texts
-        state[0] = 0.9 * state[0] + 0.1 * g
-        state[1] = 0.999 * state[1] + 0.001 * g * g
-        step = rate * (state[0] / (1 - 0.9**t)) / (np.sqrt(state[1] / (1 - 0.999**t)) + 1e-8)
-        w, raw = w - step[:n_features], raw - step[n_features:]
-    return w, raw[0] + np.concatenate(([0.0], np.cumsum(np.exp(raw[1:]))))
-
-
-def train(docs: DataFrame, labels: DataFrame, label: str, most: int):
-    """(names, weights, thresholds), or None where the sample lacks toxic or clean texts or anything to tell them by."""
-    known = sample(docs, labels, label, most)
-    from millrace.workspace import materialise
-
-    known = materialise(known, "toxicity-sample")
-    names = vocabulary(known)
+def thresholds(raw: np.ndarray) -> np.ndarray:
+    """Ascending: the first, then sums of exponentials."""
+    return raw[0] + np.concatenate(([0.0], np.cumsum(np.exp(raw[1:]))))
+
+
+def ordinal(eta: np.ndarray, raw: np.ndarray, grade: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Negative log-likelihood of the grades, and its gradients by ``eta`` and ``raw``."""
+    theta = thresholds(raw)
+    over = np.ones((len(eta), len(theta) + 2))
+    over[:, 1:-1] = sigmoid(eta[:, None] - theta[None, :])
+    over[:, -1] = 0.0
+    slope = over * (1 - over)
+    at = np.arange(len(eta))
+    p = np.maximum(over[at, grade] - over[at, grade + 1], 1e-12)
+    high, low = slope[at, grade] / p, slope[at, grade + 1] / p
+    by_theta = np.array([high[grade == k + 1].sum() - low[grade == k].sum() for k in range(len(theta))])
+    gaps = np.exp(raw[1:])
+    by_raw = np.concatenate(([by_theta.sum()], [gaps[k] * by_theta[k + 1 :].sum() for k in range(len(gaps))]))
+    return -np.log(p).sum(), -(high - low), by_raw
+
+
+def minimise(f: Callable, x: np.ndarray, steps: int = STEPS, memory: int = 10) -> np.ndarray:
+    """Limited-memory BFGS with a backtracking line search; fixed start, so reruns agree."""
+    value, g = f(x)
+    pairs: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(steps):
+        d, alphas = -g, []
+        for s, y, rho in reversed(pairs):
+            alphas.append(rho * (s @ d))
+            d = d - alphas[-1] * y
+        if pairs:
+            s, y, rho = pairs[-1]
+            d = d / (rho * (y @ y))
+        for (s, y, rho), alpha in zip(pairs, reversed(alphas), strict=True):
+            d = d + (alpha - rho * (y @ d)) * s
+        slope = g @ d
+        if slope >= 0:
+            d, slope, pairs = -g, -(g @ g), []
+        t = 1.0 if pairs else min(1.0, 1.0 / max(np.abs(g).sum(), 1e-12))
+        for _ in range(40):
+            after, new = f(x + t * d)
+            if after <= value + 1e-4 * t * slope:
+                break
+            t /= 2
+        else:
+            break
+        s, y = t * d, new - g
+        if s @ y > 1e-12:
+            pairs = [*pairs[-(memory - 1) :], (s, y, 1 / (s @ y))]
+        moved = value - after
+        x, value, g = x + s, after, new
+        if moved <= 1e-6 * max(1.0, abs(value)):
+            break
+    return x
+
+
+def fit(starts: np.ndarray, columns: np.ndarray, values: np.ndarray, n_features: int, grade: np.ndarray, penalty: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
+    """Shared weights and ascending thresholds. Text i has the features ``starts[i]`` to ``starts[i + 1]``."""
+    levels = int(grade.max())
+    cuts = range(0, len(grade), FIT_TEXTS)
+
+    def objective(x):
+        w, raw = x[:n_features], x[n_features:]
+        value, g = 0.5 * float(penalty @ (w * w)), np.concatenate((penalty * w, np.zeros(levels)))
+        for k in cuts:
+            rows = starts[k : k + FIT_TEXTS + 1]
+            c, v = columns[rows[0] : rows[-1]], values[rows[0] : rows[-1]]
+            sizes = np.diff(rows)
+            eta = np.zeros(len(sizes))
+            if len(c):
+                eta[sizes > 0] = np.add.reduceat(v * w[c], (rows[:-1] - rows[0])[sizes > 0])
+            loss, by_eta, by_raw = ordinal(eta, raw, grade[k : k + FIT_TEXTS])
+            value += loss
+            g[:n_features] += np.bincount(c, weights=v * np.repeat(by_eta, sizes), minlength=n_features)
+            g[n_features:] += by_raw
+        return value, g
+
+    share = np.array([(grade > k).mean() for k in range(levels)])
+    start = -np.log(share / (1 - share))
+    raw = np.concatenate((start[:1], np.log(np.maximum(np.diff(start), 1e-3))))
+    x = minimise(objective, np.concatenate((np.zeros(n_features), raw)), steps)
+    return x[:n_features], thresholds(x[n_features:])
+
+
+def g2(seen: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """Log-likelihood ratio of each feature's texts by grade against the texts' own shares."""
+    expected = seen.sum(axis=1, keepdims=True) * (totals / totals.sum())[None, :]
+    return 2 * (seen * np.log(np.where(seen > 0, seen / np.maximum(expected, 1e-300), 1.0))).sum(axis=1)
+
+
+def learnt(starts: np.ndarray, columns: np.ndarray, values: np.ndarray, grade: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """A weight for each bucket, and thresholds; None where there are no two grades or no supported feature."""
+    present, grade = np.unique(grade, return_inverse=True)
+    if len(present) < 2 or present[0] != 0:
+        return None
+    owner = np.repeat(grade, np.diff(starts))
+    seen = np.stack([np.bincount(columns[owner == k], minlength=1 << FEATURE_BITS) for k in range(len(present))], axis=1)
+    names = np.flatnonzero(seen.sum(axis=1) >= MIN_SUPPORT)
     if not len(names):
         return None
-    maybe = prefilter(names)
-
-    def pack(texts) -> list[pa.Array]:
-        columns, values, words = [], [], []
-        for slab in K.slabs(texts):
-            r, c, v, n = sparse_rows(slab, names, maybe)
-            cuts = np.searchsorted(r, np.arange(slab.rows + 1))
-            columns += [c[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            values += [v[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            words += n.tolist()
-        return [pa.array(columns, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64())), pa.array(words, pa.int64())]
-
-    rows = K.map_texts(known, "c array<int>, v array<double>, words long", pack, carry=["doc_id", "label"]).toArrow().sort_by("doc_id")
-    sizes = np.array([len(x) for x in rows["c"].to_pylist()])
-    flat = lambda name: np.array([x for xs in rows[name].to_pylist() for x in xs])
-    grade = grades(rows["label"].to_numpy(), rows["words"].to_numpy())
-    w, theta = fit(np.repeat(np.arange(len(sizes)), sizes), flat("c").astype(np.int64), flat("v"), len(sizes), len(names), grade)
-    return names, w, theta
+    sure = g2(seen[names].astype(float), np.bincount(grade).astype(float))
+    del seen, owner
+    place = np.full(1 << FEATURE_BITS, -1, np.int32)
+    place[names] = np.arange(len(names), dtype=np.int32)
+    kept = place[columns] >= 0
+    upto = np.concatenate(([0], np.cumsum(kept)))
+    w, theta = fit(upto[starts], place[columns[kept]], values[kept], len(names), grade, PLAIN_G2 / np.maximum(sure, 1e-2))
+    out = np.zeros(1 << FEATURE_BITS, np.float32)
+    out[names] = w
+    return out, theta
+
+
+def packed(texts) -> list[pa.Array]:
+    columns, values, sizes = [], [], []
+    for slab in K.slabs(texts):
+        rows, c, v = buckets_of(slab)
+        sizes.append(np.bincount(rows, minlength=slab.rows))
+        columns.append(c.astype(np.int32))
+        values.append(v.astype(np.float32))
+    ends = pa.array(np.concatenate(([0], np.cumsum(np.concatenate(sizes)))) if sizes else np.zeros(1), pa.int32())
+    whole = lambda parts, kind: pa.array(np.concatenate(parts) if parts else np.empty(0), kind)
+    return [pa.ListArray.from_arrays(ends, whole(columns, pa.int32())), pa.ListArray.from_arrays(ends, whole(values, pa.float32()))]
+
+
+def graded(labels: DataFrame, label: str, worse: str | None) -> DataFrame:
+    """(doc_id, label) with the grade as label: 0 clean, 1 toxic, 2 toxic and bad by the column ``worse``."""
+    toxic = F.col(label).cast("int")
+    grade = toxic if worse is None else F.when(toxic > 0, 1 + F.coalesce((F.col(worse) == 0).cast("int"), F.lit(0))).otherwise(toxic)
+    return labels.select("doc_id", grade.alias("label"))
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str, worse: str | None, most: int):
+    """(weights by bucket, thresholds), or None where the sample can't tell grades apart."""
+    known = materialise(sample(docs, graded(labels, label, worse), "label", most), "toxicity-sample")
+    # Bounded by the sample; ids are distinct in it, and their order makes the fit's sums the same in every run.
+    rows = K.map_texts(known, "c array<int>, v array<float>", packed, carry=["doc_id", "label"]).toArrow().sort_by("doc_id")
+    discard(known)
+    if not len(rows):
+        return None
+    sizes = rows["c"].combine_chunks().value_lengths().to_numpy()
+    flat = lambda name: rows[name].combine_chunks().flatten().to_numpy()
+    return learnt(np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))), flat("c"), flat("v"), rows["label"].to_numpy().astype(np.int64))
 
 
 def severity_of(texts, model) -> list[pa.Array]:
     if model is None:
         zero = np.zeros(len(texts))
         return [pa.array(zero, pa.float64()), pa.array(zero.astype(np.int32), pa.int32()), pa.array(zero, pa.float64())]
-    names, w, theta = model
-    maybe = prefilter(names)
+    w, theta = model
     parts = []
     for slab in K.slabs(texts):
-        r, c, v, _ = sparse_rows(slab, names, maybe)
-        eta = np.bincount(r, weights=v * w[c], minlength=slab.rows)
+        rows, columns, values = buckets_of(slab)
+        # Rounded, since sums of the same values may differ by their order elsewhere.
+        eta = np.round(np.bincount(rows, weights=values * w[columns], minlength=slab.rows), 9)
         parts.append(sigmoid(eta[:, None] - theta[None, :]))
     over = np.concatenate(parts) if parts else np.empty((0, len(theta)))
     return [pa.array(over.sum(axis=1), pa.float64()), pa.array((over >= 0.5).sum(axis=1).astype(np.int32), pa.int32()), pa.array(over[:, 0], pa.float64())]
 
 
-def severity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MOST_LABELLED, carry=None) -> DataFrame:
-    """``docs`` with expected_severity (0 to 3), severity (grade), toxic_probability and toxic.
+def severity(docs: DataFrame, labels: DataFrame, label: str = "toxic", worse: str | None = "quality", most: int = MOST_LABELLED, carry=None) -> DataFrame:
+    """``docs`` with expected_severity, severity (grade, 0 to 2), toxic_probability and toxic.
 
-    Null and empty texts hold no feature and get the base rate, which is below a half. Without usable labels all is 0.
-    Columns of the new names are replaced.
+    Null and empty texts hold no feature and get the base rate, which is below a half where most texts are clean; very
+    long ones are read whole. Repeated rows and rows without doc_id are graded each by its text; of rows that share a
+    labelled id one text is trained on, and labels that contradict each other count as their least. Without usable labels
+    all is 0. An empty table gives an empty result. Columns of the new names are replaced; all others pass unchanged.
     """
-    model = train(docs, labels, label, most)
-    out = K.map_texts(docs, "expected_severity double, severity int, toxic_probability double", lambda texts: severity_of(texts, model), carry=carry)
-    return out.select(*[c for c in out.columns if c != "toxic"], (F.col("toxic_probability") >= 0.5).alias("toxic"))
+    model = train(docs, labels, label, worse, most)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = [c for c in (docs.columns if carry is None else carry) if c.lower() not in {"expected_severity", "severity", "toxic_probability", "toxic"}]
+    rows = docs.select(K.boxed(names), K.column("text").alias("text"))
+    out = K.map_texts(rows, NEW, lambda texts: severity_of(texts, shared.value), carry=["row"])
+    return out.select(*K.unboxed(names), "expected_severity", "severity", "toxic_probability", (F.col("toxic_probability") >= 0.5).alias("toxic"))

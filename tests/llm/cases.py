@@ -1,5 +1,6 @@
 """Small tables with the awkward rows, and plain-Python versions of the contracts."""
 
+import collections
 import hashlib
 import random
 import re
@@ -107,7 +108,8 @@ def counts(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     lines = [x for x in text.split("\n") if x.strip(WHITE)]
     grams = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
-    again = {i + k for i, g in enumerate(grams) if grams.count(g) > 1 for k in range(3)}
+    often = collections.Counter(grams)
+    again = {i + k for i, g in enumerate(grams) if often[g] > 1 for k in range(3)}
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(again)
 
 

@@ -1,3 +1,4 @@
+import hashlib
 import math
 import os
 import random
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import cases  # noqa: E402
 
-from millrace.llm import chat, classifier, decontaminate, kernel, labelled, linededup, mixing, neardup, pii, quality, sharding, toxicity  # noqa: E402
+from millrace.llm import chat, classifier, decontaminate, kernel, labelled, linededup, mixing, neardup, pii, quality, sharding, skew, toxicity  # noqa: E402
 from millrace.llm.components import connected_components  # noqa: E402
 
 DATA = cases.rows()
@@ -80,15 +81,56 @@ def test_arrow_batches_are_bounded_by_bytes(spark):
     df = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("x"), 10_000).alias("text"))
     try:
         spark.conf.set(kernel.BATCH_SETTING, "64m")
-        sizes = kernel.map_texts(df, "rows long", lambda texts: [pa.array([len(texts)] * len(texts), pa.int64())], carry=[])
+        sizes = kernel.map_texts(df, "rows long", lambda texts: [pa.array([len(texts)] * len(texts), pa.int64())])
+        assert spark.conf.get(kernel.BATCH_SETTING) == "64m"
+        kernel.tuned(spark)
         assert sizes.agg(F.max("rows")).first()[0] * 10_000 < 2 * kernel.BATCH_BYTES
         spark.conf.set(kernel.BATCH_SETTING, "1m")
-        kernel.bounded_batches(df)
+        kernel.tuned(spark)
         assert spark.conf.get(kernel.BATCH_SETTING) == "1m"
     finally:
         spark.conf.set(kernel.BATCH_SETTING, before)
 
 
+def morse(n):
+    """Two strings of two letters each, complements, that agree under every polynomial hash modulo a power of two."""
+    bits = [0]
+    while len(bits) < n:
+        bits += [1 - b for b in bits]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_span_hashes_depend_on_all_bytes_and_on_nothing_else():
+    rng = np.random.default_rng(3)
+    blob = rng.integers(0, 3, 5000).astype(np.uint8)
+    seen = {}
+    for size in (0, 1, 7, 8, 9, 63, 64, 65, 511, 512, 513, 1024, 1025, 4000):
+        found = set()
+        for before in range(9):
+            data = np.concatenate([rng.integers(0, 256, before).astype(np.uint8), blob[:size], rng.integers(0, 256, 5).astype(np.uint8)])
+            twice = np.concatenate([data, data])
+            starts = np.array([before, len(data) + before])
+            found |= set(kernel.hash_spans(twice, starts, starts + size).tolist())
+        assert len(found) == 1
+        seen[size] = found.pop()
+        for at in rng.integers(0, size, 5) if size else []:
+            other = blob[:size].copy()
+            other[at] ^= 1
+            assert int(kernel.hash_spans(other, np.array([0]), np.array([size]))[0]) != seen[size]
+    assert len(set(seen.values())) == len(seen)
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_texts_made_to_collide_stay_apart(spark, n):
+    t, u = morse(n)
+    data = [(i, t, *[None] * 6) for i in range(3)] + [(i, u, *[None] * 6) for i in (3, 4)]
+    docs = cases.frame(spark, data)
+    assert {r["n_dropped"] for r in linededup.dedup_lines(docs).collect()} == {0}
+    assert {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs, 3, 85).collect()} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3}
+    counted = quality.quality_rules(cases.frame(spark, [(0, f"{t}\n{u}\n{t[:-1]}", *[None] * 6)]), spark.createDataFrame([], "doc_id long, quality int"))
+    assert counted.first()["n_dup_lines"] == 0
+
+
 def test_matrix_sums():
     m = sharding.communication_matrix([5, 0, 17, 1], sharding.shard_sizes(23, 6), 3)
     assert m.sum(axis=1).tolist() == [5, 0, 17, 1] and m.sum(axis=0).tolist() == [4, 4, 4, 4, 4, 3]
@@ -105,7 +147,7 @@ def test_shard_repeats_nulls_and_empty(spark, docs, empty):
 # Lines ------------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("parts", [1, 5])
+@pytest.mark.parametrize("parts", [1, 5, 7])
 def test_lines_against_plain_python(docs, parts):
     batches = [docs.filter(F.col("doc_id") % parts == k) for k in range(parts)]
     out = linededup.dedup_lines(docs, batches).select("doc_id", "n_lines", "n_dropped", F.sha2("text_kept", 256)).collect()
@@ -113,13 +155,37 @@ def test_lines_against_plain_python(docs, parts):
     assert sum(r[2] for r in out) > 5
 
 
-def test_runs_compact_and_mark_new_keys(spark, docs):
-    store = linededup.LineRuns(spark, fanout=2)
-    for k in range(4):
-        store.add(docs.filter(F.col("doc_id") % 4 == k).select("doc_id", "text"))
-    assert [len(level) for level in store.levels] == [0, 0, 1]
-    store.add(docs.select("doc_id", "text"))
-    assert spark.read.parquet(store.levels[0][0]).filter("fresh").count() == 0
+@pytest.mark.parametrize("fanout", [2, 3, 9])
+def test_every_key_is_in_one_run(spark, fanout):
+    rng = random.Random(fanout)
+    batches = [[(rng.randrange(40), rng.randrange(2)) for _ in range(rng.randrange(60))] for _ in range(6)]
+    store = linededup.LineRuns(spark, buckets=4, fanout=fanout)
+    for rows in batches:
+        store.add(spark.createDataFrame(rows, "k1 long, k2 long"))
+    held = [tuple(r)[:2] for run in store.runs() for r in run.collect()]
+    want = Counter(key for rows in batches for key in rows)
+    assert len(held) == len(set(held)) and set(held) == set(want)
+    assert {tuple(r) for r in store.shared(5).collect()} == {key for key, n in want.items() if n >= 5}
+    plan = store.shared(5)._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan
+    assert all(len(level) < fanout for level in store.levels)
+    store.clear()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run")]
+
+
+def test_lines_where_keys_travel(docs):
+    """The road beyond the bound on sent keys gives the same."""
+    out = linededup.dedup_lines(docs, keys_sent=0).select("doc_id", "n_lines", "n_dropped", F.sha2("text_kept", 256)).collect()
+    assert {r[0]: tuple(r)[1:] for r in out} == cases.lines_dropped(DATA)
+
+
+def test_lines_count_documents_and_not_rows(spark):
+    line = "a line that is quite long enough to be a key of its own"
+    rows = [(1, line, *[None] * 6)] * 4 + [(2, line, *[None] * 6)] + [(None, line, *[None] * 6)] * 9
+    assert {r["n_dropped"] for r in linededup.dedup_lines(cases.frame(spark, rows)).collect()} == {0}
+    more = rows + [(k, line, *[None] * 6) for k in (3, 4, 5)]
+    out = linededup.dedup_lines(cases.frame(spark, more)).collect()
+    assert sorted((r["doc_id"] or 0, r["n_dropped"]) for r in out) == [(0, 0)] * 9 + [(1, 1)] * 4 + [(2, 1), (3, 1), (4, 1), (5, 0)]
 
 
 def test_lines_edges(spark, docs, empty):
@@ -207,7 +273,8 @@ def test_edited_copies_in_one_bucket(spark):
 def test_block_grid_is_whole(spark, block, shingles):
     sets = spark.createDataFrame([(i, list(range(i, i + 30)), 30) for i in range(40)], "node long, shingles array<long>, n_set int")
     rows = spark.createDataFrame([(7, i, i, True, 40) for i in range(40)], "bucket long, node long, component long, outside boolean, size long")
-    links = neardup.block_links(rows, sets, 85, block=block, shingles=shingles)
+    rows = rows.withColumn("part", skew.part(skew.parts(F.col("size"), 9), "node"))
+    links = neardup.block_links(rows, sets, 85, 9, block=block, shingles=shingles)
     assert connected_components(links).select("component").distinct().count() == 1
 
 
@@ -220,6 +287,44 @@ def test_near_duplicate_edges(spark, docs, empty):
     assert set(carried.columns) == {*docs.columns, "n_shingles", "component_id"} and carried.count() == len(DATA)
 
 
+def test_large_buckets_are_split(spark, monkeypatch):
+    """Parts of three rows: all joins by bucket and by centre meet split keys, and nothing changes."""
+    monkeypatch.setattr(neardup, "most_rows", lambda total: 3)
+    monkeypatch.setattr(skew, "LEAST_HOT", 3)
+    monkeypatch.setattr(skew, "most_rows", lambda total, least=3: 3)
+    data = cases.rows(2, 90)
+    out = neardup.near_duplicates(cases.frame(spark, data).repartition(4), 3, 85).collect()
+    assert {r["doc_id"]: tuple(r)[1:] for r in out} == cases.components(data, 3, 85)
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_split_joins(spark, how):
+    rng = random.Random(6)
+    rows = [(rng.choice([0, 0, 0, 1, 2, None]), i) for i in range(500)]
+    small = [(0, "a"), (2, "c"), (9, "z")]
+    a, b = spark.createDataFrame(rows, "k int, v int"), spark.createDataFrame(small, "k int, w string")
+    got = Counter(map(tuple, skew.spread_join(a, b, ["k"], ["v"], 500, least=20, how=how).select("k", "v", "w").collect()))
+    assert got == Counter(map(tuple, a.join(b, ["k"], how).select("k", "v", "w").collect()))
+
+
+@pytest.mark.parametrize(("union", "percent"), [(20, 85), (40, 85), (100, 85), (400, 85), (2000, 85), (20, 80), (300, 80)])
+def test_recall_of_bands_at_the_threshold(union, percent):
+    """Pairs of random sets of just the similarity that links: short sets lean on densification most."""
+    rng = np.random.default_rng(union + percent)
+    bins = neardup.BANDS * neardup.rows_per_band(percent)
+    ranks = neardup.donor_ranks(bins)
+    shared = -(-percent * union // 100)
+    missed = 0
+    for _ in range(400):
+        values = np.unique(kernel.mix(rng.integers(0, 1 << 62, union).astype(np.uint64)))
+        own = (len(values) - shared) // 2
+        sets = (values[rng.permutation(len(values))], )
+        a, b = np.sort(sets[0][: shared + own]), np.sort(np.concatenate([sets[0][:shared], sets[0][shared + own :]]))
+        bands = [neardup.band_hashes(neardup.signature(x, bins, ranks), neardup.BANDS) for x in (a, b)]
+        missed += not np.intersect1d(*bands).size
+    assert missed == 0
+
+
 def test_band_rows_hold_the_miss_bound():
     assert all((1 - (p / 100) ** neardup.rows_per_band(p)) ** 32 <= 1e-6 for p in (80, 85, 90))
 
@@ -269,31 +374,88 @@ def water_fill(sizes, weights, most=3):
     return target
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_targets_and_copies(spark, seed):
+def plain_mix(data, most=3, group_rows=mixing.GROUP_ROWS):
+    """Copies of (id, source, size) rows with distinct ids: lambda by bisection, then two passes over each group."""
+    sizes, docs = Counter(), defaultdict(list)
+    for d, s, n in data:
+        sizes[s] += n or 0
+        docs[s].append((d, n or 0))
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    target = water_fill({s: sizes[s] for s in sizes}, {s: i % 3 + 1 for i, s in enumerate(order)}, most) if sum(sizes.values()) else {s: 0 for s in sizes}
+    copies = {}
+    for s, rows in docs.items():
+        if sizes[s] == 0:
+            copies |= {d: 0 for d, _ in rows}
+            continue
+        if target[s] >= most * sizes[s]:
+            rate = lambda n: float(most)
+        else:
+            low, high = -60.0, 2.0
+            for _ in range(200):
+                mid = (low + high) / 2
+                low, high = (mid, high) if sum(n * min(most, math.exp(mid * n)) for _, n in rows) < target[s] else (low, mid)
+            rate = lambda n, t=(low + high) / 2: min(most, math.exp(t * n))
+        groups = defaultdict(list)
+        for d, n in rows:
+            groups[int(hashlib.md5(f"{'' if d is None else d}:{n}".encode()).hexdigest()[:8], 16) % -(-len(rows) // group_rows)].append((d, n))
+        for group in groups.values():
+            group.sort(key=lambda x: (-x[1], x[0] is None, x[0]))
+            owed, taken = 0, []
+            for _, n in group:
+                units = math.floor(rate(n) * mixing.UNIT + 0.5)
+                whole, more = divmod(units, mixing.UNIT)
+                c = whole + (more > 0 and 2 * (owed + more * n) >= mixing.UNIT * n)
+                owed += units * n - c * mixing.UNIT * n
+                taken.append(c)
+            for i, (_, n) in enumerate(group):
+                fit = int(math.copysign(abs(owed) // (mixing.UNIT * n), owed)) if n else 0
+                change = max(-taken[i], min(most - taken[i], fit))
+                owed -= change * mixing.UNIT * n
+                taken[i] += change
+            copies |= {d: c for (d, _), c in zip(group, taken, strict=True)}
+    return target, copies
+
+
+@pytest.mark.parametrize(("seed", "group_rows"), [(1, 1024), (2, 50), (3, 7)])
+def test_mix_against_plain_python(spark, seed, group_rows):
     rng = random.Random(seed)
-    data = [(i, rng.choice("abcdefg") if rng.random() < 0.9 else None, rng.choice([0, 1, 5, 40, 900])) for i in range(400)] + [(900 + i, "big", 50) for i in range(800)]
+    data = [(i, rng.choice("abcdefg") if rng.random() < 0.9 else None, rng.choice([0, 1, 5, 40, 90, 900, None])) for i in range(400)] + [(900 + i, "big", 1 + i % 77) for i in range(800)] + [(3000, "void", 0)]
     df = spark.createDataFrame(data, "doc_id long, source string, size long")
-    out = mixing.with_copies(df).collect()
-    assert len(out) == len(data)
-    sizes = Counter()
-    for _, s, n in data:
-        sizes[s] += n
-    order = sorted(sizes, key=lambda s: (s is None, s or ""))
-    want = water_fill(sizes, {s: i % 3 + 1 for i, s in enumerate(order)})
-    taken = Counter()
+    out = mixing.with_copies(df, group_rows=group_rows).collect()
+    target, copies = plain_mix(data, group_rows=group_rows)
+    assert {r["doc_id"]: r["copies"] for r in out} == copies and len(out) == len(data)
+    taken, sizes = Counter(), defaultdict(list)
     for r in out:
-        assert abs(r["target"] - want[r["source"]]) < 1e-6 * max(1, want[r["source"]])
-        assert 0 <= r["taken"] <= 3 * r["size"] and r["source_size"] == sizes[r["source"]]
+        assert abs(r["target"] - target[r["source"]]) < 1e-6 * max(1, target[r["source"]])
+        assert r["taken"] == r["copies"] * (r["size"] or 0) and 0 <= r["copies"] <= 3
         taken[r["source"]] += r["taken"]
-    assert all(abs(taken[s] - want[s]) <= max(0.02 * want[s], 900) for s in sizes)
-    again = mixing.with_copies(df.repartition(7)).collect()
+        sizes[r["source"]].append(r["size"] or 0)
+    # Groups of seven rows leave more behind than ones of the size in use.
+    assert group_rows < 50 or all(abs(taken[s] - target[s]) <= max(0.01 * target[s], np.median(sizes[s])) for s in sizes)
+    again = mixing.with_copies(df.repartition(7), group_rows=group_rows).collect()
     assert sorted((r["doc_id"], r["taken"]) for r in out) == sorted((r["doc_id"], r["taken"]) for r in again)
 
 
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_mix_meets_its_targets(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet")
+    out = mixing.with_copies(docs.select("doc_id", "source", mixing.token_size(F.col("text")).alias("size")))
+    for r in out.groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("w"), F.percentile("size", 0.5).alias("m")).collect():
+        assert abs(r["t"] - r["w"]) <= max(0.01 * r["w"], r["m"])
+
+
+def test_mix_of_one_id_repeated(spark):
+    """Rows of one null id fall into one hash group, which is dealt again."""
+    df = spark.range(0, 5000, 1, 4).select(F.lit(None).cast("long").alias("doc_id"), F.when(F.col("id") < 4000, "a").otherwise("b").alias("source"), F.lit(7).cast("long").alias("size"))
+    out = mixing.with_copies(df, group_rows=100).groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("w"), F.count("*").alias("n")).collect()
+    assert sorted(r["n"] for r in out) == [1000, 4000] and all(abs(r["t"] - r["w"]) <= 50 * 7 for r in out)
+
+
 def test_mixed_repeats_rows_unchanged(docs, empty):
     out = mixing.mixed(docs)
     assert out.columns == docs.columns and max(Counter(r["doc_id"] for r in out.collect()).values()) <= 3
+    want = plain_mix([(d, s, len((t or "").split())) for d, t, _, s, *_ in [(r[0], (r[1] or "").replace("\x0b", " "), r[2], r[3]) for r in DATA]])[1]
+    assert Counter(r["doc_id"] for r in out.collect()) == Counter({d: c for d, c in want.items() if c})
     assert mixing.mixed(empty).count() == 0
     assert mixing.mixed(docs.withColumn("text", F.lit(None).cast("string"))).count() == 0
 
@@ -304,8 +466,7 @@ def test_mixed_repeats_rows_unchanged(docs, empty):
 def test_base_counts_against_plain_python(docs, labels):
     out = quality.quality_rules(docs, labels, carry=["doc_id"]).collect()
     for r in out:
-        want = cases.counts(DATA[r["doc_id"]][1]) if r["doc_id"] != 9 else None
-        assert want is None or tuple(r[c] for c in quality.COUNTS) == want, r["doc_id"]
+        assert tuple(r[c] for c in quality.COUNTS) == cases.counts(DATA[r["doc_id"]][1]), r["doc_id"]
         assert r["base_failed"] == (r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"])
         assert not (r["base_failed"] and r["kept"])
 
@@ -436,32 +597,12 @@ def test_seeds_are_whole_entities(spark):
     rows = [(i, f"please dial +1 (017) 555-77{i}3, and then wait") for i in range(10, 30)]
     rows += [(100 + i, f"pay with plastic tok:{c}, here {i}") for i, c in enumerate(cards * 3)]
     rows += [(200, "please dial QX-99812-B and see"), (201, "no plastic QX-99812-C but more"), (202, "what tok:QX99812D is"), (203, "see 555 QX-99812-E more")]
-    marked = spark.createDataFrame(rows, "doc_id long, text string").withColumn("th", F.xxhash64("text"))
-    marked = marked.withColumn("base", F.concat(*pii.base_spans(F.col("text")).values()))
-    got = {(r["doc_id"], r["value"]): (r["left"], r["right"], r["key"], r["seed"]) for r in pii.instances(marked).collect()}
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    found = texts.select("doc_id", F.explode(pii.instances(F.col("text"), F.concat(*pii.base_spans(F.col("text")).values()))).alias("e")).select("doc_id", "e.*")
+    got = {(r["doc_id"], r["value"]): (r["left"], r["right"], r["key"], r["seed"]) for r in found.collect()}
     assert got[10, "+1 (017) 555-77103"] == ("dial", "and", None, True)
     assert got[100, cards[0]] == ("plastic", "here", "tok:", True)
     assert not [k for k in got if k[1].startswith("555")]
     found = {r["doc_id"]: [(s["start"], s["end"]) for s in r["found"]] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found[200] == [(12, 22)] and found[201] == [(11, 21)] and found[202] == [(5, 17)] and found[203] == []
     assert not any(found[i] for i, _ in rows[:-4])
-
-
-def test_pipeline_stages_each_do_their_work(spark, tmp_path):
-    import corpus_pipeline
-
-    docs, labels = labelled_corpus(spark)
-    copies = docs.filter("doc_id % 4 <> 0").withColumn("doc_id", F.col("doc_id") + 1000)
-    leak = docs.filter("doc_id = 1").first()["text"]
-    for name, df in (("documents", docs.union(copies)), ("labels", labels), ("benchmark", spark.createDataFrame([(1, leak)], "item_id long, text string"))):
-        df.write.parquet(f"{tmp_path}/{name}.parquet")
-    at, seen = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
-    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        at = stage(spark, at, str(tmp_path))
-        assert k == 4 or at.columns == docs.columns
-        seen.append(Counter(r["doc_id"] for r in at.collect()))
-    good = {i for i in range(400) if i % 4}
-    assert set(seen[0]) == good | {i + 1000 for i in good}
-    assert set(seen[1]) == good and set(seen[2]) == good - {1}
-    assert set(seen[3]) <= good - {1} and max(seen[3].values()) <= 3
-    assert seen[4] == seen[3]
