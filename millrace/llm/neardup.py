@@ -27,7 +27,7 @@ MISS = 1e-6
 #: Rows of each side of a block that one task compares in memory.
 BLOCK = 1024
 #: Shingles (8 bytes each) of one side of a block, about; long texts make smaller blocks.
-BLOCK_SHINGLES = 2_000_000
+BLOCK_SHINGLES = 1_000_000
 #: Candidate ids (8 bytes each) up to which they are sent to the tasks that hold the texts; with more, texts travel to the ids.
 IDS_SENT = 2_000_000
 EMPTY = np.iinfo(K.U).max
@@ -108,8 +108,8 @@ def linked(a, b, percent: int):
 def confirm(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The edges (centre, member) whose full sets are similar enough. A centre of many edges is split, its set copied."""
     with_member = edges.join(sets.select(F.col("node").alias("member"), F.col("shingles").alias("_m")), "member")
-    centres = sets.select(F.col("node").alias("centre"), F.col("shingles").alias("_c"))
     degree = edges.groupBy("centre").agg(F.count("*").alias("n"))
+    centres = degree.select("centre").join(sets.select(F.col("node").alias("centre"), F.col("shingles").alias("_c")), "centre")
     both = spread_join(with_member, centres, ["centre"], ["member"], edges.count(), degree)
     return both.filter(linked(F.col("_c"), F.col("_m"), percent)).select(F.col("centre").alias("a"), F.col("member").alias("b"))
 
