@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions.text import tokens
+
 # The technology lexicon. One term a line, aliases after the colon;
 # * marks a term whose bare name is too ambiguous to match in prose.
 DEFAULT_TERMS = """
@@ -160,7 +162,7 @@ class Lexicon:
 
     @classmethod
     def from_yaml(cls, path: str, extra: dict[str, tuple[str, ...]] | None = None) -> Lexicon:
-        """A list of ``{canonical, aliases, requires_context}``; needs the optional yaml package."""
+        """A list of ``{canonical, aliases, requires_context}``; needs the optional yaml package. The driver reads the file."""
         import yaml
 
         with open(path, encoding="utf-8") as handle:
@@ -200,12 +202,9 @@ def surface_pattern(surface: str, strict_boundaries: bool = True) -> str:
     return head + re.escape(surface) + tail
 
 
-def term_found(text: Column, lowered: Column, term: Term, strict_boundaries: bool = True) -> Column:
-    """The regex runs only where the lower-cased text holds the lower-cased form at all."""
-    found = F.lit(False)
-    for surface in term.surfaces:
-        found = found | (F.contains(lowered, F.lit(surface.lower())) & text.rlike("(?iU)" + surface_pattern(surface, strict_boundaries)))
-    return found
+def is_word(surface: str) -> bool:
+    """A form of letters, digits and underscores only, which between boundaries is a token of the text."""
+    return re.fullmatch(r"\w+", surface) is not None
 
 
 def match_terms(text: Column, lexicon: Lexicon, strict_boundaries: bool = True) -> Column:
@@ -213,12 +212,26 @@ def match_terms(text: Column, lexicon: Lexicon, strict_boundaries: bool = True)
 
     Terms may overlap: each is looked for on its own, none consumes text.
     """
-    safe = F.coalesce(text, F.lit(""))
-    lowered = F.lower(safe)
-    hits = [F.when(term_found(safe, lowered, term, strict_boundaries), F.lit(term.canonical)) for term in lexicon.terms]
-    if not hits:
+    if not lexicon.terms:
         return F.array().cast("array<string>")
-    return F.array_sort(F.array_compact(F.array(*hits)))
+    safe = F.coalesce(text, F.lit(""))
+    words: dict[str, list[str]] = {}
+    hits: list[Column] = []
+    for term in lexicon.terms:
+        for surface in term.surfaces:
+            if is_word(surface):
+                words.setdefault(surface.lower(), []).append(term.canonical)
+            else:
+                # The regex runs only where the lower-cased text holds the lower-cased form at all.
+                held = F.contains(F.lower(safe), F.lit(surface.lower())) & safe.rlike("(?iU)" + surface_pattern(surface, strict_boundaries))
+                hits.append(F.when(held, F.lit(term.canonical)))
+    found = F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
+    if words:
+        # Words are looked up in one pass over the tokens, whatever their number.
+        table = F.create_map(*[x for w, names in words.items() for x in (F.lit(w), F.array(*[F.lit(n) for n in names]))])
+        seen = F.array_intersect(tokens(safe), F.array(*[F.lit(w) for w in words]))
+        found = F.concat(found, F.flatten(F.transform(seen, lambda w: table[w])))
+    return F.array_sort(F.array_distinct(found))
 
 
 def with_terms(df: DataFrame, text: str, lexicon: Lexicon, out: str = "skills_gazetteer", count: str = "n_skills", strict_boundaries: bool = True) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The words whose presence marks a text as English.
@@ -21,30 +21,32 @@ PLAIN = "''\"\"--"
 
 
 def bound(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` evaluated once, however often ``use`` names it and wherever Catalyst moves it."""
+    """``use(value)`` with ``value`` evaluated once, however often ``use`` names it and wherever Catalyst moves it.
+
+    It leaves generated code, so it is for expressions that do so anyway or are small; ``with_once`` stays in it.
+    """
     return F.transform(F.array(value), use)[0]
 
 
+def with_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with new columns that are evaluated once: no filter or projection above is moved below them."""
+    keep = [F.col(f"`{c}`") for c in df.columns if c not in columns]
+    return df.select(*keep, F.inline(F.array(F.struct(*[value.alias(name) for name, value in columns.items()]))))
+
+
 def clean_html(text: Column) -> Column:
     """Tags become one space, then whitespace runs become one space; ends trimmed. Entities stay as they are."""
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"<[^>]+>", " "), r"\s+", " "))
 
 
-def word_presence(text: Column, word: str) -> Column:
-    """Whether ``word`` stands in ``text`` between word boundaries; the substring test spares most regex runs."""
-    return F.contains(text, F.lit(word)) & text.rlike(rf"\b{word}\b")
+def tokens(text: Column) -> Column:
+    """Lower-cased runs of letters, digits and underscores: what stands between word boundaries. One pass over the text."""
+    return F.split(F.lower(text), r"[^\p{L}\p{N}_]+")
 
 
 def stopword_hits(text: Column, words=STOPWORDS) -> Column:
     """How many of ``words`` occur in the lower-cased text. Null text gives 0."""
-
-    def count(lowered: Column) -> Column:
-        total = F.lit(0)
-        for word in words:
-            total = total + F.when(word_presence(lowered, word), 1).otherwise(0)
-        return total
-
-    return bound(F.lower(text), count)
+    return F.coalesce(F.size(F.array_intersect(tokens(F.coalesce(text, F.lit(""))), F.array(*[F.lit(w) for w in words]))), F.lit(0))
 
 
 def is_present(text: Column) -> Column:
@@ -73,16 +75,18 @@ def normalise(text: Column) -> Column:
 
 
 def without_spaces(text: Column) -> Column:
-    return F.translate(normalise(text), " \t\n\r", "")
+    """``normalise`` and every space gone, in one pass."""
+    return F.regexp_replace(F.lower(fold_typography(text)), r"(?U)\s+", "")
 
 
-def is_grounded(evidence: Column, source: Column) -> Column:
+def is_grounded(evidence: Column, source: Column, folded: Column | None = None) -> Column:
     """Whether ``evidence`` stands in ``source``, whitespace and typography aside.
 
-    Null or empty on either side is false; evidence of spaces only is true, as it holds no character to miss.
+    Null or empty on either side is false; evidence of spaces only is true, as it holds no character to miss. ``folded``
+    is ``without_spaces(source)`` where a caller has it already.
     """
     usable = F.coalesce((F.length(evidence) > 0) & (F.length(source) > 0), F.lit(False))
-    return F.when(usable, F.contains(without_spaces(source), without_spaces(evidence))).otherwise(False)
+    return F.when(usable, F.contains(without_spaces(source) if folded is None else folded, without_spaces(evidence))).otherwise(False)
 
 
 def strip_fences(text: Column) -> Column:

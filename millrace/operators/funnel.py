@@ -10,13 +10,9 @@ from millrace.functions import text as X
 
 def flagged(df: DataFrame, text: str = "description") -> DataFrame:
     """Adds description_clean, stopword_hits, clean_len and the three flags has_desc, is_english, long_enough."""
-    df = df.withColumn("description_clean", X.clean_html(F.col(text)))
-    return df.select(
-        "*",
-        X.stopword_hits(F.col("description_clean")).alias("stopword_hits"),
-        F.length("description_clean").alias("clean_len"),
-        X.is_present(F.col(text)).alias("has_desc"),
-    ).select(
+    df = X.with_once(df, description_clean=X.clean_html(F.col(text)))
+    counted = X.with_once(df, stopword_hits=X.stopword_hits(F.col("description_clean")), clean_len=F.length("description_clean"), has_desc=X.is_present(F.col(text)))
+    return counted.select(
         "*",
         (F.col("stopword_hits") >= X.MIN_STOPWORDS).alias("is_english"),
         F.coalesce(F.col("clean_len") >= X.MIN_CHARS, F.lit(False)).alias("long_enough"),
@@ -26,10 +22,10 @@ def flagged(df: DataFrame, text: str = "description") -> DataFrame:
 def silver(df: DataFrame, text: str = "description", dedupe_on: str | None = None) -> DataFrame:
     """Records that pass all three flags, ``description_clean`` in place of the text. ``dedupe_on`` keeps one row a key."""
     keep = [("description_clean" if c == text else c) for c in df.columns]
-    # The filter is pushed below the projection; in one bound expression it cleans each text once.
-    fits = lambda c: F.coalesce((X.stopword_hits(c) >= X.MIN_STOPWORDS) & (F.length(c) >= X.MIN_CHARS), F.lit(False))
-    kept = df.filter(X.is_present(F.col(text)) & X.bound(X.clean_html(F.col(text)), fits))
-    passed = kept.withColumn("description_clean", X.clean_html(F.col(text))).select(*keep)
+    # Cleaned once: the filter stays above the column it tests.
+    cleaned = X.with_once(df.filter(X.is_present(F.col(text))), description_clean=X.clean_html(F.col(text)))
+    clean = F.col("description_clean")
+    passed = cleaned.filter((F.length(clean) >= X.MIN_CHARS) & (X.stopword_hits(clean) >= X.MIN_STOPWORDS)).select(*keep)
     return passed.dropDuplicates([dedupe_on]) if dedupe_on else passed
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.functions.text import is_blank, phrase_mask, word_count
 from millrace.schemas import ATTRIBUTIONS
@@ -20,8 +21,9 @@ def frequency(df: DataFrame, by: str, keep_null: bool = False, out: str = "n") -
 
 
 def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
-    """Rows beyond the first of each key; null is a key of its own."""
-    groups = df.groupBy(key).agg(F.count("*").alias("_n"))
+    """Rows beyond the first of each key; null is a key of its own. Texts are grouped by 128 bits of hash."""
+    value = F.md5(F.col(key).cast("binary")) if isinstance(df.schema[key].dataType, T.StringType) else F.col(key)
+    groups = df.groupBy(value.alias("_key")).agg(F.count("*").alias("_n"))
     return groups.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n_rows"), F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("n_duplicates"))
 
 
