@@ -126,11 +126,6 @@ def composite_text(title: Column, skills: Column) -> Column:
     return F.when(F.coalesce(title, F.lit("")) == "", listed).otherwise(F.concat(title, F.lit(". "), listed))
 
 
-def percent(part: Column, whole: Column) -> Column:
-    """``12.3%``, or ``n/a`` where the whole is 0."""
-    return F.when(whole == 0, F.lit("n/a")).otherwise(F.format_string("%.1f%%", F.lit(100.0) * part / whole))
-
-
 def safe_ratio(part: Column, whole: Column) -> Column:
     return F.when(whole == 0, F.lit(0.0)).otherwise(part / whole)
 

@@ -92,20 +92,41 @@ def grounded_mentions(skills: Column, source: Column) -> Column:
     return F.transform(skills, lambda m: F.struct(m["skill"].alias("skill"), m["attribution"].alias("attribution"), m["evidence"].alias("evidence"), X.is_grounded(m["evidence"], source).alias("grounded")))
 
 
-def answer_ok(text: str) -> bool:
-    """The provider loop's own test whether a second attempt is worth it; ``validated`` decides."""
-    body = re.sub(r"^```[^\n]*\n|```\s*$", "", text.strip())
+def fault(text: str | None) -> str | None:
+    """``validated`` in plain Python, for the provider's loop: why an answer is no good, or None."""
+    body = (text or "").strip()
+    if body.startswith("```"):
+        body = body.partition("\n")[2] if "\n" in body else body[3:]
     try:
-        data = json.loads(body)
+        data = json.loads(body.removesuffix("```"))
     except ValueError:
-        return False
-    return isinstance(data, dict) and isinstance(data.get("skills"), list) and data.get("seniority") in SENIORITIES
+        return "not a JSON object"
+    if not isinstance(data, dict):
+        return "not a JSON object"
+    items, years = data.get("skills"), data.get("years_experience_min")
+    if set(data) - set(EXTRACTION_KEYS):
+        return "unknown key"
+    if not isinstance(items, list) or not all(isinstance(m, dict) for m in items):
+        return "skills is not a list of objects"
+    fits = lambda v, most: isinstance(v, str) and 1 <= len(v) <= most
+    if not all(not set(m) - set(MENTION_KEYS) and fits(m.get("skill"), SKILL_CHARS) and m.get("attribution") in ATTRIBUTIONS and fits(m.get("evidence"), EVIDENCE_CHARS) for m in items):
+        return "invalid mention"
+    if data.get("seniority") not in SENIORITIES:
+        return "invalid seniority"
+    if years is None:
+        return None
+    whole = re.fullmatch(r"(-?[0-9]{1,9})(\.0+)?", str(years))
+    if whole is None:
+        return "years is not a whole number"
+    return None if 0 <= int(whole[1]) <= MAX_YEARS else "years out of range"
 
 
 def call_model(df: DataFrame, provider: Provider, workers: int = WORKERS, attempts: int = 2, pause_s: float = PAUSE_S, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """Adds raw, attempt, error, input_tokens and output_tokens to rows with a ``prompt``.
 
-    The calls wait on a network, so each task keeps ``workers`` in flight. A failure is a value, never an exception.
+    The calls wait on a network, so each task keeps ``workers`` in flight. A call that fails, or whose answer breaks any
+    rule, is made again; a failure in the end is a value, never an exception. Calls are made whenever the result is
+    evaluated, so write it before more than one reader takes it.
     """
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema.fields)}, raw string, attempt int, error string, input_tokens long, output_tokens long"
 
@@ -114,7 +135,7 @@ def call_model(df: DataFrame, provider: Provider, workers: int = WORKERS, attemp
         for attempt in range(1, attempts + 1):
             try:
                 answer, usage = provider(prompt, max_tokens)
-                if answer_ok(answer) or attempt == attempts:
+                if fault(answer) is None or attempt == attempts:
                     return answer, attempt, None, usage.get("input_tokens", 0), usage.get("output_tokens", 0)
             except Exception as failure:
                 error = f"{type(failure).__name__}: {failure}"[:MAX_ERROR]
@@ -153,12 +174,55 @@ def enrich(df: DataFrame, provider: Provider, **how) -> DataFrame:
     ).to(ENRICHED)
 
 
+def progress(records: DataFrame | None, total: int, seconds: float) -> dict:
+    """How far a run is, from the records written so far: done, ok, failed, a rate a second and seconds to go."""
+    counts = {} if records is None else {r["status"]: r["n"] for r in records.groupBy("status").agg(F.count("*").alias("n")).collect()}
+    done = sum(counts.values())
+    rate = done / seconds if seconds > 0 else 0.0
+    return {"done": done, "total": total, "ok": counts.get("ok", 0), "failed": counts.get("failed", 0), "rate": round(rate, 1), "seconds_left": round((total - done) / rate) if rate else None}
+
+
+def advice_prompt(title: str, missing: list[str]) -> str:
+    """What to ask a model on how to close a computed gap."""
+    gap = ", ".join(missing) or "none"
+    return f"Someone wants the job '{title}' and lacks these skills that it demands: {gap}. Say in three short bullet points how to get them."
+
+
+def advise(matches: DataFrame, provider: Provider, max_tokens: int = 1024) -> str:
+    """The model's advice for the best match of ``operators.matching.match``: generated text, apart from what is computed."""
+    best = matches.orderBy(F.desc("score"), "job_id").select("title", "missing").first()
+    if best is None:
+        raise ValueError("no match to advise on")
+    return provider(advice_prompt(best["title"] or "", list(best["missing"] or [])), max_tokens)[0]
+
+
 def parse_profile(answers: DataFrame, column: str = "raw") -> DataFrame:
     """role and skills out of a model's answer to ``PROFILE_PROMPT``; prose around the object is ignored."""
     parsed = F.from_json(X.json_slice(F.col(column)), "role string, skills array<string>")
     return answers.select(F.coalesce(parsed["role"], F.lit("")).alias("role"), F.coalesce(parsed["skills"], F.array().cast("array<string>")).alias("skills"))
 
 
+class LazyProvider:
+    """A provider whose client is made at the first call in each process, so a missing setting is an error of that call.
+
+    ``connect(settings)`` returns the provider; ``settings`` with null or empty values are named in the error.
+    """
+
+    def __init__(self, connect: Callable[[dict], Provider], settings: dict[str, str | None]) -> None:
+        self.connect, self.settings, self._client = connect, dict(settings), None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_client": None}
+
+    def __call__(self, prompt: str, max_tokens: int) -> tuple[str, dict]:
+        if self._client is None:
+            unset = [name for name, value in self.settings.items() if not value]
+            if unset:
+                raise RuntimeError(f"not set: {', '.join(unset)}")
+            self._client = self.connect(self.settings)
+        return self._client(prompt, max_tokens)
+
+
 class RuleProvider:
     """Answers by rules instead of a model: a stand-in for runs without a network, not a quality claim."""
 

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from millrace.functions import arrays, vectors
 from millrace.functions.text import composite_text
@@ -56,6 +62,68 @@ def knn(corpus: DataFrame, query, k: int, key: str = "job_id", vector: str = "em
     return scored.filter(F.col("cosine").isNotNull()).orderBy(F.desc("cosine"), F.asc(key)).limit(k)
 
 
+#: Query vectors that are scored against a batch at once, and the most that are sent to all tasks at once.
+QUERY_BLOCK = 512
+QUERIES_SENT = 4096
+
+
+def knn_many(corpus: DataFrame, queries: DataFrame, k: int, key: str = "job_id", query_key: str = "query_id", vector: str = "embedding") -> DataFrame:
+    """(query, key, cosine, rank) of the ``k`` rows nearest to each row of ``queries`` (query, vector), exact; ties by key.
+
+    Queries are sent in blocks of QUERIES_SENT; every task scores its rows against a block and keeps its best k of each
+    query, so k rows a query and task travel. Vectors of null, of length 0 or of another size meet nothing.
+    """
+    spark, kind = corpus.sparkSession, corpus.schema[key].dataType
+    dealt = queries.select(F.col(query_key), F.col(vector).cast("array<double>").alias("v")).filter(F.col("v").isNotNull())
+    n = -(-dealt.count() // QUERIES_SENT) or 1
+    dealt = dealt.withColumn("b", F.pmod(F.xxhash64(query_key), F.lit(n)))
+    rows = corpus.select(F.col(key), F.col(vector).cast("array<double>").alias("v")).filter(F.col("v").isNotNull())
+    schema = T.StructType([T.StructField("q", T.LongType()), T.StructField(key, kind), T.StructField("cosine", T.DoubleType())])
+    found = []
+    for b in range(n):
+        block = dealt.filter(F.col("b") == b).drop("b").collect()
+        shared = spark.sparkContext.broadcast(([np.array(r["v"]) for r in block],))
+        part = rows.mapInPandas(nearest_of(shared, key, k), schema)
+        names = spark.createDataFrame([(i, r[query_key]) for i, r in enumerate(block)], T.StructType([T.StructField("q", T.LongType()), T.StructField(query_key, queries.schema[query_key].dataType)]))
+        found.append(part.join(F.broadcast(names), "q").drop("q"))  # names: one block of queries
+    order = Window.partitionBy(query_key).orderBy(F.desc("cosine"), F.asc(key))
+    ranked = reduce(DataFrame.union, found).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return ranked.select(query_key, key, "cosine", "rank")
+
+
+def nearest_of(shared, key: str, k: int):
+    """For ``mapInPandas``: of a task's rows the best k of each query of the block."""
+
+    def run(frames):
+        vectors_ = shared.value[0]
+        by_size: dict[int, list[int]] = {}
+        for i, v in enumerate(vectors_):
+            if np.dot(v, v) > 0:
+                by_size.setdefault(len(v), []).append(i)
+        best: dict[int, pd.DataFrame] = {}
+        for frame in frames:
+            sizes = frame["v"].map(len).to_numpy()
+            for size, ids in by_size.items():
+                own = frame[sizes == size]
+                if not len(own):
+                    continue
+                matrix = np.stack(own["v"].to_numpy())
+                length = np.sqrt((matrix * matrix).sum(axis=1))
+                own, matrix, length = own[length > 0], matrix[length > 0], length[length > 0]
+                for at in range(0, len(ids), QUERY_BLOCK):
+                    asked = np.stack([vectors_[i] for i in ids[at : at + QUERY_BLOCK]])
+                    cosines = matrix @ asked.T / (length[:, None] * np.sqrt((asked * asked).sum(axis=1))[None, :])
+                    for j, i in enumerate(ids[at : at + QUERY_BLOCK]):
+                        near = cosines[:, j]
+                        # All that tie with the k-th stay until the keys decide.
+                        some = np.flatnonzero(near >= np.partition(near, len(near) - k)[len(near) - k]) if len(near) > k else np.arange(len(near))
+                        rows = pd.DataFrame({"q": i, key: own[key].to_numpy()[some], "cosine": near[some]})
+                        best[i] = pd.concat([best[i], rows] if i in best else [rows]).sort_values(["cosine", key], ascending=[False, True]).head(k)
+        yield from best.values()
+
+    return run
+
+
 def knn_postfiltered(corpus: DataFrame, query, k: int = TOP_K, keep=None, key: str = "job_id", vector: str = "embedding") -> DataFrame:
     """2k nearest, then only those that pass ``keep``, then k: may return fewer than k."""
     keep = F.size("skills_required") > 0 if keep is None else keep

@@ -66,6 +66,11 @@ def proportional_sample(df: DataFrame, stratum: str, target: int, key: str = "jo
     return ranked.join(quotas, stratum).filter(F.col("_rank") <= F.col("_take")).select(*df.columns)
 
 
+def in_band_order(sample: DataFrame, stratum: str, key: str = "job_id") -> DataFrame:
+    """A sample, small by nature, in order of stratum and key."""
+    return sample.orderBy(stratum, key)
+
+
 def simple_sample(df: DataFrame, n: int, key: str = "job_id", seed: int = SEED) -> DataFrame:
     return df.orderBy(draw_key(F.col(key), seed), F.col(key)).limit(n)
 

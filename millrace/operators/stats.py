@@ -134,5 +134,10 @@ def attribution_distribution(records: DataFrame) -> DataFrame:
     return label_distribution(mentions(records), "attribution", ATTRIBUTIONS)
 
 
+def distinct_records(records: DataFrame, key: str = "job_id") -> DataFrame:
+    """How many different records there are by key; null is none."""
+    return records.agg(F.countDistinct(key).alias("n_records"))
+
+
 def error_ids(records: DataFrame) -> DataFrame:
     return records.filter(~F.coalesce(F.col("status") == "ok", F.lit(False))).select("job_id")

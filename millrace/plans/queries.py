@@ -9,13 +9,17 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from millrace.functions import arrays, vectors
 from millrace.functions import text as X
 from millrace.functions.lexicon import Lexicon, canonicalise, default_lexicon, match_terms
 from millrace.operators import enrich, funnel, idlists, matching, sampling, scoring, stats
+from millrace.sources import readers
 from millrace.sources.readers import latest_by, parse_json
-from millrace.sources.writers import export_readable, upsert
+from millrace.sources.writers import append_records, export_readable, index_health, pending, read_index, upsert, write_id_list, write_index, write_jsonl, write_parquet, write_tsv
+from millrace.workspace import materialise, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -319,8 +323,6 @@ def context_snippets(spark, sf_dir):
 
 @query("json_props", "SELECT event_id, CAST(props->>'k' AS BIGINT) AS k FROM events")
 def json_props(spark, sf_dir):
-    from pyspark.sql import types as T
-
     events = table(spark, sf_dir, "events").select("event_id", F.from_json("props", T.StructType([T.StructField("k", T.LongType())])).alias("p"))
     return events.select("event_id", "p.k")
 
@@ -496,32 +498,66 @@ def prompt_build(spark, sf_dir):
 CUES = (("not_expected", (" by ",)), ("preferred", (" with ", " pour ")), ("required", (" the ", " der ", " des ")))
 
 
-def _records(spark, sf_dir) -> DataFrame:
-    return enrich.enrich(funnel.silver(postings(spark, sf_dir)), enrich.RuleProvider(WORDS, CUES), pause_s=0.0)
+def _records(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Silver postings and their enriched records, both written once: a model is called once a posting, whoever reads."""
+    kept = materialise(funnel.silver(postings(spark, sf_dir)), "silver")
+    return kept, materialise(enrich.enrich(kept, enrich.RuleProvider(WORDS, CUES), pause_s=0.0), "records")
 
 
 @query("enrich_rule_based")
 def enrich_rule_based(spark, sf_dir):
-    return _records(spark, sf_dir).withColumn("skills", F.to_json("skills"))
+    return _records(spark, sf_dir)[1].withColumn("skills", F.to_json("skills"))
 
 
 @query("record_stats")
 def record_stats(spark, sf_dir):
-    return stats.status_counts(_records(spark, sf_dir))
+    return stats.status_counts(_records(spark, sf_dir)[1])
 
 
 @query("attribution_distribution")
 def attribution_distribution(spark, sf_dir):
-    return stats.attribution_distribution(_records(spark, sf_dir))
+    return stats.attribution_distribution(_records(spark, sf_dir)[1])
+
+
+def _index(spark, sf_dir) -> DataFrame:
+    kept, records = _records(spark, sf_dir)
+    meta = kept.withColumn("skills_gazetteer", match_terms(F.col("description_clean"), SMALL_LEXICON)).withColumn("n_skills", F.size("skills_gazetteer"))
+    return matching.assemble(meta, records, matching.embed_records(records, dims=32))
 
 
 @query("index_documents")
 def index_documents(spark, sf_dir):
-    records = _records(spark, sf_dir)
-    meta = funnel.silver(postings(spark, sf_dir))
-    meta = meta.withColumn("skills_gazetteer", match_terms(F.col("description_clean"), SMALL_LEXICON)).withColumn("n_skills", F.size("skills_gazetteer"))
-    docs = matching.assemble(meta, records, matching.embed_records(records, dims=32))
-    return docs.select("job_id", "seniority_llm", "n_skills", F.array_join("skills_required", ",").alias("required"), F.array_join("skills_boilerplate", ",").alias("boilerplate"))
+    return _index(spark, sf_dir).select("job_id", "seniority_llm", "n_skills", F.array_join("skills_required", ",").alias("required"), F.array_join("skills_boilerplate", ",").alias("boilerplate"))
+
+
+def _labelled_records(spark, sf_dir) -> DataFrame:
+    """Records whose skills follow from the labels, so that SQL can say what is assembled of them."""
+    first = F.struct(F.concat(F.lit("s"), F.col("doc_id").cast("string")).alias("skill"), F.when(F.col("toxic") == 1, "preferred").otherwise("required").alias("attribution"), F.lit("e").alias("evidence"), F.lit(True).alias("grounded"))
+    second = F.struct(F.lit("base").alias("skill"), F.lit("boilerplate").alias("attribution"), F.lit("e").alias("evidence"), F.lit(True).alias("grounded"))
+    labels = table(spark, sf_dir, "labels")
+    return labels.select(F.col("doc_id").alias("job_id"), F.when(F.col("quality") == 1, "ok").otherwise("failed").alias("status"), F.lit("mid").alias("seniority"), F.col("toxic").cast("int").alias("years_experience_min"), F.array(first, second).alias("skills"))
+
+
+SQL_ASSEMBLED = "FROM documents d JOIN labels l USING (doc_id) JOIN embeddings v ON v.vec_id = d.doc_id WHERE l.quality = 1"
+
+
+@query(
+    "assemble_documents",
+    f"""SELECT CAST(d.doc_id AS VARCHAR) AS job_id, source AS company, lang AS experience_level_source, 'mid' AS seniority_llm, CAST(toxic AS INTEGER) AS years_experience_min, 0 AS n_skills,
+CASE WHEN toxic = 1 THEN '' ELSE 's' || d.doc_id END AS required, CASE WHEN toxic = 1 THEN 's' || d.doc_id ELSE '' END AS preferred, 'base' AS boilerplate, '' AS not_expected, CAST(len(embedding) AS INTEGER) AS dims {SQL_ASSEMBLED}""",
+)
+def assemble_documents(spark, sf_dir):
+    meta = postings(spark, sf_dir).withColumnRenamed("description", "description_clean").withColumn("skills_gazetteer", F.lit(None).cast("array<string>")).withColumn("n_skills", F.lit(None).cast("int"))
+    vectors_ = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("job_id"), "embedding")
+    docs = matching.assemble(meta, _labelled_records(spark, sf_dir), vectors_)
+    lists = [F.array_join(f"skills_{name}", ",").alias(name) for name in CLASSES4]
+    return docs.select("job_id", "company", "experience_level_source", "seniority_llm", "years_experience_min", "n_skills", *lists, F.size("embedding").alias("dims"))
+
+
+@query("skipped_records", "SELECT CAST(l.doc_id AS VARCHAR) AS job_id FROM labels l WHERE quality = 1 AND NOT EXISTS (SELECT 1 FROM documents d JOIN embeddings v ON v.vec_id = d.doc_id WHERE d.doc_id = l.doc_id)")
+def skipped_records(spark, sf_dir):
+    meta = postings(spark, sf_dir)
+    return matching.skipped(meta, _labelled_records(spark, sf_dir), table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("job_id"), "embedding"))
 
 
 @query("export_readable")
@@ -544,21 +580,28 @@ def upsert_latest(spark, sf_dir):
 SQL_COS = "list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])))"
 
 
-def _query_vector(spark, sf_dir):
-    row = table(spark, sf_dir, "embeddings").filter("vec_id = 0").select("embedding").first()
-    return row["embedding"] if row else [1.0]
+EVERY = 20
+SQL_NEAR = f"""n AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, {SQL_COS} AS c FROM embeddings v, (SELECT * FROM embeddings WHERE vec_id % {EVERY} = 0) q),
+t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, vec_id) AS rank FROM n)"""
+
+
+def _queries(spark, sf_dir) -> DataFrame:
+    """The stated query set: every row whose id is divisible by 20."""
+    return table(spark, sf_dir, "embeddings").filter(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), "embedding")
 
 
-@query("knn_topk", f"SELECT v.vec_id, round({SQL_COS}, 6) AS cosine FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY {SQL_COS} DESC, v.vec_id LIMIT 16")
+@query("knn_topk", f"WITH {SQL_NEAR} SELECT query_id, vec_id, round(c, 6) AS cosine, CAST(rank AS INTEGER) AS rank FROM t WHERE rank <= 16")
 def knn_topk(spark, sf_dir):
-    hits = matching.knn(table(spark, sf_dir, "embeddings"), _query_vector(spark, sf_dir), 16, "vec_id")
-    return hits.select("vec_id", F.round("cosine", 6).alias("cosine"))
+    hits = matching.knn_many(table(spark, sf_dir, "embeddings"), _queries(spark, sf_dir), 16, "vec_id")
+    return hits.withColumn("cosine", F.round("cosine", 6))
 
 
-@query("knn_postfilter", f"WITH t AS (SELECT v.vec_id, v.label, {SQL_COS} AS c FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY c DESC, v.vec_id LIMIT 16) SELECT vec_id, round((1 + c) / 2, 6) AS score FROM t WHERE label > 2 ORDER BY c DESC, vec_id LIMIT 8")
+@query("knn_postfilter", f"WITH {SQL_NEAR} SELECT query_id, vec_id, round((1 + c) / 2, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, vec_id) AS i FROM t WHERE rank <= 16 AND label > 2) WHERE i <= 8")
 def knn_postfilter(spark, sf_dir):
-    hits = matching.knn_postfiltered(table(spark, sf_dir, "embeddings"), _query_vector(spark, sf_dir), 8, F.col("label") > 2, "vec_id")
-    return hits.select("vec_id", F.round(vectors.cosine_score(F.col("cosine")), 6).alias("score"))
+    corpus = table(spark, sf_dir, "embeddings")
+    hits = matching.knn_many(corpus, _queries(spark, sf_dir), 16, "vec_id").join(corpus.select("vec_id", "label"), "vec_id").filter("label > 2")
+    first = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+    return hits.withColumn("i", first).filter("i <= 8").select("query_id", "vec_id", F.round(vectors.cosine_score(F.col("cosine")), 6).alias("score"))
 
 
 @query("vector_norms", "SELECT count(*) AS n, round(min(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 4) AS min_norm, round(max(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 4) AS max_norm FROM embeddings")
@@ -586,23 +629,111 @@ query("skill_have", SQL_GAP.format(""))(_gap(arrays.present))
 
 @query("match_profile")
 def match_profile(spark, sf_dir):
-    records = _records(spark, sf_dir)
-    meta = funnel.silver(postings(spark, sf_dir)).withColumn("skills_gazetteer", F.array().cast("array<string>")).withColumn("n_skills", F.lit(0))
-    docs = matching.assemble(meta, records, matching.embed_records(records, dims=32))
-    hits = matching.match(docs, "Posting", ["the", "of"], query=vectors.hashing_encode("the of", 32))
+    hits = matching.match(_index(spark, sf_dir), "Posting", ["the", "of"], query=vectors.hashing_encode("the of", 32))
     return hits.withColumns({c: F.array_join(c, ",") for c in ("have", "missing")})
 
 
+# Sources and sinks: what a writer wrote, read back ----------------------------------------------------------------
+
+
+@query("csv_strings", "SELECT CAST(doc_id AS VARCHAR) AS job_id, coalesce(source, '') AS company_name, md5(coalesce(text, '')) AS description_md5, CAST(CASE WHEN regexp_matches(lang, '\\S') THEN 1 ELSE 0 END AS INTEGER) AS remote_allowed FROM documents")
+def csv_strings(spark, sf_dir):
+    path = scratch(spark, "csv")
+    raw = postings(spark, sf_dir).withColumn("remote_allowed", F.col("formatted_experience_level"))
+    raw.write.options(header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    read = readers.as_raw_records(readers.read_csv_strings(spark, path))
+    return read.select("job_id", "company_name", F.md5("description").alias("description_md5"), "remote_allowed")
+
+
+@query("csv_head", "SELECT least(count(*), 50) AS n, least(count(*), 50) AS n_ids FROM documents")
+def csv_head(spark, sf_dir):
+    path = scratch(spark, "csv")
+    postings(spark, sf_dir).drop("description").withColumn("description", F.lit("x")).write.options(header=True).csv(path)
+    return readers.read_csv_strings(spark, path, head=50).agg(F.count("*").alias("n"), F.countDistinct("job_id").alias("n_ids"))
+
+
+@query("jsonl_lines", "SELECT CAST(doc_id AS VARCHAR) AS job_id, source AS company_name, md5(text) AS description_md5 FROM documents")
+def jsonl_lines(spark, sf_dir):
+    path = scratch(spark, "jsonl")
+    write_jsonl(postings(spark, sf_dir), path)
+    return parse_json(readers.read_jsonl_lines(spark, path)).select("job_id", "company_name", F.md5("description").alias("description_md5"))
+
+
+@query("json_directory", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def json_directory(spark, sf_dir):
+    path = scratch(spark, "objects")
+    nations = table(spark, sf_dir, "nation")
+    # One object a file, as the per-record sink leaves them.
+    nations.repartitionByRange(64, "n_nationkey").write.option("maxRecordsPerFile", 1).json(path)
+    return readers.read_json_directory(spark, path, nations.schema)
+
+
+@query("id_list", "SELECT CAST(doc_id AS VARCHAR) AS job_id, CAST(row_number() OVER (ORDER BY CAST(doc_id AS VARCHAR)) - 1 AS INTEGER) AS pos FROM labels WHERE toxic = 1")
+def id_list(spark, sf_dir):
+    path = scratch(spark, "ids")
+    write_id_list(_toxic_ids(spark, sf_dir), path, "doc_id")
+    return readers.read_id_list(spark, f"{path}/*.txt")
+
+
+@query("label_lines", "SELECT CAST(doc_id AS VARCHAR) AS job_id, 'x' AS skill, CASE WHEN toxic = 1 THEN 'spurious' ELSE 'required' END AS label FROM labels")
+def label_lines(spark, sf_dir):
+    path = scratch(spark, "labels")
+    lines = table(spark, sf_dir, "labels").select(F.concat(F.col("doc_id").cast("string"), F.lit(" | x | "), F.when(F.col("toxic") == 1, "spurious").otherwise("required")).alias("value"))
+    lines.coalesce(1).write.text(path)
+    return readers.read_labels(spark, f"{path}/*.txt")
+
+
+@query("records_pending", "SELECT CAST(doc_id AS VARCHAR) AS job_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def records_pending(spark, sf_dir):
+    """Records are appended twice; failed ones are due again, written ones aren't."""
+    path = scratch(spark, "records")
+    records = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("job_id"), F.when(F.col("quality") == 1, "ok").otherwise("failed").alias("status"))
+    append_records(records.filter("status = 'ok'"), path)
+    append_records(pending(records, path), path)
+    return pending(postings(spark, sf_dir).select("job_id"), path, retry_failed=True)
+
+
+@query("tsv_table", "SELECT event_type AS skill, CAST(count(*) AS VARCHAR) AS count FROM events GROUP BY 1")
+def tsv_table(spark, sf_dir):
+    path = scratch(spark, "tsv")
+    write_tsv(stats.frequency(table(spark, sf_dir, "events").select(F.col("event_type").alias("skill")), "skill", out="count"), path)
+    return spark.read.options(header=True, sep="\t", quote="").csv(path)
+
+
+@query("parquet_overwrite", "SELECT doc_id, lang FROM documents")
+def parquet_overwrite(spark, sf_dir):
+    path = scratch(spark, "table")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    for rows in (docs.limit(3), docs):
+        write_parquet(rows, path)
+    return readers.read_documents(spark, path, ["doc_id", "lang"])
+
+
+@query("vector_table", "SELECT CAST(vec_id AS VARCHAR) AS job_id, CAST(len(embedding) AS INTEGER) AS dims FROM embeddings")
+def vector_table(spark, sf_dir):
+    path = scratch(spark, "vectors")
+    write_parquet(table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("job_id"), vectors.l2_normalise(F.col("embedding")).alias("embedding")), path)
+    return readers.read_documents(spark, path).select("job_id", F.size("embedding").alias("dims"))
+
+
+@query("index_upsert", "SELECT CAST(doc_id AS VARCHAR) AS job_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'new' ELSE 'old' END AS state, (SELECT count(*) FROM documents) AS n FROM documents")
+def index_upsert(spark, sf_dir):
+    """All documents are indexed, the labelled ones again, one of them without a key."""
+    path, schema = scratch(spark, "index"), T.StructType([T.StructField("job_id", T.StringType()), T.StructField("state", T.StringType())])
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("job_id"), F.lit("old").alias("state"))
+    write_index(docs, path, schema)
+    again = docs.join(table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("job_id")), "job_id", "left_semi").withColumn("state", F.lit("new"))
+    write_index(again.union(spark.createDataFrame([(None, "new")], schema)), path, schema)
+    return read_index(spark, path).withColumn("n", F.lit(index_health(spark, path)["count"]).cast("long"))
+
+
 # Streaming --------------------------------------------------------------------------------------------------------
 
 
 @query("stream_bronze", "SELECT event_id, user_id, event_type, CAST(props->>'k' AS BIGINT) AS k FROM events")
 def stream_bronze(spark, sf_dir):
     """The events file as a stream, parsed and drained once, read back as a batch."""
-    from pyspark.sql import types as T
-
     from millrace.streaming.ingest import bronze, file_stream
-    from millrace.workspace import scratch
 
     schema = table(spark, sf_dir, "events").schema
     source = table(spark, sf_dir, "events").inputFiles()[0].rsplit("/", 1)

@@ -47,16 +47,31 @@ def read_json_directory(spark: SparkSession, path: str, schema: T.StructType = E
     return spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", "*.json").json(path)
 
 
+#: A list that is read as one value, so that its lines keep their order, is no larger than this.
+MOST_LIST_BYTES = 64 << 20
+
+
+def _whole_file(spark: SparkSession, path: str) -> DataFrame:
+    """Files of a bounded size, each as one ``value``; a larger one is an error before anything is read."""
+    largest = spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0] or 0
+    if largest > MOST_LIST_BYTES:
+        raise ValueError(f"a list of {largest} bytes; at most {MOST_LIST_BYTES} are read as one value")
+    return spark.read.text(path, wholetext=True)
+
+
 def read_id_list(spark: SparkSession, path: str, name: str = "job_id") -> DataFrame:
-    """Trimmed non-blank lines with their place in the file (``pos``, by file offset order)."""
-    lines = spark.read.text(path, wholetext=True)
+    """Trimmed non-blank lines with their place in the file (``pos``); a list is a file of MOST_LIST_BYTES at most."""
+    lines = _whole_file(spark, path)
     parts = lines.select(F.posexplode(F.split("value", r"\r?\n")).alias("pos", name))
     return parts.select(F.trim(F.col(name)).alias(name), "pos").filter(F.col(name) != "")
 
 
 def read_labels(spark: SparkSession, path: str, separator: str = "|") -> DataFrame:
-    """``job_id | skill | label`` without a header. A line without exactly three fields is an error; the last of repeated keys stays."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("pos", "value")).filter(~is_blank(F.col("value")))
+    """``job_id | skill | label`` without a header, in a file of MOST_LIST_BYTES at most.
+
+    A line without exactly three fields is an error; the last of repeated keys stays.
+    """
+    lines = _whole_file(spark, path).select(F.posexplode(F.split("value", r"\r?\n")).alias("pos", "value")).filter(~is_blank(F.col("value")))
     parts = F.split(F.col("value"), "\\" + separator)
     checked = F.when(F.size(parts) == 3, parts).otherwise(F.raise_error(F.concat(F.lit("not three fields: "), F.col("value"))))
     rows = lines.select("pos", checked.alias("f")).select("pos", *[F.trim(F.col("f")[i]).alias(n) for i, n in enumerate(GOLD_LABEL.names)])
