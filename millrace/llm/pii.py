@@ -36,6 +36,8 @@ SECRET = rf"(?<![0-9A-Za-z])[0-9A-Fa-f]{{{SECRET_CHARS},}}+(?![0-9A-Za-z])"
 KEY_BEFORE = r"(?<![\p{L}_-])([\p{L}_-]++ *+[=:]) *+[\"'`(\[<]*+$"
 KEY_INSIDE = r"^[\"'`(\[<]*+([\p{L}_-]++[=:])"
 KEY_USE = r"(?<![\p{L}_-])([\p{L}_-]++ *+[=:])"
+#: Words of patterns up to which they are sent to the texts, so that other words aren't counted; with more, all are.
+WORDS_SENT = 250_000
 #: Code points of a piece; contexts are taken from pieces, so that a very long text isn't scanned for each entity.
 PIECE = 4096
 PATTERNS = (("left", "L "), ("right", "R "), ("key", "K "))
@@ -182,8 +184,12 @@ def word_uses(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     found = F.when(text.rlike("[=:]"), F.regexp_extract_all(text, F.lit(KEY_USE), F.lit(1))).otherwise(F.array().cast("array<string>"))
     keys = F.transform(found, lambda k: F.concat(F.lit(" "), F.translate(k, " ", "")))
     wanted = patterns.select("pattern", F.when(F.col("pattern").startswith("K "), F.expr("substring(pattern, 2)")).otherwise(F.expr("substring(pattern, 3)")).alias("w"))
+    said = docs.select(F.explode(F.concat(words, keys)).alias("w"))
+    asked = wanted.select("w").distinct()
+    if asked.count() <= WORDS_SENT:
+        said = said.join(F.broadcast(asked), "w", "left_semi")
     # Uses combine within each task before they travel.
-    counted = docs.select(F.explode(F.concat(words, keys)).alias("w")).filter("w <> ''").groupBy("w").agg(F.count("*").alias("uses"))
+    counted = said.filter("w <> ''").groupBy("w").agg(F.count("*").alias("uses"))
     return wanted.join(counted, "w").select("pattern", "uses")
 
 

@@ -317,7 +317,9 @@ def chained_texts():
     return texts
 
 
-def test_found_words_against_plain_python(spark):
+@pytest.mark.parametrize("sent", [0, 250_000])
+def test_found_words_against_plain_python(spark, monkeypatch, sent):
+    monkeypatch.setattr(pii, "WORDS_SENT", sent)
     texts = chained_texts()
     got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["found"]] for r in pii.find(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)).collect()}
     want = plain_found(texts)
