@@ -16,12 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import kernel as K
-from millrace.llm.labelled import MOST_LABELLED, sample
+from millrace.llm.labelled import sample
 from millrace.workspace import discard, materialise
 
 #: Bytes of a word's beginning that make a feature of their own, besides the whole word.
 BEGINNINGS = (4, 5, 6)
 FEATURE_BITS = 22
+#: Labelled documents that the model is fitted on at most; the driver holds some 10 kB of features of each.
+MOST_LABELLED = 10_000
 #: Sampled texts that a feature is learnt from at least.
 MIN_SUPPORT = 4
 #: Log-likelihood ratio at which a feature's ridge penalty is 1; surer features are penalised less, others more.
@@ -142,18 +144,19 @@ def learnt(starts: np.ndarray, columns: np.ndarray, values: np.ndarray, grade: n
     present, grade = np.unique(grade, return_inverse=True)
     if len(present) < 2 or present[0] != 0:
         return None
-    owner = np.repeat(grade, np.diff(starts))
-    seen = np.stack([np.bincount(columns[owner == k], minlength=1 << FEATURE_BITS) for k in range(len(present))], axis=1)
-    names = np.flatnonzero(seen.sum(axis=1) >= MIN_SUPPORT)
+    names = np.flatnonzero(np.bincount(columns, minlength=1 << FEATURE_BITS) >= MIN_SUPPORT)
     if not len(names):
         return None
-    sure = g2(seen[names].astype(float), np.bincount(grade).astype(float))
-    del seen, owner
     place = np.full(1 << FEATURE_BITS, -1, np.int32)
     place[names] = np.arange(len(names), dtype=np.int32)
-    kept = place[columns] >= 0
-    upto = np.concatenate(([0], np.cumsum(kept)))
-    w, theta = fit(upto[starts], place[columns[kept]], values[kept], len(names), grade, PLAIN_G2 / np.maximum(sure, 1e-2))
+    columns = place[columns]
+    kept = columns >= 0
+    starts = np.concatenate(([0], np.cumsum([kept[a:b].sum() for a, b in zip(starts[:-1], starts[1:], strict=True)])))
+    columns, values = columns[kept], values[kept]
+    owner = np.repeat(grade.astype(np.int8), np.diff(starts))
+    seen = np.stack([np.bincount(columns[owner == k], minlength=len(names)) for k in range(len(present))], axis=1)
+    sure = g2(seen.astype(float), np.bincount(grade).astype(float))
+    w, theta = fit(starts, columns, values, len(names), grade, PLAIN_G2 / np.maximum(sure, 1e-2))
     out = np.zeros(1 << FEATURE_BITS, np.float32)
     out[names] = w
     return out, theta
@@ -182,13 +185,16 @@ def train(docs: DataFrame, labels: DataFrame, label: str, worse: str | None, mos
     """(weights by bucket, thresholds), or None where the sample can't tell grades apart."""
     known = materialise(sample(docs, graded(labels, label, worse), "label", most), "toxicity-sample")
     # Bounded by the sample; ids are distinct in it, and their order makes the fit's sums the same in every run.
-    rows = K.map_texts(known, "c array<int>, v array<float>", packed, carry=["doc_id", "label"]).toArrow().sort_by("doc_id")
+    rows = K.map_texts(known, "c array<int>, v array<float>", packed, carry=["doc_id", "label"]).toArrow()
     discard(known)
     if not len(rows):
         return None
-    sizes = rows["c"].combine_chunks().value_lengths().to_numpy()
-    flat = lambda name: rows[name].combine_chunks().flatten().to_numpy()
-    return learnt(np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))), flat("c"), flat("v"), rows["label"].to_numpy().astype(np.int64))
+    order = pa.array(np.argsort(rows["doc_id"].to_numpy()))
+    grade, c, v = rows["label"].to_numpy()[order.to_numpy()].astype(np.int64), rows["c"].combine_chunks(), rows["v"].combine_chunks()
+    del rows
+    c, v = c.take(order), v.take(order)
+    starts = np.concatenate(([0], np.cumsum(c.value_lengths().to_numpy(), dtype=np.int64)))
+    return learnt(starts, c.flatten().to_numpy(), v.flatten().to_numpy(), grade)
 
 
 def severity_of(texts, model) -> list[pa.Array]:
