@@ -2,7 +2,8 @@
 
 The windows of the test items go into a hash index that every task gets; each task looks up all windows of its texts and
 verifies every hit word by word. Broadcast blocks are bounded: a larger benchmark is cut into blocks, each looked up in a
-pass of its own.
+pass of its own. Beyond a few blocks, windows travel: what a map of bits of the test windows lets pass, of each text, is
+joined with them by hash and words.
 """
 
 from __future__ import annotations
@@ -18,11 +19,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm import kernel as K
+from millrace.llm.labelled import bit_map, map_size
+from millrace.llm.skew import spread_join
 from millrace.workspace import discard, materialise
 
 WINDOW = 10
 #: Text bytes of test items in one broadcast block.
 BLOCK_BYTES = 8 << 20
+#: Blocks that are looked up in passes of their own; with more, windows are joined.
+MOST_PASSES = 4
 #: Words of a piece that a longer item is cut into.
 PIECE_WORDS = 50_000
 #: Runs of digits, a-z and characters beyond ASCII, once A-Z are lower-cased.
@@ -183,6 +188,65 @@ def item_blocks(benchmark: DataFrame, window: int, block_bytes: int, piece_words
     return Blocks(rows.withColumn("b", F.pmod(F.xxhash64("i", "t"), F.lit(n))), n)
 
 
+def item_windows(rows: DataFrame, window: int) -> DataFrame:
+    """(h, n, w, i) of items (i, t): hash, length and words of each window, with its item, once."""
+
+    def run(batches):
+        for batch in batches:
+            for slab in K.slabs(batch.column(1)):
+                starts, ends, first = K.spans(slab.data, slab.bounds, K.NOT_ALNUM)
+                words = K.hash_spans(slab.data, starts, ends)
+                owner, lengths = np.repeat(np.arange(slab.rows), np.diff(first)), np.minimum(np.diff(first), window)
+                for n in np.unique(lengths[lengths > 0]).tolist():
+                    hashed = K.ngram_hashes(words, n)
+                    at = np.flatnonzero(K.windows_inside(first, len(words), n)[: len(hashed)] & (lengths[owner[: len(hashed)]] == n))
+                    said = [slab.data[starts[k] : ends[k + n - 1]].tobytes().decode() for k in at.tolist()]
+                    yield pa.RecordBatch.from_arrays([pa.array(hashed[at].view(np.int64)), pa.array(np.full(len(at), n, np.int32)), pa.array(said, pa.string()), batch.column(0).take(pa.array(owner[at] + slab.first))], ["h", "n", "w", "i"])
+
+    # Items came down to words with one blank between, so a window's bytes are its words.
+    return rows.select("i", "t").mapInArrow(run, "h long, n int, w string, i string").distinct()
+
+
+def text_windows(staged: DataFrame, bits, size: int, lengths: list[int]) -> DataFrame:
+    """(id, h, n, w, start, end) of the windows of texts that the map of bits lets pass; bytes from the text's start."""
+    shift = K.U(64 - (size.bit_length() - 1))
+
+    def run(batches):
+        for batch in batches:
+            for slab in K.slabs(batch.column(1)):
+                data = K.LOWER[slab.data]
+                starts, ends, first = K.spans(data, slab.bounds, K.NOT_ALNUM)
+                words = K.hash_spans(data, starts, ends)
+                owner = np.repeat(np.arange(slab.rows), np.diff(first))
+                for n in lengths:
+                    hashed = K.ngram_hashes(words, n)
+                    place = (hashed >> shift).astype(np.int64)
+                    maybe = (bits.value[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).astype(bool)
+                    at = np.flatnonzero(maybe & K.windows_inside(first, len(words), n)[: len(hashed)])
+                    said = [b" ".join([data[starts[j] : ends[j]].tobytes() for j in range(k, k + n)]).decode() for k in at.tolist()]
+                    base = slab.bounds[owner[at]]
+                    columns = [pa.array(hashed[at].view(np.int64)), pa.array(np.full(len(at), n, np.int32)), pa.array(said, pa.string()), pa.array(starts[at] - base), pa.array(ends[at + n - 1] - base)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner[at] + slab.first)), *columns], ["id", "h", "n", "w", "start", "end"])
+
+    return staged.select("id", "text").mapInArrow(run, "id long, h long, n int, w string, start long, end long")
+
+
+def joined_windows(staged: DataFrame, items: DataFrame, window: int) -> DataFrame:
+    """(id, ids, places) of the texts with hits, for a benchmark of any size: one pass and a join by hash and words."""
+    known = materialise(item_windows(items, window), "benchmark-windows")
+    size = map_size(known.count())
+    bits = bit_map(known.select(F.shiftrightunsigned("h", 64 - (size.bit_length() - 1)).alias("place")), size)
+    lengths = sorted(r["n"] for r in known.select("n").distinct().collect())  # as many as a window has words, at most
+    shared = staged.sparkSession.sparkContext.broadcast(bits)
+    said = materialise(text_windows(staged, shared, size, lengths), "text-windows")
+    hit = spread_join(said, known, ["h", "n", "w"], ["id", "start"], said.count())
+    place = F.struct("start", "end")
+    found = hit.groupBy("id").agg(F.collect_set("i").alias("ids"), F.collect_set(place).alias("places"))
+    found = materialise(found, "hits-joined")
+    discard(known, said)
+    return found
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, carry=None) -> DataFrame:
     """``docs`` with n_words, n_hit (words inside an occurring window), items (ids, sorted) and spans (bytes, end exclusive).
 
@@ -203,15 +267,19 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
         return done.select(*K.unboxed(names), *new)
     # Rows get a number and are written once; each block's pass brings out only the rows that it hits.
     staged = materialise(rows.withColumn("id", F.monotonically_increasing_id()), "hits-rows")
-    found = []
-    for block in blocks.each():
-        shared = sc.broadcast(build_index(block, window))
-        part = K.map_texts(staged, FIELDS, lambda texts, shared=shared: look_up(texts, shared.value), carry=["id"])
-        found.append(materialise(part.filter("n_hit > 0").select("id", "items", "spans"), "hits-block"))
-        shared.unpersist()
-    together = reduce(DataFrame.union, found).groupBy("id").agg(F.flatten(F.collect_list("items")).alias("ids"), F.flatten(F.collect_list("spans")).alias("places"))
-    together = materialise(together, "hits-found")
-    discard(blocks.numbered, *found)
+    if len(blocks) > MOST_PASSES:
+        together = joined_windows(staged, blocks.numbered, window)
+    else:
+        found = []
+        for block in blocks.each():
+            shared = sc.broadcast(build_index(block, window))
+            part = K.map_texts(staged, FIELDS, lambda texts, shared=shared: look_up(texts, shared.value), carry=["id"])
+            found.append(materialise(part.filter("n_hit > 0").select("id", "items", "spans"), "hits-block"))
+            shared.unpersist()
+        together = reduce(DataFrame.union, found).groupBy("id").agg(F.flatten(F.collect_list("items")).alias("ids"), F.flatten(F.collect_list("spans")).alias("places"))
+        together = materialise(together, "hits-found")
+        discard(*found)
+    discard(blocks.numbered)
     nothing = build_index([], window)
     merged = K.map_texts(staged.join(together, "id", "left"), FIELDS, lambda *columns: look_up(columns[0], nothing, *columns[1:]), carry=["row"], extra=("ids", "places"))
     return merged.select(*K.unboxed(names), *new)

@@ -201,16 +201,3 @@ def map_texts(df, fields: str, handle, text: str = "text", carry=(), extra: tupl
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *made], [*names, *new.names])
 
     return slim.mapInArrow(run, T.StructType([*old.fields, *new.fields]))
-
-
-def with_texts(df, fields: str, handle, carry=None, text: str = "text"):
-    """``df`` with the new columns of ``handle(texts)``; ``carry`` names the columns to keep, else all are.
-
-    Columns of the new names are replaced, whatever their case.
-    """
-    from pyspark.sql import types as T
-
-    new = T._parse_datatype_string(fields).names
-    names = [c for c in (df.columns if carry is None else carry) if c.lower() not in {n.lower() for n in new}]
-    made = map_texts(df.select(boxed(names), column(text).alias("text")), fields, handle, carry=["row"])
-    return made.select(*unboxed(names), *[column(c) for c in new])

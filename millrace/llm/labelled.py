@@ -20,16 +20,16 @@ def marks(labels: DataFrame, label: str) -> DataFrame:
     return labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).cast("int").alias("label"))
 
 
-def maybe_in(value: Column, known: DataFrame) -> Column:
-    """False for most values that aren't in ``known``, a column of ids, and null; true for all that are.
-
-    What is sent is a map of bits; more ids than it has room for only let more values pass.
-    """
-    name = known.columns[0]
+def map_size(n: int) -> int:
+    """Bits of a map of ``n`` ids, a power of two; more ids than it has room for only let more values pass."""
     size = BLOCK
-    wanted = known.count() * BITS_AN_ID
-    while size < min(wanted, MOST_BITS):
+    while size < min(n * BITS_AN_ID, MOST_BITS):
         size *= 2
+    return size
+
+
+def bit_map(places: DataFrame, size: int) -> np.ndarray:
+    """Packed bits with those of ``places`` (place) set; a block of bits comes to the driver at a time, 8 MB in all at most."""
 
     def block(rows: pd.DataFrame) -> pd.DataFrame:
         bits = np.zeros(BLOCK, bool)
@@ -37,11 +37,17 @@ def maybe_in(value: Column, known: DataFrame) -> Column:
         return pd.DataFrame({"block": [rows["block"].iloc[0]], "bits": [np.packbits(bits).tobytes()]})
 
     # A place once: what a block's task holds is bounded by the block.
-    places = known.select(F.pmod(F.xxhash64(name), F.lit(size)).alias("place")).distinct().withColumn("block", F.floor(F.col("place") / BLOCK))
-    bitmap = np.zeros(size // 8, np.uint8)
-    for row in places.groupBy("block").applyInPandas(block, "block long, bits binary").toLocalIterator():
-        bitmap[row["block"] * BLOCK // 8 :][: BLOCK // 8] = np.frombuffer(row["bits"], np.uint8)
-    shared = known.sparkSession.sparkContext.broadcast(bitmap)
+    dealt = places.select("place").distinct().withColumn("block", F.floor(F.col("place") / BLOCK))
+    out = np.zeros(size // 8, np.uint8)
+    for row in dealt.groupBy("block").applyInPandas(block, "block long, bits binary").toLocalIterator():
+        out[row["block"] * BLOCK // 8 :][: BLOCK // 8] = np.frombuffer(row["bits"], np.uint8)
+    return out
+
+
+def maybe_in(value: Column, known: DataFrame) -> Column:
+    """False for most values that aren't in ``known``, a column of ids, and null; true for all that are."""
+    size = map_size(known.count())
+    shared = known.sparkSession.sparkContext.broadcast(bit_map(known.select(F.pmod(F.xxhash64(known.columns[0]), F.lit(size)).alias("place")), size))
 
     @F.pandas_udf("boolean")
     def holds(place: pd.Series) -> pd.Series:

@@ -32,14 +32,14 @@ def in_parts(small: DataFrame, n: Column, most: int, name: str = "part") -> Data
 
 
 def spread_join(rows: DataFrame, small: DataFrame, keys: list[str], by: list[str], total: int, counts: DataFrame | None = None, least: int = LEAST_HOT, how: str = "inner") -> DataFrame:
-    """``rows`` joined with ``small`` on ``keys``; the rows of a hot key are dealt to several tasks by the hash of ``by``.
+    """``rows`` joined with ``small``, few rows a key, on ``keys``; the rows of a hot key are dealt to several tasks by the hash of ``by``.
 
     ``total`` is the number of rows and ``counts`` (keys, n) how many a key has, counted here if not given. Keys of null
     meet nothing. The list of hot keys is broadcast; ``most_rows`` bounds it.
     """
     most = most_rows(total, least)
-    counted = rows.groupBy(*keys).agg(F.count("*").alias("n")) if counts is None else counts
-    hot = F.broadcast(counted.filter(F.col("n") > most).select(*keys, parts(F.col("n"), most).alias("_parts")))
+    counted = rows.groupBy(*keys).agg(F.count("*").alias("_rows")) if counts is None else counts.select(*keys, F.col("n").alias("_rows"))
+    hot = F.broadcast(counted.filter(F.col("_rows") > most).select(*keys, parts(F.col("_rows"), most).alias("_parts")))
     left = rows.join(hot, keys, "left").withColumn("_part", F.coalesce(part(F.col("_parts"), *by), F.lit(0).cast("long"))).drop("_parts")
     ends = F.coalesce(F.col("_parts"), F.lit(1).cast("long")) - 1
     right = small.join(hot, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), ends))).drop("_parts")

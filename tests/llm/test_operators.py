@@ -2,6 +2,7 @@ import hashlib
 import math
 import os
 import random
+import re
 import sys
 from collections import Counter, defaultdict
 
@@ -201,8 +202,10 @@ def test_lines_edges(spark, docs, empty):
 ITEMS = [(1, " ".join((DATA[20][1] or "a b").split()[:14])), (2, "One"), (3, None), (4, "!!"), (5, (DATA[9][1])[1000:1300]), (11, "one TWO")]
 
 
-@pytest.mark.parametrize("block", [1 << 20, 40])
-def test_hits_against_plain_python(spark, docs, block):
+@pytest.mark.parametrize(("block", "passes"), [(1 << 20, 4), (40, 10**6), (40, 1)])
+def test_hits_against_plain_python(spark, docs, monkeypatch, block, passes):
+    """One block, a pass for each of many, and windows that travel."""
+    monkeypatch.setattr(decontaminate, "MOST_PASSES", passes)
     benchmark = spark.createDataFrame(ITEMS, "item_id long, text string")
     out = decontaminate.hits(docs, benchmark, block_bytes=block, carry=["doc_id", "text"]).collect()
     got = {r["doc_id"]: (r["n_words"], r["n_hit"], list(r["items"])) for r in out}
@@ -210,12 +213,26 @@ def test_hits_against_plain_python(spark, docs, block):
     assert sum(v[1] > 0 for v in got.values()) > 4
 
 
-def test_hits_of_several_blocks_keep_every_row(spark, docs):
+def test_hits_of_several_blocks_keep_every_row(spark, docs, monkeypatch):
     benchmark = spark.createDataFrame(ITEMS, "item_id long, text string")
     twice = docs.union(docs).withColumns({"items": F.lit("old"), "id": F.lit("own"), "m": F.create_map(F.lit("k"), F.col("doc_id"))})
-    one, many = ([(r["doc_id"], r["n_words"], r["n_hit"], list(r["items"]), r["spans"], r["id"]) for r in decontaminate.hits(twice, benchmark, block_bytes=b).collect()] for b in (1 << 20, 40))
+    look = lambda b: [(r["doc_id"], r["n_words"], r["n_hit"], list(r["items"]), r["spans"], r["id"]) for r in decontaminate.hits(twice, benchmark, block_bytes=b).collect()]
+    one, joined = look(1 << 20), look(40)
+    monkeypatch.setattr(decontaminate, "MOST_PASSES", 10**6)
+    many = look(40)
     key = lambda r: (r[0], r[1], r[2])
-    assert len(many) == 2 * len(DATA) and sorted(one, key=key) == sorted(many, key=key)
+    assert len(many) == 2 * len(DATA) and sorted(one, key=key) == sorted(many, key=key) == sorted(joined, key=key)
+
+
+def test_long_items_are_cut_with_overlap(spark, docs):
+    """Pieces of seven words give the windows of the whole item; equal items, and ones without words, weigh nothing."""
+    items = [(1, DATA[9][1]), (1, DATA[9][1]), (2, " !! "), (3, None), (4, "One")]
+    rows = decontaminate.item_blocks(spark.createDataFrame(items, "item_id long, text string"), 10, 1 << 20, piece_words=7).numbered
+    pieces = [r["t"].split(" ") for r in rows.filter("i = '1'").collect()]
+    windows = lambda w: {tuple(w[k : k + 10]) for k in range(len(w) - 9)}
+    whole = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", DATA[9][1].translate(cases.LOWER))
+    assert set().union(*map(windows, pieces)) == windows(whole) and max(map(len, pieces)) == 16
+    assert {r["i"] for r in rows.collect()} == {"1", "4"}
 
 
 def test_windows_of_one_hash_are_told_apart_by_their_words(spark, monkeypatch):
