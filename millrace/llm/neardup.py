@@ -25,7 +25,7 @@ BANDS = 32
 #: The most that a linked pair may be missed by all bands.
 MISS = 1e-6
 #: Rows of each side of a block that one task compares in memory.
-BLOCK = 1024
+BLOCK = 512
 #: Shingles (8 bytes each) of one side of a block, about; long texts make smaller blocks.
 BLOCK_SHINGLES = 1_000_000
 #: Candidate ids (8 bytes each) up to which they are sent to the tasks that hold the texts; with more, texts travel to the ids.
