@@ -16,14 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import kernel as K
-from millrace.llm.labelled import sample
+from millrace.llm.labelled import MOST_LABELLED, sample
 from millrace.workspace import discard, materialise
 
 #: Bytes of a word's beginning that make a feature of their own, besides the whole word.
 BEGINNINGS = (4, 5, 6)
 FEATURE_BITS = 22
-#: Labelled documents that the model is fitted on at most; the driver holds some 10 kB of features of each.
-MOST_LABELLED = 10_000
 #: Sampled texts that a feature is learnt from at least.
 MIN_SUPPORT = 4
 #: Log-likelihood ratio at which a feature's ridge penalty is 1; surer features are penalised less, others more.
@@ -139,29 +137,38 @@ def g2(seen: np.ndarray, totals: np.ndarray) -> np.ndarray:
     return 2 * (seen * np.log(np.where(seen > 0, seen / np.maximum(expected, 1e-300), 1.0))).sum(axis=1)
 
 
-def learnt(starts: np.ndarray, columns: np.ndarray, values: np.ndarray, grade: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
-    """A weight for each bucket, and thresholds; None where there are no two grades or no supported feature."""
+def weighed(starts: np.ndarray, columns: np.ndarray, values: np.ndarray, names: np.ndarray, grade: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """A weight for each bucket, and thresholds; None where there are no two grades or no feature. ``names[columns]`` are the buckets."""
     present, grade = np.unique(grade, return_inverse=True)
-    if len(present) < 2 or present[0] != 0:
-        return None
-    names = np.flatnonzero(np.bincount(columns, minlength=1 << FEATURE_BITS) >= MIN_SUPPORT)
-    if not len(names):
+    if len(present) < 2 or present[0] != 0 or not len(names):
         return None
-    place = np.full(1 << FEATURE_BITS, -1, np.int32)
-    place[names] = np.arange(len(names), dtype=np.int32)
-    columns = place[columns]
-    kept = columns >= 0
-    starts = np.concatenate(([0], np.cumsum([kept[a:b].sum() for a, b in zip(starts[:-1], starts[1:], strict=True)])))
-    columns, values = columns[kept], values[kept]
-    owner = np.repeat(grade.astype(np.int8), np.diff(starts))
-    seen = np.stack([np.bincount(columns[owner == k], minlength=len(names)) for k in range(len(present))], axis=1)
-    sure = g2(seen.astype(float), np.bincount(grade).astype(float))
+    seen = np.zeros(len(present) * len(names))
+    for k in range(0, len(grade), FIT_TEXTS):
+        rows = starts[k : k + FIT_TEXTS + 1]
+        owner = np.repeat(grade[k : k + FIT_TEXTS] * len(names), np.diff(rows))
+        seen += np.bincount(owner + columns[rows[0] : rows[-1]], minlength=len(seen))
+    sure = g2(seen.reshape(len(present), len(names)).T, np.bincount(grade).astype(float))
     w, theta = fit(starts, columns, values, len(names), grade, PLAIN_G2 / np.maximum(sure, 1e-2))
     out = np.zeros(1 << FEATURE_BITS, np.float32)
     out[names] = w
     return out, theta
 
 
+def places(names: np.ndarray) -> np.ndarray:
+    """Where each bucket stands in ``names``, or -1."""
+    out = np.full(1 << FEATURE_BITS, -1, np.int32)
+    out[names] = np.arange(len(names), dtype=np.int32)
+    return out
+
+
+def learnt(starts: np.ndarray, columns: np.ndarray, values: np.ndarray, grade: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """``weighed`` of the supported ones among all features of the texts."""
+    names = np.flatnonzero(np.bincount(columns, minlength=1 << FEATURE_BITS) >= MIN_SUPPORT)
+    columns = places(names)[columns]
+    upto = np.concatenate(([0], np.cumsum(columns >= 0)))
+    return weighed(upto[starts], columns[columns >= 0], values[columns >= 0], names, grade)
+
+
 def packed(texts) -> list[pa.Array]:
     columns, values, sizes = [], [], []
     for slab in K.slabs(texts):
@@ -174,6 +181,28 @@ def packed(texts) -> list[pa.Array]:
     return [pa.ListArray.from_arrays(ends, whole(columns, pa.int32())), pa.ListArray.from_arrays(ends, whole(values, pa.float32()))]
 
 
+def blobs(texts) -> list[pa.Array]:
+    """``packed`` with each text's features as bytes, which reach the driver without an object for each."""
+    blob = lambda lists: pa.Array.from_buffers(
+        pa.binary(), len(lists), [None, pa.py_buffer(4 * lists.offsets.to_numpy()), pa.py_buffer(lists.flatten().to_numpy())]
+    )
+    return [blob(lists) for lists in packed(texts)]
+
+
+def supported(features: DataFrame) -> tuple[np.ndarray, int]:
+    """Buckets that MIN_SUPPORT texts hold, ascending, and how many features of texts lie in them."""
+
+    def counts(batches):
+        for batch in batches:
+            names, n = np.unique(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int32), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(n)], ["bucket", "n"])
+
+    seen = features.select("c").mapInArrow(counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    # At most a row a bucket, and no more than a quarter of the sample's features.
+    rows = seen.filter(F.col("n") >= MIN_SUPPORT).toArrow()
+    return np.sort(rows["bucket"].to_numpy()), int(rows["n"].to_numpy().sum())
+
+
 def graded(labels: DataFrame, label: str, worse: str | None) -> DataFrame:
     """(doc_id, label) with the grade as label: 0 clean, 1 toxic, 2 toxic and bad by the column ``worse``."""
     toxic = F.col(label).cast("int")
@@ -184,17 +213,22 @@ def graded(labels: DataFrame, label: str, worse: str | None) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, label: str, worse: str | None, most: int):
     """(weights by bucket, thresholds), or None where the sample can't tell grades apart."""
     known = materialise(sample(docs, graded(labels, label, worse), "label", most), "toxicity-sample")
-    # Bounded by the sample; ids are distinct in it, and their order makes the fit's sums the same in every run.
-    rows = K.map_texts(known, "c array<int>, v array<float>", packed, carry=["doc_id", "label"]).toArrow()
-    discard(known)
-    if not len(rows):
-        return None
-    order = pa.array(np.argsort(rows["doc_id"].to_numpy()))
-    grade, c, v = rows["label"].to_numpy()[order.to_numpy()].astype(np.int64), rows["c"].combine_chunks(), rows["v"].combine_chunks()
-    del rows
-    c, v = c.take(order), v.take(order)
-    starts = np.concatenate(([0], np.cumsum(c.value_lengths().to_numpy(), dtype=np.int64)))
-    return learnt(starts, c.flatten().to_numpy(), v.flatten().to_numpy(), grade)
+    features = materialise(K.map_texts(known, "c binary, v binary", blobs, carry=["doc_id", "label"]), "toxicity-features")
+    names, total = supported(features)
+    place, columns, values = places(names), np.empty(total, np.int32), np.empty(total, np.float32)
+    starts, grade = [0], []
+    # Bounded by the sample, and a partition comes at a time. Ids are distinct in it, and their order makes the fit's sums
+    # the same in every run.
+    for row in features.orderBy("doc_id").toLocalIterator():
+        at = place[np.frombuffer(row["c"], np.int32)]
+        kept = at >= 0
+        end = starts[-1] + int(kept.sum())
+        columns[starts[-1] : end] = at[kept]
+        values[starts[-1] : end] = np.frombuffer(row["v"], np.float32)[kept]
+        starts.append(end)
+        grade.append(row["label"])
+    discard(known, features)
+    return weighed(np.array(starts), columns, values, names, np.array(grade, np.int64))
 
 
 def severity_of(texts, model) -> list[pa.Array]:
