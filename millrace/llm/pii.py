@@ -38,6 +38,8 @@ KEY_INSIDE = r"^[\"'`(\[<]*+([\p{L}_-]++[=:])"
 KEY_USE = r"(?<![\p{L}_-])([\p{L}_-]++ *+[=:])"
 #: Words of patterns up to which they are sent to the texts, so that other words aren't counted; with more, all are.
 WORDS_SENT = 250_000
+#: Code points of a pattern's word; a longer word goes by its SHA-256, so that what is sent has a bound in bytes too.
+WORD_CHARS = 64
 #: Code points of a piece; contexts are taken from pieces, so that a very long text isn't scanned for each entity.
 PIECE = 4096
 PATTERNS = (("left", "L "), ("right", "R "), ("key", "K "))
@@ -79,6 +81,11 @@ def first_word(text: Column) -> Column:
     return F.lower(F.substring_index(F.ltrim(blanked(text)), " ", 1))
 
 
+def named_by(word: Column) -> Column:
+    """A word as patterns name it: itself, or its digest where it is long."""
+    return F.when(F.length(word) > WORD_CHARS, F.sha2(word, 256)).otherwise(word)
+
+
 def digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
@@ -161,7 +168,7 @@ def instances(text: Column, base: Column) -> Column:
             right = first_word(after.substr(F.length(tail) + 1, F.length(after)))
             inside = F.regexp_extract(e["first"], KEY_INSIDE, 1)
             key = F.lower(F.translate(F.when(inside != "", inside).otherwise(F.regexp_extract(before, KEY_BEFORE, 1)), " ", ""))
-            return F.struct(*[e[c].alias(c) for c in ("start", "end", "value")], left.alias("left"), right.alias("right"), F.nullif(key, F.lit("")).alias("key"), e["seed"].alias("seed"), e["base"].alias("base"))
+            return F.struct(*[e[c].alias(c) for c in ("start", "end", "value")], named_by(left).alias("left"), named_by(right).alias("right"), named_by(F.nullif(key, F.lit(""))).alias("key"), e["seed"].alias("seed"), e["base"].alias("base"))
 
         return F.transform(F.transform(es, beside), named)
 
@@ -182,9 +189,10 @@ def word_uses(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     words = F.split(text, " ")
     # A blank before a key tells it from words.
     found = F.when(text.rlike("[=:]"), F.regexp_extract_all(text, F.lit(KEY_USE), F.lit(1))).otherwise(F.array().cast("array<string>"))
-    keys = F.transform(found, lambda k: F.concat(F.lit(" "), F.translate(k, " ", "")))
+    keys = F.transform(found, lambda k: F.concat(F.lit(" "), named_by(F.translate(k, " ", ""))))
     wanted = patterns.select("pattern", F.when(F.col("pattern").startswith("K "), F.expr("substring(pattern, 2)")).otherwise(F.expr("substring(pattern, 3)")).alias("w"))
     said = docs.select(F.explode(F.concat(words, keys)).alias("w"))
+    said = said.select(F.when(F.col("w").startswith(" "), F.col("w")).otherwise(named_by(F.col("w"))).alias("w"))
     asked = wanted.select("w").distinct()
     if asked.count() <= WORDS_SENT:
         said = said.join(F.broadcast(asked), "w", "left_semi")

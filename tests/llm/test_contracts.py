@@ -317,9 +317,11 @@ def chained_texts():
     return texts
 
 
-@pytest.mark.parametrize("sent", [0, 250_000])
-def test_found_words_against_plain_python(spark, monkeypatch, sent):
+@pytest.mark.parametrize(("sent", "chars"), [(0, 64), (250_000, 64), (250_000, 3)])
+def test_found_words_against_plain_python(spark, monkeypatch, sent, chars):
+    """Whichever way words are counted, and whether patterns go by words or by digests of them."""
     monkeypatch.setattr(pii, "WORDS_SENT", sent)
+    monkeypatch.setattr(pii, "WORD_CHARS", chars)
     texts = chained_texts()
     got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["found"]] for r in pii.find(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)).collect()}
     want = plain_found(texts)
