@@ -12,11 +12,10 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
+from millrace.session import BATCH_BYTES, BATCH_SETTING, tuned  # noqa: F401
+
 U = np.uint64
 SLAB = 1 << 19
-#: Bytes of an Arrow batch, about; a worker holds a batch several times over, and so do the buffers on its way.
-BATCH_BYTES = 8 << 20
-BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
 #: Everything but digits, a-z and bytes from 0x80 (after lower-casing).
@@ -148,16 +147,6 @@ def per_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return sums[first[1:]] - sums[first[:-1]]
 
 
-def tuned(spark):
-    """``spark`` with the bytes of Arrow batches limited to BATCH_BYTES; a lower limit stays.
-
-    Operators leave settings alone; whoever owns the session (a query, the pipeline, a caller) calls this.
-    """
-    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(BATCH_SETTING)) > BATCH_BYTES:
-        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
-    return spark
-
-
 def others(df, new) -> list[str]:
     """The columns of ``df`` but for those whose names, in any case, are in ``new``."""
     taken = {name.lower() for name in new}

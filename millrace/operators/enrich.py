@@ -5,9 +5,11 @@ from __future__ import annotations
 import json
 import re
 import time
-from collections.abc import Callable, Iterator
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -121,14 +123,29 @@ def fault(text: str | None) -> str | None:
     return None if 0 <= int(whole[1]) <= MAX_YEARS else "years out of range"
 
 
+def in_flight(call: Callable, values: Iterable, workers: int) -> Iterator:
+    """``call`` of each value in order, ``workers`` at a time and twice as many begun; one worker calls in place."""
+    if workers == 1:
+        yield from map(call, values)
+        return
+    begun: deque = deque()
+    with ThreadPoolExecutor(workers) as pool:
+        for value in values:
+            begun.append(pool.submit(call, value))
+            if len(begun) >= 2 * workers:
+                yield begun.popleft().result()
+        while begun:
+            yield begun.popleft().result()
+
+
 def call_model(df: DataFrame, provider: Provider, workers: int = WORKERS, attempts: int = 2, pause_s: float = PAUSE_S, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """Adds raw, attempt, error, input_tokens and output_tokens to rows with a ``prompt``.
 
     The calls wait on a network, so each task keeps ``workers`` in flight. A call that fails, or whose answer breaks any
     rule, is made again; a failure in the end is a value, never an exception. Calls are made whenever the result is
-    evaluated, so write it before more than one reader takes it.
+    evaluated, so write it before more than one reader takes it. Only prompts travel to Python, where they stay Arrow
+    data but for those in flight; so a worker holds one Arrow batch of prompts and its answers.
     """
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema.fields)}, raw string, attempt int, error string, input_tokens long, output_tokens long"
 
     def one(prompt: str):
         error = None
@@ -143,15 +160,18 @@ def call_model(df: DataFrame, provider: Provider, workers: int = WORKERS, attemp
                 time.sleep(pause_s)
         return None, attempts, error, 0, 0
 
-    def run(frames: Iterator) -> Iterator:
-        import pandas as pd
-
-        with ThreadPoolExecutor(workers) as pool:
-            for frame in frames:
-                out = pd.DataFrame(list(pool.map(one, frame["prompt"])), columns=["raw", "attempt", "error", "input_tokens", "output_tokens"], index=frame.index)
-                yield pd.concat([frame, out], axis=1)
-
-    return df.mapInPandas(run, schema)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kinds = {"raw": pa.string(), "attempt": pa.int32(), "error": pa.string(), "input_tokens": pa.int64(), "output_tokens": pa.int64()}
+        for prompts in batches:
+            made: list[list] = [[] for _ in kinds]
+            for answer in in_flight(one, (p.as_py() for p in prompts), workers):
+                for values, value in zip(made, answer, strict=True):
+                    values.append(value)
+            yield pa.StructArray.from_arrays([pa.array(values, kind) for values, kind in zip(made, kinds.values(), strict=True)], list(kinds))
+
+    # Not deterministic: Catalyst must neither repeat nor move the calls.
+    call = F.arrow_udf(run, "raw string, attempt int, error string, input_tokens long, output_tokens long").asNondeterministic()
+    return df.select("*", call("prompt").alias("_call")).select(*[F.col(f"`{c}`") for c in df.columns], "_call.*")
 
 
 def enrich(df: DataFrame, provider: Provider, **how) -> DataFrame:

@@ -16,6 +16,7 @@ from millrace.functions import arrays, vectors
 from millrace.functions import text as X
 from millrace.functions.lexicon import Lexicon, canonicalise, default_lexicon, match_terms
 from millrace.operators import enrich, funnel, idlists, matching, sampling, scoring, stats
+from millrace.session import tuned
 from millrace.sources import readers
 from millrace.sources.readers import latest_by, parse_json
 from millrace.sources.writers import append_records, export_readable, index_health, pending, read_index, upsert, write_id_list, write_index, write_jsonl, write_parquet, write_tsv
@@ -498,29 +499,36 @@ def prompt_build(spark, sf_dir):
 CUES = (("not_expected", (" by ",)), ("preferred", (" with ", " pour ")), ("required", (" the ", " der ", " des ")))
 
 
-def _records(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Silver postings and their enriched records, both written once: a model is called once a posting, whoever reads."""
-    kept = materialise(funnel.silver(postings(spark, sf_dir)), "silver")
-    return kept, materialise(enrich.enrich(kept, enrich.RuleProvider(WORDS, CUES), pause_s=0.0), "records")
+def _enriched(kept: DataFrame) -> DataFrame:
+    """Enriched records of silver postings, written once: a model is called once a posting, whoever reads."""
+    tuned(kept.sparkSession)
+    # Rules wait on nothing, so threads would only contend.
+    return materialise(enrich.enrich(kept, enrich.RuleProvider(WORDS, CUES), workers=1, pause_s=0.0), "records")
+
+
+def _records(spark, sf_dir) -> DataFrame:
+    """Only records are written: nothing else reads the silver postings."""
+    return _enriched(funnel.silver(postings(spark, sf_dir)))
 
 
 @query("enrich_rule_based")
 def enrich_rule_based(spark, sf_dir):
-    return _records(spark, sf_dir)[1].withColumn("skills", F.to_json("skills"))
+    return _records(spark, sf_dir).withColumn("skills", F.to_json("skills"))
 
 
 @query("record_stats")
 def record_stats(spark, sf_dir):
-    return stats.status_counts(_records(spark, sf_dir)[1])
+    return stats.status_counts(_records(spark, sf_dir))
 
 
 @query("attribution_distribution")
 def attribution_distribution(spark, sf_dir):
-    return stats.attribution_distribution(_records(spark, sf_dir)[1])
+    return stats.attribution_distribution(_records(spark, sf_dir))
 
 
 def _index(spark, sf_dir) -> DataFrame:
-    kept, records = _records(spark, sf_dir)
+    kept = materialise(funnel.silver(postings(spark, sf_dir)), "silver")
+    records = _enriched(kept)
     meta = kept.withColumn("skills_gazetteer", match_terms(F.col("description_clean"), SMALL_LEXICON)).withColumn("n_skills", F.size("skills_gazetteer"))
     return matching.assemble(meta, records, matching.embed_records(records, dims=32))
 

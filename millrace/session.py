@@ -4,6 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+#: Bytes of an Arrow batch, about; a worker holds a batch several times over, and so do the buffers on its way.
+BATCH_BYTES = 8 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def tuned(spark: SparkSession) -> SparkSession:
+    """``spark`` with the bytes of Arrow batches limited to BATCH_BYTES; a lower limit stays.
+
+    Operators leave settings alone; whoever owns the session (a query, the pipeline, a caller) calls this.
+    """
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(BATCH_SETTING)) > BATCH_BYTES:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    return spark
+
 
 def build_session(master: str = "local[8]", app: str = "millrace", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     """A session in UTC with adaptive execution and Arrow transfer on.

@@ -9,6 +9,7 @@ from millrace.functions import arrays, vectors
 from millrace.functions import text as X
 from millrace.functions.lexicon import Lexicon, canonicalise, default_lexicon, match_terms
 from millrace.operators import enrich, funnel, idlists, matching, reports, sampling, scoring, stats
+from millrace.session import BATCH_SETTING
 from millrace.sources import readers, writers
 from millrace.streaming import ingest
 
@@ -435,3 +436,37 @@ def test_export_heads(spark):
 def test_samples_in_band_order(spark):
     df = spark.createDataFrame([("2", "b"), ("1", "b"), ("3", "a")], "job_id string, band string")
     assert [r["job_id"] for r in sampling.in_band_order(df, "band").collect()] == ["3", "1", "2"]
+
+
+def test_a_worker_holds_little_beside_prompts(spark):
+    """Texts stay out of Python, and prompts are taken from the batch a few at a time."""
+    before = spark.conf.get(BATCH_SETTING)
+    good = answer()
+
+    def provider(prompt, most):
+        with open("/proc/self/statm") as handle:
+            return good, {"input_tokens": int(handle.read().split()[1]) * 4096}
+
+    text = F.concat(F.lit("ш"), F.repeat(F.lit("x"), 11_000))
+    df = spark.range(0, 5000, 1, 1).select(F.col("id").cast("string").alias("job_id"), F.lit("t").alias("title"), text.alias("description_clean"))
+    try:
+        spark.conf.set(BATCH_SETTING, "64m")
+        rows = enrich.enrich(df, provider, pause_s=0.0).agg(F.count("*").alias("n"), F.max("input_tokens").alias("held"), F.count_if(F.col("status") == "ok").alias("ok")).first()
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
+    assert rows["n"] == rows["ok"] == 5000 and rows["held"] < 240e6, rows["held"] / 1e6
+
+
+def test_order_and_bound_of_calls_in_flight():
+    drawn = []
+
+    def values():
+        for i in range(50):
+            drawn.append(i)
+            yield i
+
+    for workers in (1, 4):
+        drawn.clear()
+        taken = enrich.in_flight(lambda x: x * x, values(), workers)
+        assert next(taken) == 0 and len(drawn) <= 2 * workers
+        assert list(taken) == [i * i for i in range(1, 50)]
