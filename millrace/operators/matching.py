@@ -6,6 +6,8 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,9 +64,13 @@ def knn(corpus: DataFrame, query, k: int, key: str = "job_id", vector: str = "em
     return scored.filter(F.col("cosine").isNotNull()).orderBy(F.desc("cosine"), F.asc(key)).limit(k)
 
 
-#: Query vectors that are scored against a batch at once, and the most that are sent to all tasks at once.
+#: Query vectors and rows that are scored against one another at once, pairs that are summed at once, and the most queries that are sent to all tasks at once.
 QUERY_BLOCK = 512
+ROW_BLOCK = 2048
+PAIR_BLOCK = 1 << 14
 QUERIES_SENT = 4096
+#: Cosines of the matrix product this near to the k-th are summed again, row by row, so that equal vectors tie.
+NEAR = 1e-9
 
 
 def knn_many(corpus: DataFrame, queries: DataFrame, k: int, key: str = "job_id", query_key: str = "query_id", vector: str = "embedding") -> DataFrame:
@@ -82,8 +88,8 @@ def knn_many(corpus: DataFrame, queries: DataFrame, k: int, key: str = "job_id",
     found = []
     for b in range(n):
         block = dealt.filter(F.col("b") == b).drop("b").collect()
-        shared = spark.sparkContext.broadcast(([np.array(r["v"]) for r in block],))
-        part = rows.mapInPandas(nearest_of(shared, key, k), schema)
+        shared = spark.sparkContext.broadcast(by_size([r["v"] for r in block]))
+        part = rows.mapInArrow(nearest_of(shared, key, k), schema)
         names = spark.createDataFrame([(i, r[query_key]) for i, r in enumerate(block)], T.StructType([T.StructField("q", T.LongType()), T.StructField(query_key, queries.schema[query_key].dataType)]))
         found.append(part.join(F.broadcast(names), "q").drop("q"))  # names: one block of queries
     order = Window.partitionBy(query_key).orderBy(F.desc("cosine"), F.asc(key))
@@ -91,35 +97,77 @@ def knn_many(corpus: DataFrame, queries: DataFrame, k: int, key: str = "job_id",
     return ranked.select(query_key, key, "cosine", "rank")
 
 
+def by_size(vectors_: list) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(places, matrix) of the vectors of each size, QUERY_BLOCK at most in one; what has no length is left out."""
+    sizes: dict[int, list[int]] = {}
+    for i, v in enumerate(vectors_):
+        sizes.setdefault(len(v), []).append(i)
+    out = []
+    for ids in sizes.values():
+        places, matrix = np.array(ids), np.array([vectors_[i] for i in ids], float)
+        some = measured(matrix)
+        places, matrix = places[some], matrix[some]
+        out += [(places[at : at + QUERY_BLOCK], matrix[at : at + QUERY_BLOCK]) for at in range(0, len(places), QUERY_BLOCK)]
+    return out
+
+
+def measured(matrix: np.ndarray) -> np.ndarray:
+    """Which rows have a length that isn't 0."""
+    length = (matrix * matrix).sum(axis=1)
+    return (length > 0) & np.isfinite(length)
+
+
 def nearest_of(shared, key: str, k: int):
-    """For ``mapInPandas``: of a task's rows the best k of each query of the block."""
-
-    def run(frames):
-        vectors_ = shared.value[0]
-        by_size: dict[int, list[int]] = {}
-        for i, v in enumerate(vectors_):
-            if np.dot(v, v) > 0:
-                by_size.setdefault(len(v), []).append(i)
-        best: dict[int, pd.DataFrame] = {}
-        for frame in frames:
-            sizes = frame["v"].map(len).to_numpy()
-            for size, ids in by_size.items():
-                own = frame[sizes == size]
-                if not len(own):
-                    continue
-                matrix = np.stack(own["v"].to_numpy())
-                length = np.sqrt((matrix * matrix).sum(axis=1))
-                own, matrix, length = own[length > 0], matrix[length > 0], length[length > 0]
-                for at in range(0, len(ids), QUERY_BLOCK):
-                    asked = np.stack([vectors_[i] for i in ids[at : at + QUERY_BLOCK]])
-                    cosines = matrix @ asked.T / (length[:, None] * np.sqrt((asked * asked).sum(axis=1))[None, :])
-                    for j, i in enumerate(ids[at : at + QUERY_BLOCK]):
-                        near = cosines[:, j]
-                        # All that tie with the k-th stay until the keys decide.
-                        some = np.flatnonzero(near >= np.partition(near, len(near) - k)[len(near) - k]) if len(near) > k else np.arange(len(near))
-                        rows = pd.DataFrame({"q": i, key: own[key].to_numpy()[some], "cosine": near[some]})
-                        best[i] = pd.concat([best[i], rows] if i in best else [rows]).sort_values(["cosine", key], ascending=[False, True]).head(k)
-        yield from best.values()
+    """For ``mapInArrow``: of a task's rows the best k of each query of the block.
+
+    A worker holds an Arrow batch, the scores of a block of queries and rows, and k rows a query as arrays.
+    """
+
+    def run(batches):
+        asked = [(places, matrix, np.sqrt((matrix * matrix).sum(axis=1))) for places, matrix in shared.value]
+        best: list[pd.DataFrame | None] = [None] * len(asked)
+        least = [np.full(len(places), -np.inf) for places, *_ in asked]
+        kind = None
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for at in range(0, batch.num_rows, ROW_BLOCK):
+                keys, lists = (batch.column(c).slice(at, ROW_BLOCK) for c in range(2))
+                sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+                for size in {matrix.shape[1] for _, matrix, _ in asked} & set(sizes.tolist()):
+                    own = np.flatnonzero(sizes == size)
+                    rows = lists.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(len(own), size)
+                    some = measured(rows)
+                    own, rows = own[some], rows[some]
+                    if not len(own):
+                        continue
+                    length, names = np.sqrt((rows * rows).sum(axis=1)), keys.take(pa.array(own)).to_pandas().to_numpy()
+                    for b, (_, matrix, norms) in enumerate(asked):
+                        if matrix.shape[1] == size:
+                            merge(b, best, least[b], matrix, norms, rows, length, names)
+        for (places, *_), frame in zip(asked, best, strict=True):
+            if frame is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(places[frame["q"]], pa.int64()), pa.array(frame["key"].to_numpy(), kind, from_pandas=True), pa.array(frame["cosine"].to_numpy())], ["q", key, "cosine"])
+
+    def merge(b: int, best: list, least: np.ndarray, matrix: np.ndarray, norms: np.ndarray, rows: np.ndarray, length: np.ndarray, names: np.ndarray) -> None:
+        near = matrix @ rows.T
+        near /= norms[:, None]
+        near /= length[None, :]
+        bar = least
+        if len(length) > k:
+            bar = np.maximum(least, np.partition(near, len(length) - k, axis=1)[:, len(length) - k])
+        # All that tie with the k-th stay until the keys decide.
+        q, r = np.nonzero(near >= (bar - NEAR)[:, None])
+        frames = [] if best[b] is None else [best[b]]
+        for at in range(0, len(q), PAIR_BLOCK):
+            i, j = q[at : at + PAIR_BLOCK], r[at : at + PAIR_BLOCK]
+            exact = (matrix[i] * rows[j]).sum(axis=1) / (norms[i] * length[j])
+            joined = pd.concat([*frames, pd.DataFrame({"q": i, "key": names[j], "cosine": exact})])
+            frames = [joined.sort_values(["q", "cosine", "key"], ascending=[True, False, True]).groupby("q").head(k)]
+        if len(q):
+            best[b] = frames[0]
+            n, last = best[b]["q"].value_counts(), best[b].groupby("q")["cosine"].min()
+            full = n.index[n == k].to_numpy()
+            least[full] = last.loc[full].to_numpy()
 
     return run
 

@@ -595,6 +595,7 @@ t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, vec_id
 
 def _queries(spark, sf_dir) -> DataFrame:
     """The stated query set: every row whose id is divisible by 20."""
+    tuned(spark)
     return table(spark, sf_dir, "embeddings").filter(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), "embedding")
 
 

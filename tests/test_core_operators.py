@@ -470,3 +470,19 @@ def test_order_and_bound_of_calls_in_flight():
         taken = enrich.in_flight(lambda x: x * x, values(), workers)
         assert next(taken) == 0 and len(drawn) <= 2 * workers
         assert list(taken) == [i * i for i in range(1, 50)]
+
+
+def test_equal_vectors_tie_wherever_they_lie(spark, monkeypatch):
+    """Copies of a vector get one cosine, so the key decides; keys may be strings and batches small."""
+    import numpy as np
+
+    monkeypatch.setattr(matching, "QUERIES_SENT", 9)
+    kinds = np.random.default_rng(3).normal(size=(7, 61))
+    rows = [(f"{i * 7919 % 3001:04}", [float(x) for x in kinds[i % 7]]) for i in range(3001)]
+    corpus = spark.createDataFrame(rows, "job_id string, embedding array<double>").repartition(5)
+    asked = spark.createDataFrame([(i, [float(x) for x in kinds[i % 7] * (1 + i)]) for i in range(20)], "query_id long, embedding array<double>")
+    got: dict = {}
+    for r in matching.knn_many(corpus, asked, 16).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["job_id"]
+    copies = [sorted(job for i, (job, _) in enumerate(rows) if i % 7 == kind)[:16] for kind in range(7)]
+    assert {q: [ranks[n] for n in range(1, 17)] for q, ranks in got.items()} == {q: copies[q % 7] for q in range(20)}
