@@ -90,8 +90,9 @@ def verdict(parsed: Column) -> Column:
 
 
 def grounded_mentions(skills: Column, source: Column) -> Column:
-    """Each mention with whether its evidence stands in the full text; none is dropped."""
-    return F.transform(skills, lambda m: F.struct(m["skill"].alias("skill"), m["attribution"].alias("attribution"), m["evidence"].alias("evidence"), X.is_grounded(m["evidence"], source).alias("grounded")))
+    """Each mention with whether its evidence stands in the full text, which is folded once; none is dropped."""
+    mention = lambda m, folded: F.struct(m["skill"].alias("skill"), m["attribution"].alias("attribution"), m["evidence"].alias("evidence"), X.is_grounded(m["evidence"], source, folded).alias("grounded"))
+    return X.bound(X.without_spaces(source), lambda folded: F.transform(skills, lambda m: mention(m, folded)))
 
 
 def fault(text: str | None) -> str | None:
@@ -243,6 +244,9 @@ class LazyProvider:
         return self._client(prompt, max_tokens)
 
 
+SENTENCE_END = re.compile(r"(?<=[.!?])\s+|\n")
+
+
 class RuleProvider:
     """Answers by rules instead of a model: a stand-in for runs without a network, not a quality claim."""
 
@@ -251,18 +255,40 @@ class RuleProvider:
 
     def __init__(self, words, cues=CUES) -> None:
         self.words, self.cues = tuple(words), cues
+        # A match of a word of word characters only is a whole run of them, so such matches don't overlap and one pass finds all.
+        self.plain = tuple(w for w in self.words if re.fullmatch(r"\w+", w))
+        self.any_plain = re.compile(rf"\b(?:{'|'.join(map(re.escape, self.plain)) or '(?!)'})\b", re.IGNORECASE)
+        self.others = tuple((w, re.compile(rf"\b{re.escape(w)}\b", re.IGNORECASE)) for w in self.words if w not in self.plain)
+        #: The words that a match spells; there are as many as ways to write the words in capitals and small letters.
+        self.spelled: dict[str, tuple[str, ...]] = {}
+
+    def firsts(self, text: str) -> dict[str, tuple[int, int]]:
+        """Where each of the words that occur in ``text`` first does, in the order of the words."""
+        at: dict[str, tuple[int, int]] = {}
+        for m in self.any_plain.finditer(text):
+            words = self.spelled.get(m[0])
+            if words is None:
+                words = self.spelled[m[0]] = tuple(w for w in self.plain if re.fullmatch(re.escape(w), m[0], re.IGNORECASE))
+            for word in words:
+                at.setdefault(word, m.span())
+        for word, pattern in self.others:
+            if m := pattern.search(text):
+                at[word] = m.span()
+        return {word: at[word] for word in self.words if word in at} if at else at
 
     def __call__(self, prompt: str, max_tokens: int) -> tuple[str, dict]:
         body = prompt.split("Title: ", 1)[-1]
         title, _, description = body.partition("\n\n")
         found: dict[str, tuple[int, str, str]] = {}
-        for sentence in re.split(r"(?<=[.!?])\s+|\n", description):
+        for sentence in SENTENCE_END.split(description):
+            spots = self.firsts(sentence)
+            if not spots:
+                continue
             lowered = sentence.lower()
             label = next((name for name, cues in self.cues if any(cue in lowered for cue in cues)), "boilerplate")
-            for word in self.words:
-                if m := re.search(rf"\b{re.escape(word)}\b", sentence, re.IGNORECASE):
-                    quote = sentence[max(0, m.start() - 40) : m.end() + 40].strip()[:EVIDENCE_CHARS]
-                    found[word] = min(found.get(word, (99, "", "")), (ATTRIBUTIONS.index(label), label, quote))
+            for word, (start, end) in spots.items():
+                quote = sentence[max(0, start - 40) : end + 40].strip()[:EVIDENCE_CHARS]
+                found[word] = min(found.get(word, (99, "", "")), (ATTRIBUTIONS.index(label), label, quote))
         years = [int(x) for x in re.findall(r"\b(\d{1,2})\+? years", description)]
         level = next((name for name in SENIORITIES if name in title.lower()), "unspecified")
         skills = [{"skill": w, "attribution": a, "evidence": q} for w, (_, a, q) in found.items()][:25]

@@ -486,3 +486,14 @@ def test_equal_vectors_tie_wherever_they_lie(spark, monkeypatch):
         got.setdefault(r["query_id"], {})[r["rank"]] = r["job_id"]
     copies = [sorted(job for i, (job, _) in enumerate(rows) if i % 7 == kind)[:16] for kind in range(7)]
     assert {q: [ranks[n] for n in range(1, 17)] for q, ranks in got.items()} == {q: copies[q % 7] for q in range(20)}
+
+
+def test_words_of_rules_are_found_in_one_pass():
+    """The first place of each word is what a search for it alone finds, whatever the word and the case."""
+    import re
+
+    words = ("the", "THE", "C++", ".NET", "machine learning", "learning", "los", "c", "K8s", "a_b")
+    texts = ("LOſ THE the_ the-THE. c++ C++x C# .NET a c++!", "", "Machine Learning, learning; K8s A_B a_bc", "x.NET the")
+    for text in texts:
+        alone = {w: m.span() for w in words if (m := re.search(rf"\b{re.escape(w)}\b", text, re.IGNORECASE))}
+        assert enrich.RuleProvider(words).firsts(text) == alone
