@@ -5,12 +5,14 @@ import textwrap
 
 import pytest
 from oracle import compare, connect
+from pyspark.sql import functions as F
 
 from millrace.functions import text as X
 from millrace.functions import vectors
 from millrace.operators import enrich
 from millrace.plans.queries import CUES, ORACLES, QUERIES, SMALL_LEXICON, WORDS
 from millrace.schemas import ATTRIBUTIONS
+from millrace.session import BATCH_SETTING
 
 SF = os.environ.get("MILLRACE_SF", "/root/testdata/sf0.001")
 
@@ -103,6 +105,33 @@ def test_matched_profile(spark, records):
         assert r["have"] == ",".join(s for s in required[r["job_id"]] if s in ("the", "of")) and r["missing"] == ",".join(s for s in required[r["job_id"]] if s not in ("the", "of"))
 
 
+def test_matching_holds_few_prompts_in_a_worker(spark, monkeypatch, tmp_path):
+    """The model call under match_profile bounds its batches, whatever the session's setting is."""
+    skill = {"skill": "the", "attribution": "required", "evidence": "the"}
+    good = json.dumps({"skills": [skill], "seniority": "mid", "years_experience_min": None})
+    held = str(tmp_path / "held")
+
+    def provider(prompt, most):
+        with open("/proc/self/statm") as handle, open(held, "a") as out:
+            out.write(f"{int(handle.read().split()[1]) * 4096}\n")
+        return good, {}
+
+    monkeypatch.setattr(enrich, "RuleProvider", lambda *rules: provider)
+    text = F.concat(F.lit("the and for with you are ш"), F.repeat(F.lit("x"), 11_000))
+    docs = spark.range(0, 5000, 1, 1).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(11_026).alias("n_chars"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    before = spark.conf.get(BATCH_SETTING)
+    try:
+        spark.conf.set(BATCH_SETTING, "64m")
+        hits = QUERIES["match_profile"](spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
+    with open(held) as handle:
+        sizes = [int(line) for line in handle]
+    assert len(hits) == 8 and all((r["have"], r["missing"]) == ("the", "") for r in hits)
+    assert len(sizes) == 5000 and max(sizes) < 240e6, max(sizes) / 1e6
+
+
 def test_readable_export(spark, con):
     texts = {d: (s, t) for d, s, t in con.execute("SELECT doc_id, source, text FROM documents").fetchall()}
     got = {r["doc_id"]: r["block"] for r in QUERIES["export_readable"](spark, SF).collect()}
